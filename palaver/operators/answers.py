@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.labels import VALID
 from palaver.functions.text import min_chars
+from palaver.operators.segments import fresh_key
 
 # Fixed value: default threshold.
 ANSWER_MIN_CHARS = 250
@@ -36,7 +37,7 @@ def oldest_answer(candidates: DataFrame) -> DataFrame:
     A missing time counts as earliest. The rank filter is applied once before the shuffle
     too, so each task sends at most one row per pair, however often an author answered.
     """
-    order = Window.partitionBy("question_id", "author").orderBy(
+    order = Window.partitionBy(fresh_key("question_id", "author")).orderBy(
         F.col("created_utc").asc_nulls_first(), F.col("comment_id").asc_nulls_first()
     )
     return candidates.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == 1).drop("_rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.text import min_chars
-from palaver.operators.segments import MAX_ROWS, plan_segments
+from palaver.operators.segments import MAX_ROWS, fresh_key, plan_segments
 
 # Default thresholds.
 MIN_COMMENTS = 50
@@ -55,7 +55,7 @@ def author_bodies(
     kept = prolific_comments(comments, min_comments, min_len)
     labelled = plan_segments(kept, "author", max_bodies_per_row).label(kept, "author", F.col("comment_id"))
     return (
-        labelled.groupBy("author", "segment")
+        labelled.groupBy(fresh_key("author", "segment").alias("_key"))
         .agg(F.sort_array(F.collect_list(F.struct("comment_id", "body"))).alias("_rows"))
-        .select("author", "segment", F.transform("_rows", lambda r: r["body"]).alias("bodies"))
+        .select("_key.author", "_key.segment", F.transform("_rows", lambda r: r["body"]).alias("bodies"))
     )

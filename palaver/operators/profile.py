@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.text import utc_text
 from palaver.operators.quantiles import exact_quantiles
+from palaver.operators.segments import fresh_key
 
 
 def general_metadata(submissions: DataFrame) -> DataFrame:
@@ -32,8 +33,15 @@ def general_metadata(submissions: DataFrame) -> DataFrame:
 
 
 def thread_sizes(submissions: DataFrame, comments: DataFrame) -> DataFrame:
-    """Number of comments per submission, zero included. Bodies are not read."""
-    counts = comments.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"))
+    """Number of comments per submission, zero included; comments on other threads do not matter.
+
+    Bodies are not read, and comments are counted before they meet the submissions.
+    """
+    counts = (
+        comments.groupBy(fresh_key("question_id").alias("_key"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("_key.question_id", "n")
+    )
     return submissions.join(counts, F.col("id") == F.col("question_id"), "left").select(
         "id", F.coalesce("n", F.lit(0)).alias("n_comments")
     )
@@ -83,14 +91,23 @@ def side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def author_flags(submissions: DataFrame, comments: DataFrame) -> DataFrame:
-    """Each author once, with the sides they appear on; null authors are left out."""
+    """Each author once, with the sides they appear on; null authors are left out.
+
+    The null group is dropped by its count and not by a filter on the name: such a filter
+    would sink to the nested list of a thread store and make it read whole comments.
+    """
     asked = submissions.select("author", F.lit(True).alias("asked"), F.lit(False).alias("answered"))
     answered = comments.select("author", F.lit(False).alias("asked"), F.lit(True).alias("answered"))
     return (
         asked.unionByName(answered)
-        .where(F.col("author").isNotNull())
         .groupBy("author")
-        .agg(F.bool_or("asked").alias("asked"), F.bool_or("answered").alias("answered"))
+        .agg(
+            F.bool_or("asked").alias("asked"),
+            F.bool_or("answered").alias("answered"),
+            F.count("author").alias("_named"),
+        )
+        .where(F.col("_named") > 0)
+        .drop("_named")
     )
 
 
@@ -106,15 +123,13 @@ def author_overlap(submissions: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def author_union(submissions: DataFrame, comments: DataFrame) -> DataFrame:
-    authors = submissions.select("author").union(comments.select("author"))
-    return authors.where(F.col("author").isNotNull()).distinct()
+    """Names on at least one side."""
+    return author_flags(submissions, comments).select("author")
 
 
 def author_intersection(submissions: DataFrame, comments: DataFrame) -> DataFrame:
-    """Authors on both sides; each side is reduced to distinct names before they meet."""
-    asked = submissions.select("author").where(F.col("author").isNotNull()).distinct()
-    answered = comments.select("author").where(F.col("author").isNotNull()).distinct()
-    return asked.intersect(answered)
+    """Names on both sides."""
+    return author_flags(submissions, comments).where(F.col("asked") & F.col("answered")).select("author")
 
 
 # --- report ---------------------------------------------------------------------------------

@@ -17,6 +17,16 @@ from palaver.session import small_side, stage
 MAX_ROWS = 10_000
 
 
+def fresh_key(*cols: str) -> Column:
+    """The columns as one composite key.
+
+    Grouping by it shuffles partial results anew instead of leaning on the partitioning a
+    join left behind. The extra exchange carries little, and it leaves adaptive execution
+    free to split the join where one of its keys is crowded.
+    """
+    return F.struct(*cols)
+
+
 @dataclass(frozen=True)
 class Segmentation:
     """How many segments each crowded key has; keys not listed have one."""

@@ -106,6 +106,7 @@ class PairPlan:
     styles: DataFrame
     questions: DataFrame
     n_questions: int
+    largest: int
     row_key: tuple[str, ...]
     _stored: DataFrame | None = field(default=None, repr=False)
 
@@ -140,9 +141,20 @@ def plan_pairs(
     ``row_key`` names the columns that tell the answers to one question apart.
     """
     sizes = stage(question_sizes(answers, styles).where(F.col("n") >= 2), "question-sizes")
-    total = sizes.agg(F.sum(F.col("pairs").cast("decimal(20,0)"))).first()[0] or 0
-    questions = sizes if total <= max_pairs else stage(pair_budget(sizes, max_pairs), "question-budget")
-    return PairPlan(answers, styles, questions, questions.count(), row_key)
+
+    def measure(questions: DataFrame) -> Row:
+        pairs = F.sum(F.col("pairs").cast("decimal(20,0)"))
+        return questions.agg(
+            F.count(F.lit(1)).alias("questions"),
+            F.coalesce(pairs, F.lit(0)).alias("pairs"),
+            F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
+        ).first()
+
+    found, questions = measure(sizes), sizes
+    if found["pairs"] > max_pairs:
+        questions = stage(pair_budget(sizes, max_pairs), "question-budget")
+        found = measure(questions)
+    return PairPlan(answers, styles, questions, found["questions"], found["largest"], row_key)
 
 
 # --- tiles ----------------------------------------------------------------------------------
@@ -334,13 +346,12 @@ def pair_sums(
     the others fit in one small matrix product each.
     """
     rows = plan.rows()
-    biggest = plan.questions.agg(F.max("n")).first()[0] or 0
     parts = (
         _tiled(rows.where(F.col("n") <= large), plan.row_key, large)
         .mapInArrow(_summarize_tiles, _SUMMARY_DDL)
         .select("pairs", *_SUMS)
     )
-    if biggest > large:
+    if plan.largest > large:
         parts = parts.unionByName(_large_question_sums(plan, rows.where(F.col("n") > large), sum_block_rows))
     return parts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), *(F.sum(c).alias(c) for c in _SUMS))
 

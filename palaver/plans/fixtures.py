@@ -27,28 +27,32 @@ TABLES = (
     "conversations",
 )
 
-_CONV = "cast(conv_id as string)"
+_TURN = "'s', cast(conv_id as string), '_', cast(turn as string)"
+_LINK = (
+    "case when mod(doc_id, 3) = 1 then 't3_s6_0' else concat('t3_s', "
+    "cast(cast(floor(doc_id / 10) as bigint) as string), '_', cast(mod(doc_id, 2) as string)) end"
+)
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
-    # Openers of conversations are submissions.
+    # Every turn of a conversation is a submission, its text the title.
     "raw_submissions": (
         ("conversations",),
         f"""
-select concat('s', {_CONV}) as id,
+select concat({_TURN}) as id,
   case when mod(conv_id, 19) = 4 then null else text end as title,
   case when mod(conv_id, 11) = 3 then '[deleted]' when mod(conv_id, 13) = 5 then 'AutoModerator'
        else concat('src', cast(mod(conv_id, 20) as string), '_en_', cast(cast(floor(conv_id / 200) as bigint) as string))
   end as author,
-  case when mod(conv_id, 17) = 7 then 'n/a' else concat(cast(1690000000 + conv_id * 3600 as string), '.5') end as created_utc,
+  case when mod(conv_id, 17) = 7 then 'n/a' else concat(cast(1690000000 + conv_id * 3600 + turn * 60 as string), '.5') end as created_utc,
   case when mod(conv_id, 5) = 0 then 'true' when mod(conv_id, 5) = 1 then null else 'false' end as over_18,
-  case when mod(conv_id, 23) = 6 then '-1.9e1' else cast(mod(conv_id * 13, 97) as string) end as score,
+  case when mod(conv_id, 23) = 6 then '-1.9e1' else cast(mod(conv_id * 13 + turn, 97) as string) end as score,
   cast(mod(conv_id, 7) as string) as num_comments
-from {{conversations}} where turn = 0""",
+from {{conversations}}""",
     ),
-    # Later turns comment on their conversation; documents comment on threads in groups of
-    # ten, a third of them on one thread.
+    # Documents comment on the first two turns of conversations, ten to a conversation, but
+    # for a third of them, which crowd into one thread.
     "raw_comments": (
-        ("documents", "conversations"),
+        ("documents",),
         f"""
 select concat('c', cast(doc_id as string)) as id,
   case when mod(doc_id, 23) = 0 then '[deleted]' when mod(doc_id, 29) = 0 then '[removed]' else text end as body,
@@ -57,28 +61,18 @@ select concat('c', cast(doc_id as string)) as id,
   case when mod(doc_id, 43) = 8 then null else concat(cast(1700000000 + mod(doc_id * 37, 1000) as string), '.0') end as created_utc,
   case when mod(doc_id, 31) = 0 then '[deleted]' when mod(doc_id, 37) = 0 then 'AutoModerator'
        else concat(source, '_', lang, '_', cast(cast(floor(doc_id / 2000) as bigint) as string)) end as author,
-  case when mod(doc_id, 7) = 2 then concat('t1_c', cast(doc_id - 1 as string))
-       when mod(doc_id, 3) = 1 then 't3_s6'
-       else concat('t3_s', cast(cast(floor(doc_id / 10) as bigint) as string)) end as parent_id,
-  case when mod(doc_id, 3) = 1 then 't3_s6'
-       else concat('t3_s', cast(cast(floor(doc_id / 10) as bigint) as string)) end as link_id
-from {{documents}}
-union all
-select concat('t', {_CONV}, '_', cast(turn as string)) as id, text as body,
-  cast(length(text) as string) as ups, cast(turn as string) as downs,
-  cast(1700000000 + turn * 60 as string) as created_utc,
-  concat(role, '_', cast(cast(floor(conv_id / 50) as bigint) as string)) as author,
-  concat('t3_s', {_CONV}) as parent_id, concat('t3_s', {_CONV}) as link_id
-from {{conversations}} where turn > 0""",
+  case when mod(doc_id, 7) = 2 then concat('t1_c', cast(doc_id - 1 as string)) else {_LINK} end as parent_id,
+  {_LINK} as link_id
+from {{documents}}""",
     ),
     # Model replies to titles: punctuation, sentences, non-ASCII letters, unreadable ones.
     "raw_completions": (
         ("conversations",),
         f"""
-select concat('s', {_CONV}) as id, text as title,
-  case mod(conv_id, 6) when 0 then ' Valid.' when 1 then 'It is INVALID!' when 2 then 'Valid or invalid'
+select concat({_TURN}) as id, text as title,
+  case mod(conv_id + turn, 6) when 0 then ' Valid.' when 1 then 'It is INVALID!' when 2 then 'Valid or invalid'
        when 3 then 'unsure' when 4 then '**valid**' else 'Inválid' end as completion
-from {{conversations}} where turn = 0""",
+from {{conversations}}""",
     ),
     # Ten labels by groups of 500 vectors make the questions; some have no question.
     "answer_vectors": (

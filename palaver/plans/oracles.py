@@ -78,7 +78,7 @@ _BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         ("subs", "matched", "segments"),
         f"""select s.*, coalesce(m.segment, 0) as segment, coalesce(m.n_comments, 0) as n_comments, m.comments, m.n_chars
           from subs s left join (
-            select link_id_clean, {_bucket('id', 'n_segments')} as segment, count(*) as n_comments, sum(length(body)) as n_chars,
+            select link_id_clean, {_bucket('id', 'n_segments')} as segment, count(*) as n_comments, cast(sum(length(body)) as bigint) as n_chars,
               string_agg(concat(id, '|', coalesce(ups::varchar, '-'), '|', coalesce(downs::varchar, '-'), '|',
                 coalesce(created_utc::varchar, '-'), '|', author, '|', md5(body)), ',' order by created_utc nulls first, id) as comments
             from matched join segments on sid = link_id_clean group by 1, 2) m on m.link_id_clean = s.id""",
@@ -354,8 +354,8 @@ _SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "pair_similarity": (
         ("pairs",),
-        """select question_id, count(*) as pairs, round(sum(x), 6) as sum_x, round(sum(y), 6) as sum_y, round(sum(x * x), 6) as sum_xx,
-          round(sum(y * y), 6) as sum_yy, round(sum(x * y), 6) as sum_xy, round(min(x), 6) as min_x, round(max(x), 6) as max_x,
+        """select question_id, count(*) as pairs, round(sum(x), 3) as sum_x, round(sum(y), 3) as sum_y, round(sum(x * x), 3) as sum_xx,
+          round(sum(y * y), 3) as sum_yy, round(sum(x * y), 3) as sum_xy, round(min(x), 6) as min_x, round(max(x), 6) as max_x,
           round(min(y), 6) as min_y, round(max(y), 6) as max_y from pairs group by 1""",
     ),
     "similarity_correlation": (

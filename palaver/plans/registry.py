@@ -165,7 +165,7 @@ def general_metadata(spark, sf):
 
 @_query
 def comment_count_distribution(spark, sf):
-    sizes = profile.thread_sizes(_subs(spark, sf), _flat(spark, sf))
+    sizes = profile.thread_sizes(_subs(spark, sf), threads.flat_comments(_coms(spark, sf)))
     return _rounded(profile.comment_count_distribution(sizes), "count_mean", "count_std")
 
 
@@ -340,7 +340,8 @@ def pair_quality(spark, sf):
 @_query
 def pair_similarity(spark, sf):
     result = similarity.pair_similarity(_pairs(spark, sf))
-    return _rounded(result, *[c for c in result.columns if c not in ("question_id", "pairs")])
+    sums = [c for c in result.columns if c.startswith("sum_")]
+    return _rounded(_rounded(result, *sums, digits=3), "min_x", "max_x", "min_y", "max_y")
 
 
 @_query

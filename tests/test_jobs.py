@@ -1,0 +1,55 @@
+import json
+from functools import partial
+
+from palaver.functions.standins import HashingEmbedder, keyword_generator
+from palaver.operators import clean
+from palaver.plans import jobs
+from palaver.plans.fixtures import view
+from palaver.sources import tables
+
+
+def _dump(df, path):
+    with open(path, "w", encoding="utf-8") as out:
+        for row in df.collect():
+            out.write(json.dumps({**row.asDict(), "extra": 1}) + "\n")
+        out.write("{broken\n")
+    return str(path)
+
+
+def test_jobs_from_dumps_to_statistics(spark, sf, tmp_path):
+    """The whole chain on the smallest tables."""
+    subs = _dump(view(spark, sf, "raw_submissions"), tmp_path / "subs.json")
+    coms = _dump(view(spark, sf, "raw_comments"), tmp_path / "coms.json")
+    subs = jobs.filter_dump(spark, subs, clean.SUBMISSION_COLUMNS)
+    coms = jobs.filter_dump(spark, coms, clean.COMMENT_COLUMNS)
+    assert subs.endswith("subs_filtered.json")
+    assert all("extra" not in json.loads(r["value"]) for r in spark.read.text(subs).collect())
+
+    store = str(tmp_path / "threads")
+    jobs.build_threads(spark, subs, coms, store, 20)
+    stored = spark.read.parquet(store)
+    assert stored.schema.simpleString() == tables.THREAD_SCHEMA.simpleString()
+    expected = clean.clean_submissions(view(spark, sf, "raw_submissions")).count()
+    assert stored.where("segment = 0").count() == expected < stored.count()
+
+    stats = jobs.profile_threads(spark, store, str(tmp_path / "report"))
+    values = {r["label"]: r["value"] for r in stats.collect()}
+    assert values["Total Submissions"] == f"{expected:,}"
+    assert spark.read.text(str(tmp_path / "report")).count() == 29
+
+    labels, styles, answers = (str(tmp_path / n) for n in ("labels", "styles", "answers"))
+    jobs.classify_questions(spark, store, keyword_generator, labels, n=60)
+    shown = jobs.inspect_labels(spark, labels, 3)
+    assert sum(r["n"] for r in shown["distribution"].collect()) == spark.read.parquet(labels).count() <= 60
+    assert shown["examples"].count() <= 6
+
+    embedder = partial(HashingEmbedder, 16)
+    jobs.style_vectors(spark, store, embedder, styles, min_comments=1, min_chars=50)
+    jobs.answer_vectors(spark, store, labels, styles, embedder, answers, min_chars=50)
+    assert spark.read.parquet(answers).groupBy("question_id", "author").count().where("count > 1").count() == 0
+
+    result = jobs.correlate(spark, answers, styles)
+    assert set(result) == {"quality", "correlation", "ellipse", "regression", "histograms", "hexagons"}
+    pairs = result["quality"].first()["n_finite"]
+    assert result["correlation"].first()["n_pairs"] == pairs
+    assert sum(r["n"] for r in result["hexagons"].collect()) == pairs

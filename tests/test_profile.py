@@ -1,0 +1,130 @@
+import math
+import random
+import statistics
+
+import numpy as np
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from palaver.operators import profile, threads
+from palaver.operators.quantiles import RANGE_WIDTH, exact_quantiles
+from palaver.operators.running import running_total
+from palaver.sources.tables import write_report
+
+SUBS = "id string, title string, author string, created_utc bigint, over_18 boolean, score bigint, num_comments bigint"
+COMS = "question_id string, comment_id string, body string, ups bigint, downs bigint, created_utc bigint, author string"
+
+
+def _tables(spark):
+    subs = [("a", "xx", "ann", 100, True, 5, 0), ("b", None, "bob", 50, False, None, 0), ("c", "xyz😀", "ann", None, False, 2, 0)]
+    coms = [("a", "1", "hello", 1, 0, 1, "bob"), ("a", "2", "hé", 3, None, 2, "cat"), ("c", "3", None, None, 4, 3, None), ("zz", "4", "x", 0, 0, 0, "dan")]
+    return spark.createDataFrame(subs, SUBS), spark.createDataFrame(coms, COMS)
+
+
+def test_general_metadata(spark):
+    subs, _ = _tables(spark)
+    row = profile.general_metadata(subs).first()
+    assert (row["n_submissions"], row["min_ts"], row["max_ts"], row["n_nsfw"]) == (3, 50, 100, 1)
+    assert row["date_start"] == "1970-01-01 00:00:50" and math.isclose(row["nsfw_share"], 1 / 3)
+    empty = profile.general_metadata(subs.limit(0)).first()
+    assert empty["n_submissions"] == 0 and empty["nsfw_share"] is None
+
+
+def test_thread_sizes_count_only_known_threads(spark):
+    subs, coms = _tables(spark)
+    assert {r["id"]: r["n_comments"] for r in profile.thread_sizes(subs, coms).collect()} == {"a": 2, "b": 0, "c": 1}
+
+
+def test_stored_sizes_add_up_segments(spark):
+    rows = [("a", 0, ["x", "y"]), ("a", 1, ["z"]), ("b", 0, None)]
+    df = spark.createDataFrame(rows, "id string, segment int, top_level_comments array<string>")
+    assert {r["id"]: r["n_comments"] for r in profile.stored_thread_sizes(df).collect()} == {"a": 3, "b": 0}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_exact_quantiles_against_sorting(spark, seed):
+    rng = random.Random(seed)
+    values = [rng.choice([0, 0, 0, rng.randrange(5), rng.randrange(-10**6, 10**6)]) for _ in range(rng.randrange(1, 700))]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v bigint")
+    qs = (0.0, 0.01, 0.37, 0.5, 0.99, 1.0)
+    wanted = {f"n{i}": (q, "nearest") for i, q in enumerate(qs)} | {f"l{i}": (q, "linear") for i, q in enumerate(qs)}
+    row = exact_quantiles(df, "v", wanted).first()
+    ordered = sorted(values)
+    for i, q in enumerate(qs):
+        assert row[f"n{i}"] == ordered[math.floor((len(values) - 1) * q + 0.5)]
+        assert math.isclose(row[f"l{i}"], float(np.quantile(values, q)), abs_tol=1e-6)
+
+
+def test_quantiles_of_nothing(spark):
+    row = exact_quantiles(spark.createDataFrame([(None,)], "v bigint"), "v", {"m": (0.5, "linear")}).first()
+    assert row["m"] is None
+
+
+def test_value_ranges_are_ordered():
+    assert math.floor(-1 / RANGE_WIDTH) < math.floor(0 / RANGE_WIDTH) <= math.floor(RANGE_WIDTH / RANGE_WIDTH)
+
+
+def test_running_total_equals_plain_window(spark):
+    rng = random.Random(9)
+    rows = [(f"q{i:05d}" if i else None, rng.randrange(0, 50)) for i in range(1000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v bigint").repartition(5)
+    plain = Window.orderBy(F.col("k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    expected = {r["k"]: r["b"] for r in df.select("k", F.coalesce(F.sum("v").over(plain), F.lit(0)).alias("b")).collect()}
+    for parts in (1, 3, 16):
+        got = running_total(df, "k", "v", buckets=parts).collect()
+        assert {r["k"]: r["before"] for r in got} == expected
+        assert {r["grand_total"] for r in got} == {sum(v for _, v in rows)}
+
+
+def test_content_stats(spark):
+    subs, coms = _tables(spark)
+    row = profile.submission_content_stats(subs).first()
+    assert row["title_len_mean"] == 3 and row["score_mean"] == 3.5 and row["score_median"] == 3.5
+    row = profile.comment_content_stats(coms.where("question_id <> 'zz'")).first()
+    assert row["body_len_mean"] == 3.5 and row["ups_mean"] == 2 and row["downs_mean"] == 2
+
+
+def test_author_overlap_leaves_nulls_out(spark):
+    subs, coms = _tables(spark)
+    row = profile.author_overlap(subs, coms).first()
+    assert (row["n_submission_authors"], row["n_comment_authors"], row["n_union"], row["n_both"]) == (2, 3, 4, 1)
+    assert row["n_union"] + row["n_both"] == row["n_submission_authors"] + row["n_comment_authors"]
+    assert profile.author_union(subs, coms).count() == 4
+    assert [r["author"] for r in profile.author_intersection(subs, coms).collect()] == ["bob"]
+    assert profile.author_overlap(subs.limit(0), coms.limit(0)).first()["share_both"] == 0
+
+
+def test_distribution(spark):
+    sizes = [0] * 50 + [1] * 30 + [7] * 19 + [400]
+    df = spark.createDataFrame([(str(i), n) for i, n in enumerate(sizes)], "id string, n_comments bigint")
+    row = profile.comment_count_distribution(df).first()
+    assert math.isclose(row["count_mean"], statistics.mean(sizes)) and math.isclose(row["count_std"], statistics.stdev(sizes))
+    assert (row["p01"], row["p50"], row["p99"], row["count_max"]) == (0, 0.5, 7, 400)
+
+
+def test_report_text(spark, tmp_path):
+    subs, coms = _tables(spark)
+    stats = profile.thread_report(subs, coms.where("question_id <> 'zz'"))
+    out = str(tmp_path / "report")
+    write_report(profile.render_report(stats), out)
+    lines = [r["value"] for r in spark.read.text(out).collect()]
+    assert lines[:3] == ["", "=" * 20 + " General Metadata " + "=" * 20, "Total Submissions".ljust(40) + " : 3"]
+    assert "NSFW Submissions".ljust(40) + " : 1 (33.33%)" in lines
+    assert "Mean Comments per Sub".ljust(40) + " : 1.0000" in lines
+    # 3.5 is printed to the even neighbour, as the usual formatters do.
+    assert "Median Submission Score".ljust(40) + " : 4" in lines
+    assert sum(line.startswith("=") for line in lines) == 4 and len(lines) == 29
+
+
+def test_profile_reads_only_what_it_needs(spark, tmp_path):
+    subs, coms = _tables(spark)
+    nested = coms.groupBy("question_id").agg(
+        F.collect_list(F.struct(F.col("comment_id").alias("id"), "body", "ups", "downs", "created_utc", "author")).alias("top_level_comments")
+    )
+    path = str(tmp_path / "threads")
+    subs.withColumn("segment", F.lit(0)).join(nested, F.col("id") == F.col("question_id"), "left").drop("question_id").write.parquet(path)
+    flat = threads.explode_comments(spark.read.parquet(path))
+    plan = profile.author_union(spark.read.parquet(path), flat)._jdf.queryExecution().executedPlan().toString()
+    assert "array<struct<author:string>>" in plan and "body" not in plan
