@@ -14,15 +14,20 @@ ANSWER_MIN_CHARS = 250
 
 
 def valid_questions(classified: DataFrame, label: str = VALID) -> DataFrame:
-    return classified.where(F.col("label") == label).select("id").distinct()
+    """Ids with the given label; the filter reaches the Parquet scan."""
+    return classified.where(F.col("label") == label).select("id")
 
 
 def answer_candidates(
     comments: DataFrame, questions: DataFrame, authors: DataFrame, min_len: int = ANSWER_MIN_CHARS
 ) -> DataFrame:
-    """Long comments on the given questions (``id``) by the given authors (``author``)."""
+    """Long comments on the given questions (``id``) by the given authors (``author``).
+
+    Both lists should be stored tables: their true size then decides whether they are
+    broadcast, and a semi join needs no distinct, which would keep a crowded key from being split.
+    """
     ids = questions.select(F.col("id").alias("_qid"))
-    names = authors.select(F.col("author").alias("_name")).distinct()
+    names = authors.select(F.col("author").alias("_name"))
     return (
         comments.where(F.col("body").isNotNull() & min_chars(F.col("body"), min_len))
         .join(ids, F.col("question_id") == F.col("_qid"), "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.text import min_chars
 from palaver.operators.segments import MAX_ROWS, fresh_key, plan_segments
+from palaver.session import key_table
 
 # Default thresholds.
 MIN_COMMENTS = 50
@@ -36,9 +37,12 @@ def prolific_comments(
     """Long comments of prolific authors.
 
     Counting first and semi-joining after keeps bodies out of any per-author sort: only
-    names are counted, with partial counts, and one author's rows may stay on many tasks.
+    names are counted, with partial counts. The list of names is written once; a short one is
+    broadcast and bodies are not shuffled at all.
     """
-    names = prolific_authors(comments, min_comments, min_len).select(F.col("author").alias("_name"))
+    names = key_table(
+        prolific_authors(comments, min_comments, min_len).select(F.col("author").alias("_name")), "prolific"
+    )
     return long_comments(comments, min_len).join(names, F.col("author") == F.col("_name"), "left_semi")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palaver.functions.labels import parse_label, render_prompt
+from palaver.functions.labels import VALID, parse_label, render_prompt
 from palaver.functions.vectors import ANSWER_EPS, mean_vectors
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -95,6 +95,8 @@ def classify_texts(
                 replies.extend(generate(messages[i : i + batch_size]))
             yield pd.Series(replies, dtype="object")
 
+    # Marked as not repeatable, so that the filter on the label never calls the model again.
+    complete = complete.asNondeterministic()
     return (
         df.select(id_col, text_col, complete(render_prompt(F.col(text_col))).alias("_reply"))
         .select(id_col, text_col, parse_label(F.col("_reply")).alias("label"))
@@ -104,11 +106,10 @@ def classify_texts(
 
 def label_distribution(classified: DataFrame) -> DataFrame:
     """Rows per label in label order, with the overall share of Valid and of all the rest."""
-    totals = classified.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.try_divide(F.count_if(F.col("label") == "Valid"), F.count(F.lit(1))).alias("valid_share"),
-    ).select("total", "valid_share", (F.lit(1.0) - F.col("valid_share")).alias("invalid_share"), F.lit(1).alias("_one"))
     per_label = classified.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
+    valid = F.coalesce(F.sum(F.when(F.col("label") == VALID, F.col("n"))), F.lit(0))
+    totals = per_label.groupBy("_one").agg(F.sum("n").alias("total"), F.try_divide(valid, F.sum("n")).alias("valid_share"))
+    totals = totals.withColumn("invalid_share", F.lit(1.0) - F.col("valid_share"))
     return (
         per_label.join(F.broadcast(totals), "_one")
         .select("label", "n", F.try_divide("n", "total").alias("share"), "total", "valid_share", "invalid_share")

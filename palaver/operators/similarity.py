@@ -138,6 +138,9 @@ def plan_pairs(
 ) -> PairPlan:
     """Decide from counts which questions are compared.
 
+    Both tables are read twice, for counting (no vectors leave the scan) and for comparing, so
+    they should be stored ones.
+
     ``row_key`` names the columns that tell the answers to one question apart.
     """
     sizes = stage(question_sizes(answers, styles).where(F.col("n") >= 2), "question-sizes")

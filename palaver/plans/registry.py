@@ -17,7 +17,7 @@ from palaver.operators import authors as auth
 from palaver.operators import clean, inference, profile, sampling, similarity, threads
 from palaver.plans.fixtures import table, view
 from palaver.plans.oracles import PARAMS
-from palaver.session import scratch_path, ship_package
+from palaver.session import key_table, scratch_path, ship_package, stage
 from palaver.sources import jsonl, manifest, tables
 from palaver.sources.arrow_ipc import register_arrow_ipc
 
@@ -72,7 +72,8 @@ def _prolific(spark, sf):
 
 def _candidates(spark, sf):
     questions = ans.valid_questions(_classified(spark, sf))
-    return ans.answer_candidates(_flat(spark, sf), questions, _prolific(spark, sf), PARAMS["answer_min_chars"])
+    authors = key_table(_prolific(spark, sf).select("author"), "authors")
+    return ans.answer_candidates(_flat(spark, sf), questions, authors, PARAMS["answer_min_chars"])
 
 
 def _styles(spark, sf):
@@ -80,7 +81,8 @@ def _styles(spark, sf):
 
 
 def _pairs(spark, sf):
-    return similarity.plan_pairs(view(spark, sf, "answer_vectors"), _styles(spark, sf), row_key=("author", "vec_id"))
+    styles = stage(_styles(spark, sf), "styles")
+    return similarity.plan_pairs(view(spark, sf, "answer_vectors"), styles, row_key=("author", "vec_id"))
 
 
 def _text(col: Column) -> Column:

@@ -83,3 +83,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a counted, narrow table for broadcast if it is small; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def key_table(df: DataFrame, label: str) -> DataFrame:
+    """A list of keys for a semi join: written once, and broadcast if it turns out small.
+
+    Where it is large the join shuffles both sides. As the list is then read from a table and
+    not aggregated in the join's own stage, adaptive execution can split a crowded key.
+    """
+    keys = stage(df, label)
+    return small_side(keys, keys.count())

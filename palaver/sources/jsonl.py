@@ -49,8 +49,13 @@ def projected_json(line: Column, keys: list[str] | tuple[str, ...]) -> Column:
 
 
 def project_json_keys(df: DataFrame, keys: list[str] | tuple[str, ...], col: str = "value") -> DataFrame:
-    """Replace each line by its projection and drop lines that are not JSON objects."""
-    return df.withColumn(col, projected_json(F.col(col), keys)).where(F.col(col).isNotNull())
+    """Replace each line by its projection and drop lines that are not JSON objects.
+
+    Exploding a list of at most one element parses each line once; a filter on the result
+    would be pushed below the projection and parse it again.
+    """
+    found = F.explode(F.array_compact(F.array(projected_json(F.col(col), keys))))
+    return df.select(*(found.alias(col) if c == col else F.col(c) for c in df.columns))
 
 
 def count_bad_lines(df: DataFrame, col: str = "value") -> DataFrame:

@@ -49,6 +49,8 @@ def test_json_projection_keeps_nulls_and_omits_absent_keys(spark, tmp_path):
     got = [json.loads(r["value"]) for r in jsonl.project_json_keys(lines, ("id", "title", "author", "extra")).collect()]
     expected = [{k: v for k, v in json.loads(line).items() if k in ("id", "title", "author", "extra")} for line in (LINES[0], LINES[4], LINES[5])]
     assert sorted(got, key=lambda r: r["id"]) == sorted(expected, key=lambda r: r["id"])
+    plan = jsonl.project_json_keys(lines, ("id",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("map_filter") == 1
     row = jsonl.count_bad_lines(lines).first()
     assert (row["n_lines"], row["n_bad"]) == (5, 2)
 

@@ -92,3 +92,5 @@ def test_classify_texts_drops_unreadable_replies(spark):
     df = spark.createDataFrame(rows, "id string, title string").repartition(2)
     got = {r["id"]: r["label"] for r in inference.classify_texts(df, keyword_generator, batch_size=1).collect()}
     assert got == {"1": "Valid", "2": "Invalid", "4": "Invalid"}
+    plan = inference.classify_texts(df, keyword_generator)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
