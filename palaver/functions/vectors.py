@@ -33,6 +33,11 @@ def l2_normalize(vec: Column, eps: float = PAIR_EPS) -> Column:
     return F.element_at(F.transform(length, lambda n: F.transform(doubles, lambda x: x / n)), 1)
 
 
+def cosine(a: Column, b: Column, eps: float = PAIR_EPS) -> Column:
+    """Cosine of two vectors, for single comparisons; many pairs go by matrix products."""
+    return dot(l2_normalize(a, eps), l2_normalize(b, eps))
+
+
 def mean_vectors(df: DataFrame, key: str, vec: str, count_name: str = "num_comments_used") -> DataFrame:
     """One mean vector per key and the number of rows behind it.
 

@@ -14,8 +14,8 @@ ANSWER_MIN_CHARS = 250
 
 
 def valid_questions(classified: DataFrame, label: str = VALID) -> DataFrame:
-    """Ids with the given label; the filter reaches the Parquet scan."""
-    return classified.where(F.col("label") == label).select("id")
+    """Distinct ids with the given label; the filter reaches the Parquet scan."""
+    return classified.where(F.col("label") == label).select("id").distinct()
 
 
 def answer_candidates(

@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.text import min_chars
-from palaver.operators.segments import MAX_ROWS, fresh_key, plan_segments
-from palaver.session import key_table
+from palaver.operators.segments import segments_of_counts
+from palaver.session import small_side, stage
 
 # Default thresholds.
 MIN_COMMENTS = 50
 STYLE_MIN_CHARS = 255
 
+#: Comments of one author that are handled together.
+SEGMENT_ROWS = 2_000
+
 
 def long_comments(comments: DataFrame, min_len: int = STYLE_MIN_CHARS) -> DataFrame:
     """Comments by a known author whose body has at least ``min_len`` characters."""
@@ -32,34 +35,42 @@ def prolific_authors(
 
 
 def prolific_comments(
-    comments: DataFrame, min_comments: int = MIN_COMMENTS, min_len: int = STYLE_MIN_CHARS
+    comments: DataFrame,
+    min_comments: int = MIN_COMMENTS,
+    min_len: int = STYLE_MIN_CHARS,
+    max_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Long comments of prolific authors.
+    """Long comments of prolific authors, each with the ``segment`` of its author it belongs to.
 
-    Counting first and semi-joining after keeps bodies out of any per-author sort: only
-    names are counted, with partial counts. The list of names is written once; a short one is
-    broadcast and bodies are not shuffled at all.
+    An author has one segment per ``max_rows`` comments. Authors are counted first, so bodies
+    stay out of any window, and the counts are written once: a short list is broadcast, and a
+    long one meets the comments on (author, segment), which spreads a crowded author over
+    tasks and leaves rows where the next step groups them.
     """
-    names = key_table(
-        prolific_authors(comments, min_comments, min_len).select(F.col("author").alias("_name")), "prolific"
+    counts = stage(prolific_authors(comments, min_comments, min_len), "prolific")
+    segments = segments_of_counts(counts, "author", "n_comments", max_rows)
+    names = segments.expand(counts, "author").select(F.col("author").alias("_name"), F.col("segment").alias("_seg"))
+    labelled = segments.label(long_comments(comments, min_len), "author", F.col("comment_id"))
+    return labelled.join(
+        small_side(names, names.count()),
+        (F.col("author") == F.col("_name")) & (F.col("segment") == F.col("_seg")),
+        "left_semi",
     )
-    return long_comments(comments, min_len).join(names, F.col("author") == F.col("_name"), "left_semi")
 
 
 def author_bodies(
     comments: DataFrame,
     min_comments: int = MIN_COMMENTS,
     min_len: int = STYLE_MIN_CHARS,
-    max_bodies_per_row: int = MAX_ROWS,
+    max_bodies_per_row: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Bodies per prolific author as lists of bounded length: (author, segment, bodies).
 
-    Style vectors do not need it: they are built row by row and averaged.
+    Style vectors do not need it: they are summed up as the bodies are embedded.
     """
-    kept = prolific_comments(comments, min_comments, min_len)
-    labelled = plan_segments(kept, "author", max_bodies_per_row).label(kept, "author", F.col("comment_id"))
+    kept = prolific_comments(comments, min_comments, min_len, max_bodies_per_row)
     return (
-        labelled.groupBy(fresh_key("author", "segment").alias("_key"))
+        kept.groupBy("author", "segment")
         .agg(F.sort_array(F.collect_list(F.struct("comment_id", "body"))).alias("_rows"))
-        .select("_key.author", "_key.segment", F.transform("_rows", lambda r: r["body"]).alias("bodies"))
+        .select("author", "segment", F.transform("_rows", lambda r: r["body"]).alias("bodies"))
     )

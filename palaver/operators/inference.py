@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palaver.functions.labels import VALID, parse_label, render_prompt
-from palaver.functions.vectors import ANSWER_EPS, mean_vectors
+from palaver.functions.vectors import ANSWER_EPS
+from palaver.operators.segments import fresh_key
 
 Embedder = Callable[[list[str]], np.ndarray]
 Generator = Callable[[list[list[dict]]], list[str]]
@@ -26,6 +29,11 @@ STYLE_BATCH = 32
 ANSWER_BATCH = 8
 
 
+def _in_batches(embedder: Embedder, texts: list[str], batch_size: int) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), batch_size):
+        yield np.asarray(embedder(texts[at : at + batch_size]), dtype=np.float64)
+
+
 def embed_texts(
     df: DataFrame,
     text_col: str,
@@ -34,10 +42,12 @@ def embed_texts(
     normalize: bool = False,
     batch_size: int = STYLE_BATCH,
     out: str = "embedding",
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Replace ``text_col`` by a float vector; ``keep`` names the columns carried along.
 
     Rows cross to Python once, in Arrow batches, and are embedded ``batch_size`` at a time.
+    ``profile`` asks for resources, such as one GPU per task, for this stage alone.
     """
     source = df.select(*keep, text_col)
     fields = [source.schema[c] for c in keep]
@@ -48,57 +58,91 @@ def embed_texts(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            texts = batch.column(text_col).to_pylist()
-            blocks = [
-                np.asarray(embedder(texts[i : i + batch_size]), dtype=np.float64)
-                for i in range(0, len(texts), batch_size)
-            ]
-            vectors = np.vstack(blocks)
+            vectors = np.vstack(list(_in_batches(embedder, batch.column(text_col).to_pylist(), batch_size)))
             if normalize:
                 lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                 vectors = vectors / np.maximum(lengths, ANSWER_EPS)
             width = vectors.shape[1]
-            offsets = np.arange(0, (len(texts) + 1) * width, width, dtype=np.int32)
+            offsets = np.arange(0, (batch.num_rows + 1) * width, width, dtype=np.int32)
             column = pa.ListArray.from_arrays(offsets, pa.array(vectors.astype(np.float32).ravel()))
             arrays = [batch.column(c) for c in keep] + [column]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, out])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema, profile=profile)
 
 
 def embed_authors(
     comments: DataFrame, factory: Callable[[], Embedder], batch_size: int = STYLE_BATCH
 ) -> DataFrame:
-    """Style vector per author: embed each body, then average; no list of texts is built."""
-    return mean_vectors(embed_texts(comments, "body", factory, ["author"], batch_size=batch_size), "author", "embedding")
+    """Style vector per author: the mean over the embedded bodies.
+
+    Takes the rows of :func:`palaver.operators.authors.prolific_comments`. Bodies are grouped
+    by (author, segment) and only the sum of each group leaves Python, so what is shuffled is
+    the text, once, and never a vector per comment.
+    """
+    schema = "author string, sums array<double>, n bigint"
+    loaded: list[Embedder] = []
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        if not loaded:
+            loaded.append(factory())
+        texts = group.column("body").to_pylist()
+        total = sum(block.sum(axis=0) for block in _in_batches(loaded[0], texts, batch_size))
+        return pa.table(
+            {
+                "author": pa.array([key[0].as_py()], pa.string()),
+                "sums": pa.array([total], pa.list_(pa.float64())),
+                "n": pa.array([len(texts)], pa.int64()),
+            }
+        )
+
+    parts = comments.select("author", "segment", "body").groupBy("author", "segment").applyInArrow(run, schema)
+    return (
+        parts.groupBy(fresh_key("author").alias("_key"))
+        .agg(Summarizer.sum(array_to_vector("sums")).alias("_sum"), F.sum("n").cast("int").alias("num_comments_used"))
+        .select(
+            "_key.author",
+            F.transform(vector_to_array("_sum"), lambda s: (s / F.col("num_comments_used")).cast("float")).alias("embedding"),
+            "num_comments_used",
+        )
+    )
 
 
 def embed_answers(
-    answers: DataFrame, factory: Callable[[], Embedder], batch_size: int = ANSWER_BATCH
+    answers: DataFrame,
+    factory: Callable[[], Embedder],
+    batch_size: int = ANSWER_BATCH,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Unit vector per answer: (question_id, author, embedding)."""
-    return embed_texts(answers, "body", factory, ["question_id", "author"], normalize=True, batch_size=batch_size)
+    keep = ["question_id", "author"]
+    return embed_texts(answers, "body", factory, keep, normalize=True, batch_size=batch_size, profile=profile)
 
 
 def classify_texts(
-    df: DataFrame, factory: Callable[[], Generator], id_col: str = "id", text_col: str = "title", batch_size: int = 32
+    df: DataFrame,
+    factory: Callable[[], Generator],
+    id_col: str = "id",
+    text_col: str = "title",
+    batch_size: int = 32,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Label texts with a chat model; rows whose reply names neither label are dropped."""
+    prompts = df.select(id_col, text_col, render_prompt(F.col(text_col)).alias("_chat"))
+    schema = T.StructType([prompts.schema[id_col], prompts.schema[text_col], T.StructField("_reply", T.StringType())])
 
-    @F.pandas_udf(T.StringType())
-    def complete(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         generate = factory()
-        for series in prompts:
-            messages = [[dict(role=m["role"], content=m["content"]) for m in chat] for chat in series]
+        for batch in batches:
+            chats = batch.column("_chat").to_pylist()
             replies: list[str] = []
-            for i in range(0, len(messages), batch_size):
-                replies.extend(generate(messages[i : i + batch_size]))
-            yield pd.Series(replies, dtype="object")
+            for at in range(0, len(chats), batch_size):
+                replies.extend(generate(chats[at : at + batch_size]))
+            arrays = [batch.column(id_col), batch.column(text_col), pa.array(replies, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, text_col, "_reply"])
 
-    # Marked as not repeatable, so that the filter on the label never calls the model again.
-    complete = complete.asNondeterministic()
     return (
-        df.select(id_col, text_col, complete(render_prompt(F.col(text_col))).alias("_reply"))
+        prompts.mapInArrow(run, schema, profile=profile)
         .select(id_col, text_col, parse_label(F.col("_reply")).alias("label"))
         .where(F.col("label").isNotNull())
     )

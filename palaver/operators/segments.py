@@ -60,15 +60,22 @@ class Segmentation:
 def plan_segments(df: DataFrame, key: str, max_rows: int = MAX_ROWS) -> Segmentation:
     """Count rows per key and keep only the keys that need more than one segment.
 
-    The count is pre-aggregated before its shuffle and reads the key column only. Its result
-    is written to the shared folder, so the two later uses do not repeat the pass.
+    The count is pre-aggregated before its shuffle and reads the key column only.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return segments_of_counts(counts, key, "_n", max_rows)
+
+
+def segments_of_counts(counts: DataFrame, key: str, n: str, max_rows: int = MAX_ROWS) -> Segmentation:
+    """The same from rows per key that are known already.
+
+    The short list of crowded keys is written to the shared folder, so that the later uses
+    do not repeat the count.
     """
     crowded = stage(
-        df.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("_crowded_key"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > max_rows)
-        .select("_crowded_key", F.ceil(F.col("_n") / max_rows).cast("int").alias("_segments")),
+        counts.where(F.col(n) > max_rows).select(
+            F.col(key).alias("_crowded_key"), F.ceil(F.col(n) / max_rows).cast("int").alias("_segments")
+        ),
         "crowded",
     )
     rows = crowded.count()

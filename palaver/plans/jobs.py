@@ -15,7 +15,7 @@ from palaver.operators import answers as ans
 from palaver.operators import authors as auth
 from palaver.operators import clean, inference, profile, sampling, similarity, threads
 from palaver.operators.segments import MAX_ROWS
-from palaver.session import ship_package, stage
+from palaver.session import key_table, ship_package, stage
 from palaver.sources import jsonl, tables
 
 
@@ -93,7 +93,8 @@ def answer_vectors(
     """Unit vector of the oldest long answer of each styled author to each valid question."""
     ship_package(spark)
     comments = threads.explode_comments(spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path))
-    questions = ans.valid_questions(spark.read.schema(tables.CLASSIFIED_SCHEMA).parquet(classified_path))
+    classified = spark.read.schema(tables.CLASSIFIED_SCHEMA).parquet(classified_path)
+    questions = key_table(ans.valid_questions(classified), "questions")
     authors = tables.read_parquet(spark, styles_path, ["author"])
     oldest = ans.oldest_answer(ans.answer_candidates(comments, questions, authors, min_chars))
     tables.write_table(inference.embed_answers(oldest, factory), out, tables.ANSWER_SCHEMA)

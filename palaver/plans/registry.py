@@ -71,7 +71,7 @@ def _prolific(spark, sf):
 
 
 def _candidates(spark, sf):
-    questions = ans.valid_questions(_classified(spark, sf))
+    questions = key_table(ans.valid_questions(_classified(spark, sf)), "questions")
     authors = key_table(_prolific(spark, sf).select("author"), "authors")
     return ans.answer_candidates(_flat(spark, sf), questions, authors, PARAMS["answer_min_chars"])
 
@@ -313,7 +313,9 @@ def vector_table_schema(spark, sf):
 
 @_query
 def embed_comments(spark, sf):
-    chosen = auth.prolific_comments(_flat(spark, sf), PARAMS["min_comments"], PARAMS["style_min_chars"])
+    chosen = auth.prolific_comments(
+        _flat(spark, sf), PARAMS["min_comments"], PARAMS["style_min_chars"], PARAMS["bodies_per_row"]
+    )
     vectors = inference.embed_authors(chosen, partial(HashingEmbedder, PARAMS["width"]))
     return _by_dim(vectors, "embedding", "author", "num_comments_used")
 

@@ -20,6 +20,8 @@ def get_session(app: str = "palaver", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Where a join has sorted the rows already, nesting them needs no second sort.
+        "spark.sql.execution.replaceHashWithSortAgg": "true",
         "spark.sql.parquet.compression.codec": "zstd",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
     }

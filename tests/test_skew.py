@@ -3,10 +3,12 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.operators import answers, authors, clean, profile, threads
+from palaver.functions.standins import HashingEmbedder
+from palaver.operators import answers, authors, clean, inference, profile, threads
 from palaver.operators import similarity as sim
 from palaver.session import stage
 
@@ -26,11 +28,11 @@ SETTINGS = {
 
 @pytest.fixture
 def small_thresholds(spark, monkeypatch):
-    """Every table counts as large, every partition above some kilobytes as skewed."""
+    """Every table but the list of crowded keys counts as large, every partition above some kilobytes as skewed."""
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
-    for module in ("palaver.session", "palaver.operators.similarity", "palaver.operators.segments"):
+    for module in ("palaver.session", "palaver.operators.similarity", "palaver.operators.authors"):
         monkeypatch.setattr(f"{module}.small_side", lambda df, rows, limit=0: df)
     yield
     for k, v in before.items():
@@ -73,11 +75,26 @@ def test_matching(spark, comments, small_thresholds):
 
 
 def test_prolific_comments(comments, small_thresholds):
-    chosen = authors.prolific_comments(comments, 10, 255)
-    rows, split = _split_joins(chosen.select("author", F.md5("body")))
-    assert split == 1
+    chosen = authors.prolific_comments(comments, 10, 255, 40)
+    rows = chosen.select("author", "segment", F.md5("body"), F.spark_partition_id().alias("p")).collect()
     expected = authors.prolific_authors(comments, 10, 255).collect()
     assert Counter(r["author"] for r in rows) == {r["author"]: r["n_comments"] for r in expected}
+    assert len({r["p"] for r in rows if r["author"] == "hot"}) > 3
+    assert max(Counter((r["author"], r["segment"]) for r in rows).values()) < 80
+
+
+def test_style_vectors_shuffle_text_once(comments, small_thresholds):
+    chosen = authors.prolific_comments(comments, 10, 255, 40)
+    vectors = inference.embed_authors(chosen, lambda: HashingEmbedder(8))
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("FlatMapGroupsInArrow") :]
+    # Comments and author names meet on (author, segment); grouping adds no exchange.
+    assert below.count("Exchange hashpartitioning(author") == 1, below
+    model = HashingEmbedder(8)
+    bodies = [r["body"] for r in comments.where("author = 'hot' and char_length(body) >= 255").collect()]
+    hot = vectors.where("author = 'hot'").first()
+    assert hot["num_comments_used"] == len(bodies)
+    assert np.allclose(hot["embedding"], model(bodies).mean(axis=0), rtol=1e-5)
 
 
 def test_oldest_answer(spark, comments, small_thresholds):
