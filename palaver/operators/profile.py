@@ -2,7 +2,8 @@
 
 All functions take flat tables: ``submissions`` (one row each) and ``comments`` in the columns
 of :func:`palaver.operators.threads.explode_comments`. From a thread store, pass
-``thread_heads(threads)`` and ``explode_comments(threads)``.
+``thread_heads(threads)`` and ``explode_comments(threads, fields=...)``, naming the fields a
+statistic needs, so that the scan reads no others.
 """
 
 from __future__ import annotations
@@ -48,10 +49,12 @@ def thread_sizes(submissions: DataFrame, comments: DataFrame) -> DataFrame:
 
 
 def stored_thread_sizes(threads: DataFrame) -> DataFrame:
-    """The same from stored threads, by list length; segments of a thread are added up."""
-    return threads.groupBy("id").agg(
-        F.sum(F.coalesce(F.array_size("top_level_comments"), F.lit(0))).cast("bigint").alias("n_comments")
-    )
+    """The same from stored threads, by list length; segments of a thread are added up.
+
+    The length is taken of one narrow field, so that the scan leaves the bodies alone.
+    """
+    length = F.coalesce(F.array_size("top_level_comments.created_utc"), F.lit(0))
+    return threads.groupBy("id").agg(F.sum(length).cast("bigint").alias("n_comments"))
 
 
 def comment_count_distribution(sizes: DataFrame) -> DataFrame:
@@ -91,23 +94,14 @@ def side_by_side(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def author_flags(submissions: DataFrame, comments: DataFrame) -> DataFrame:
-    """Each author once, with the sides they appear on; null authors are left out.
-
-    The null group is dropped by its count and not by a filter on the name: such a filter
-    would sink to the nested list of a thread store and make it read whole comments.
-    """
+    """Each author once, with the sides they appear on; null authors are left out."""
     asked = submissions.select("author", F.lit(True).alias("asked"), F.lit(False).alias("answered"))
     answered = comments.select("author", F.lit(False).alias("asked"), F.lit(True).alias("answered"))
     return (
         asked.unionByName(answered)
+        .where(F.col("author").isNotNull())
         .groupBy("author")
-        .agg(
-            F.bool_or("asked").alias("asked"),
-            F.bool_or("answered").alias("answered"),
-            F.count("author").alias("_named"),
-        )
-        .where(F.col("_named") > 0)
-        .drop("_named")
+        .agg(F.bool_or("asked").alias("asked"), F.bool_or("answered").alias("answered"))
     )
 
 
@@ -173,8 +167,21 @@ def _lines(stats: DataFrame, start: int, section: str, rows: list[tuple[str, Col
     return stats.select(F.inline(F.array(*entries)))
 
 
-def thread_report(submissions: DataFrame, comments: DataFrame) -> DataFrame:
-    """The whole profile in long form: (line_no, section, label, value)."""
+def thread_report(
+    submissions: DataFrame,
+    comments: DataFrame,
+    sizes: DataFrame | None = None,
+    comment_authors: DataFrame | None = None,
+) -> DataFrame:
+    """The whole profile in long form: (line_no, section, label, value).
+
+    ``sizes`` (comments per submission) and ``comment_authors`` (a column ``author``) may be
+    given where they are to be had more cheaply than from ``comments``.
+    """
+    if sizes is None:
+        sizes = thread_sizes(submissions, comments)
+    if comment_authors is None:
+        comment_authors = comments.select("author")
     parts = [
         _lines(
             general_metadata(submissions),
@@ -188,7 +195,7 @@ def thread_report(submissions: DataFrame, comments: DataFrame) -> DataFrame:
             ],
         ),
         _lines(
-            comment_count_distribution(thread_sizes(submissions, comments)),
+            comment_count_distribution(sizes),
             100,
             COUNTS,
             [
@@ -221,7 +228,7 @@ def thread_report(submissions: DataFrame, comments: DataFrame) -> DataFrame:
             ],
         ),
         _lines(
-            author_overlap(submissions, comments),
+            author_overlap(submissions, comment_authors),
             300,
             AUTHORS,
             [

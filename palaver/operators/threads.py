@@ -48,22 +48,22 @@ def thread_heads(threads: DataFrame) -> DataFrame:
     return threads.where(F.col("segment") == 0).drop("segment", "top_level_comments")
 
 
-def explode_comments(threads: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """Stored threads back to one row per comment.
-
-    With ``keep_empty`` a thread without comments gives one row of NULLs. Only the comment
-    fields that a later step uses are read from a Parquet store.
+def explode_comments(
+    threads: DataFrame, keep_empty: bool = False, fields: tuple[str, ...] = COMMENT_FIELDS
+) -> DataFrame:
+    """Stored threads back to one row per comment: ``question_id`` and the chosen fields.
+
+    The comment's ``id`` becomes ``comment_id``. With ``keep_empty`` a thread without comments
+    gives one row of NULLs. A Parquet scan reads just ``fields``: they are taken out of the
+    list before it is exploded, as the optimizer prunes below an explode only for one field.
     """
     unnest = F.explode_outer if keep_empty else F.explode
-    return threads.select(F.col("id").alias("question_id"), unnest("top_level_comments").alias("c")).select(
-        "question_id",
-        F.col("c.id").alias("comment_id"),
-        F.col("c.body").alias("body"),
-        F.col("c.ups").alias("ups"),
-        F.col("c.downs").alias("downs"),
-        F.col("c.created_utc").alias("created_utc"),
-        F.col("c.author").alias("author"),
-    )
+    if set(fields) == set(COMMENT_FIELDS):
+        comments = F.col("top_level_comments")
+    else:
+        comments = F.arrays_zip(*(F.col(f"top_level_comments.{f}").alias(f) for f in fields))
+    rows = threads.select(F.col("id").alias("question_id"), unnest(comments).alias("c"))
+    return rows.select("question_id", *(F.col(f"c.{f}").alias("comment_id" if f == "id" else f) for f in fields))
 
 
 def flat_comments(matched: DataFrame) -> DataFrame:

@@ -47,7 +47,13 @@ def build_threads(
 def profile_threads(spark: SparkSession, threads_path: str, out: str) -> DataFrame:
     """Write the text report of a thread store; returns its long form."""
     stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
-    stats = stage(profile.thread_report(threads.thread_heads(stored), threads.explode_comments(stored)), "report")
+    report = profile.thread_report(
+        threads.thread_heads(stored),
+        threads.explode_comments(stored, fields=("body", "ups", "downs")),
+        profile.stored_thread_sizes(stored),
+        threads.explode_comments(stored, fields=("author",)),
+    )
+    stats = stage(report, "report")
     tables.write_report(profile.render_report(stats), out)
     return stats
 
@@ -76,7 +82,8 @@ def style_vectors(
 ) -> None:
     """Mean vector of each prolific author's long comments."""
     ship_package(spark)
-    comments = threads.explode_comments(spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path))
+    stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
+    comments = threads.explode_comments(stored, fields=("id", "body", "author"))
     chosen = auth.prolific_comments(comments, min_comments, min_chars)
     tables.write_table(inference.embed_authors(chosen, factory), out, tables.STYLE_SCHEMA)
 
@@ -92,7 +99,8 @@ def answer_vectors(
 ) -> None:
     """Unit vector of the oldest long answer of each styled author to each valid question."""
     ship_package(spark)
-    comments = threads.explode_comments(spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path))
+    stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
+    comments = threads.explode_comments(stored, fields=("id", "body", "created_utc", "author"))
     classified = spark.read.schema(tables.CLASSIFIED_SCHEMA).parquet(classified_path)
     questions = key_table(ans.valid_questions(classified), "questions")
     authors = tables.read_parquet(spark, styles_path, ["author"])

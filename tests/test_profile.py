@@ -37,8 +37,8 @@ def test_thread_sizes_count_only_known_threads(spark):
 
 
 def test_stored_sizes_add_up_segments(spark):
-    rows = [("a", 0, ["x", "y"]), ("a", 1, ["z"]), ("b", 0, None)]
-    df = spark.createDataFrame(rows, "id string, segment int, top_level_comments array<string>")
+    rows = [("a", 0, [("x", 1), ("y", None)]), ("a", 1, [("z", 2)]), ("b", 0, None)]
+    df = spark.createDataFrame(rows, "id string, segment int, top_level_comments array<struct<body:string,created_utc:bigint>>")
     assert {r["id"]: r["n_comments"] for r in profile.stored_thread_sizes(df).collect()} == {"a": 3, "b": 0}
 
 
@@ -125,6 +125,11 @@ def test_profile_reads_only_what_it_needs(spark, tmp_path):
     )
     path = str(tmp_path / "threads")
     subs.withColumn("segment", F.lit(0)).join(nested, F.col("id") == F.col("question_id"), "left").drop("question_id").write.parquet(path)
-    flat = threads.explode_comments(spark.read.parquet(path))
-    plan = profile.author_union(spark.read.parquet(path), flat)._jdf.queryExecution().executedPlan().toString()
+    stored = spark.read.parquet(path)
+    plan = profile.author_union(stored, threads.explode_comments(stored, fields=("author",)))._jdf.queryExecution().executedPlan().toString()
     assert "array<struct<author:string>>" in plan and "body" not in plan
+    plan = profile.stored_thread_sizes(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:string,top_level_comments:array<struct<created_utc:bigint>>>" in plan
+    flat = threads.explode_comments(stored, fields=("body", "ups", "downs"))
+    plan = profile.comment_content_stats(flat)._jdf.queryExecution().executedPlan().toString()
+    assert "array<struct<body:string,ups:bigint,downs:bigint>>" in plan
