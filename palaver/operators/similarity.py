@@ -34,8 +34,12 @@ HISTOGRAM_BINS = 50
 HEX_COLUMNS = 60
 GRID_POINTS = 100
 
-#: Answers per block of a matrix product.
-BLOCK_ROWS = 1024
+#: Answers per block; two blocks make a tile.
+BLOCK_ROWS = 4096
+#: Rows of a tile that are multiplied at once, which bounds the memory of a task.
+CHUNK_ROWS = 512
+#: Questions with more answers than this give their sums by outer products.
+PRODUCTS_UP_TO = 1024
 #: Answers per block when only sums of outer products are kept.
 SUM_BLOCK_ROWS = 16_384
 
@@ -215,19 +219,22 @@ def _unit_rows(table: pa.Table, name: str) -> np.ndarray:
         return matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)), PAIR_EPS)
 
 
-def tile_cosines(key: tuple, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All finite (x, y) of one tile; within a single block each pair counts once."""
+def tile_cosines(key: tuple, table: pa.Table, chunk: int = CHUNK_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All finite (x, y) of one tile, some rows at a time; within one block each pair counts once."""
     semantic, style = _unit_rows(table, "embedding"), _unit_rows(table, "style")
-    with np.errstate(invalid="ignore"):
-        if key[1] == key[2]:
-            upper = np.triu_indices(table.num_rows, 1)
-            x, y = (semantic @ semantic.T)[upper], (style @ style.T)[upper]
-        else:
-            first = table.column("block").to_numpy() == key[1]
-            x = (semantic[first] @ semantic[~first].T).ravel()
-            y = (style[first] @ style[~first].T).ravel()
-    finite = np.isfinite(x) & np.isfinite(y)
-    return x[finite], y[finite]
+    within = key[1] == key[2]
+    first = np.ones(table.num_rows, dtype=bool) if within else table.column("block").to_numpy() == key[1]
+    left, right = (semantic[first], style[first]), (semantic[~first], style[~first])
+    for at in range(0, len(left[0]), chunk):
+        # Within a block, rows meet the rows after them.
+        others = (left[0][at:], left[1][at:]) if within else right
+        with np.errstate(invalid="ignore"):
+            x = left[0][at : at + chunk] @ others[0].T
+            y = left[1][at : at + chunk] @ others[1].T
+        wanted = np.isfinite(x) & np.isfinite(y)
+        if within:
+            wanted &= ~np.tri(*x.shape, dtype=bool)
+        yield x[wanted], y[wanted]
 
 
 _TILE_KEYS = ["question_id", "tile_i", "tile_j"]
@@ -248,10 +255,10 @@ def _summarize_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_pydict(data)
 
     for key, table in _runs(batches, _TILE_KEYS):
-        x, y = tile_cosines(key, table)
-        if len(x):
-            sums = (x.sum(), y.sum(), x @ x, y @ y, x @ y)
-            rows.append((key[0], len(x), *map(float, sums), *map(float, (x.min(), x.max(), y.min(), y.max()))))
+        for x, y in tile_cosines(key, table):
+            if len(x):
+                sums = (x.sum(), y.sum(), x @ x, y @ y, x @ y)
+                rows.append((key[0], len(x), *map(float, sums), *map(float, (x.min(), x.max(), y.min(), y.max()))))
         if len(rows) >= 4096:
             yield flush()
     if rows:
@@ -341,12 +348,12 @@ def _large_question_sums(plan: PairPlan, rows: DataFrame, block_rows: int) -> Da
 
 
 def pair_sums(
-    plan: PairPlan, large: int = BLOCK_ROWS, sum_block_rows: int = SUM_BLOCK_ROWS
+    plan: PairPlan, large: int = PRODUCTS_UP_TO, sum_block_rows: int = SUM_BLOCK_ROWS
 ) -> DataFrame:
     """One row: finite pairs and the sums and products of x and y over them.
 
     Work is linear in the answers: a question above ``large`` answers goes by outer products,
-    the others fit in one small matrix product each.
+    the others take one small matrix product each.
     """
     rows = plan.rows()
     parts = (
@@ -504,9 +511,10 @@ def marginal_histograms(plan: PairPlan, bins: int = HISTOGRAM_BINS, block_rows:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = {axis: np.zeros(bins, dtype=np.int64) for axis in ranges}
         for key, table in _runs(batches, _TILE_KEYS):
-            for (axis, (lo, hi)), values in zip(ranges.items(), tile_cosines(key, table)):
-                at = np.clip(np.floor((values - lo) / (hi - lo) * bins), 0, bins - 1).astype(np.int64)
-                totals[axis] += np.bincount(at, minlength=bins)
+            for pairs in tile_cosines(key, table):
+                for (axis, (lo, hi)), values in zip(ranges.items(), pairs):
+                    at = np.clip(np.floor((values - lo) / (hi - lo) * bins), 0, bins - 1).astype(np.int64)
+                    totals[axis] += np.bincount(at, minlength=bins)
         yield pa.RecordBatch.from_pydict(
             {
                 "axis": pa.array([a for a in ranges for _ in range(bins)], pa.string()),
@@ -539,7 +547,8 @@ def hexbin_density(plan: PairPlan, columns: int = HEX_COLUMNS, block_rows: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(2 * (grid.nx + 1) * (grid.ny + 1), dtype=np.int64)
         for key, table in _runs(batches, _TILE_KEYS):
-            totals += np.bincount(grid.cells(*tile_cosines(key, table)), minlength=len(totals))
+            for x, y in tile_cosines(key, table):
+                totals += np.bincount(grid.cells(x, y), minlength=len(totals))
         filled = np.flatnonzero(totals)
         i, j = grid.split(filled)
         yield pa.RecordBatch.from_pydict(

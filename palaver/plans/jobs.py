@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.operators import answers as ans
@@ -17,6 +17,7 @@ from palaver.operators import clean, inference, profile, sampling, similarity, t
 from palaver.operators.segments import MAX_ROWS
 from palaver.session import key_table, ship_package, stage
 from palaver.sources import jsonl, tables
+from palaver.sources.arrow_ipc import register_arrow_ipc
 
 
 def filter_dump(spark: SparkSession, path: str, keys: tuple[str, ...], suffix: str = "_filtered") -> str:
@@ -32,16 +33,42 @@ def build_threads(
     comments_path: str,
     out: str,
     max_comments_per_row: int = MAX_ROWS,
-) -> None:
-    """Raw dumps to a thread store.
+) -> dict[str, int]:
+    """Raw dumps to a thread store; returns how many lines were read and how many were bad.
 
-    Comments are parsed and cleaned once into a stored table, as nesting passes over them twice.
+    Each dump is parsed and cleaned once into a stored table, as nesting passes over them twice.
     """
-    raw_subs = jsonl.read_jsonl(spark, submissions_path, clean.RAW_SUBMISSION_SCHEMA)
-    raw_coms = jsonl.read_jsonl(spark, comments_path, clean.RAW_COMMENT_SCHEMA)
+    subs_seen, coms_seen = Observation("submissions"), Observation("comments")
+    raw_subs = jsonl.read_jsonl(spark, submissions_path, clean.RAW_SUBMISSION_SCHEMA, observation=subs_seen)
+    raw_coms = jsonl.read_jsonl(spark, comments_path, clean.RAW_COMMENT_SCHEMA, observation=coms_seen)
+    submissions = stage(clean.clean_submissions(raw_subs), "submissions")
     comments = stage(clean.clean_comments(raw_coms), "comments")
-    nested = threads.assemble_threads(clean.clean_submissions(raw_subs), comments, max_comments_per_row)
+    nested = threads.assemble_threads(submissions, comments, max_comments_per_row)
     tables.write_table(nested, out, tables.THREAD_SCHEMA)
+    return {
+        "submission_lines": subs_seen.get["n_lines"],
+        "bad_submission_lines": subs_seen.get["n_bad"],
+        "comment_lines": coms_seen.get["n_lines"],
+        "bad_comment_lines": coms_seen.get["n_bad"],
+    }
+
+
+def import_arrow(spark: SparkSession, path: str, out: str) -> None:
+    """Arrow IPC files of nested threads to a thread store; one row per thread counts as segment 0."""
+    ship_package(spark)
+    register_arrow_ipc(spark)
+    found = spark.read.format("arrow_ipc").load(path)
+    if "segment" not in found.columns:
+        found = found.withColumn("segment", F.lit(0))
+    tables.write_table(found, out, tables.THREAD_SCHEMA)
+
+
+def export_arrow(spark: SparkSession, threads_path: str, out: str) -> None:
+    """A thread store to Arrow IPC files, zstd-compressed, one per task."""
+    ship_package(spark)
+    register_arrow_ipc(spark)
+    stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
+    stored.write.format("arrow_ipc").mode("append").save(out)
 
 
 def profile_threads(spark: SparkSession, threads_path: str, out: str) -> DataFrame:

@@ -50,6 +50,17 @@ def _data_files(path: str) -> list[pafs.FileInfo]:
     return sorted(files, key=lambda f: f.path)
 
 
+def _plain(kind: pa.DataType) -> pa.DataType:
+    """The type with 64-bit offsets and views replaced by the forms that Spark knows."""
+    if pa.types.is_large_string(kind) or pa.types.is_string_view(kind):
+        return pa.string()
+    if pa.types.is_large_list(kind) or pa.types.is_list(kind):
+        return pa.list_(_plain(kind.value_type))
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _plain(f.type), f.nullable) for f in kind])
+    return kind
+
+
 @dataclass
 class _Run(InputPartition):
     """A run of record batches in one file; ``stop`` of None means to the end."""
@@ -152,7 +163,8 @@ class ArrowIpcDataSource(DataSource):
         with fs.open_input_file(files[0].path) as source:
             found = ipc.open_file(source).schema
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
-        return from_arrow_schema(pa.schema([found.field(c) for c in wanted]) if wanted else found)
+        fields = [found.field(c) for c in wanted] if wanted else list(found)
+        return from_arrow_schema(pa.schema([pa.field(f.name, _plain(f.type)) for f in fields]))
 
     def reader(self, schema: T.StructType) -> ArrowIpcReader:
         return ArrowIpcReader(self.options["path"], schema, int(self.options.get("split_bytes", SPLIT_BYTES)))

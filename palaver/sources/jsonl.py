@@ -4,19 +4,26 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BAD = "_bad_line"
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, on_error: str = "drop") -> DataFrame:
+def read_jsonl(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    on_error: str = "drop",
+    observation: Observation | None = None,
+) -> DataFrame:
     """Scan JSON lines with a fixed schema; missing keys are NULL and blank lines are skipped.
 
     A field declared as string takes whatever scalar the file holds. Lines that are not JSON
     objects are dropped (``drop``), kept in a ``_bad_line`` column (``keep``), or end the
-    job (``fail``).
+    job (``fail``). An ``observation`` receives ``n_lines`` and ``n_bad`` once the rows have
+    been read, without a pass of its own.
     """
     if on_error == "fail":
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -27,6 +34,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType,
         .option("columnNameOfCorruptRecord", _BAD)
         .json(path)
     )
+    if observation is not None:
+        bad = F.count_if(F.col(_BAD).isNotNull())
+        lines = lines.observe(observation, F.count(F.lit(1)).alias("n_lines"), bad.alias("n_bad"))
     if on_error == "keep":
         return lines
     if on_error == "drop":

@@ -26,7 +26,15 @@ def test_jobs_from_dumps_to_statistics(spark, sf, tmp_path):
     assert all("extra" not in json.loads(r["value"]) for r in spark.read.text(subs).collect())
 
     store = str(tmp_path / "threads")
+    raw = str(tmp_path / "raw_threads")
+    lines = jobs.build_threads(spark, str(tmp_path / "subs.json"), coms, raw, 20)
+    assert lines["bad_submission_lines"] == 1 and lines["bad_comment_lines"] == 0
+    assert lines["submission_lines"] == view(spark, sf, "raw_submissions").count() + 1
     jobs.build_threads(spark, subs, coms, store, 20)
+    assert spark.read.parquet(raw).exceptAll(spark.read.parquet(store)).count() == 0
+    jobs.export_arrow(spark, store, str(tmp_path / "arrow"))
+    jobs.import_arrow(spark, str(tmp_path / "arrow"), str(tmp_path / "again"))
+    assert spark.read.parquet(str(tmp_path / "again")).exceptAll(spark.read.parquet(store)).count() == 0
     stored = spark.read.parquet(store)
     assert stored.schema.simpleString() == tables.THREAD_SCHEMA.simpleString()
     expected = clean.clean_submissions(view(spark, sf, "raw_submissions")).count()

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palaver.functions.significance import incomplete_beta, p_value
@@ -229,3 +230,18 @@ def test_p_value_limits():
     assert p_value(1.0, 50) == 0.0 and p_value(None, 5) is None and p_value(0.4, 2) is None
     assert p_value(0.0, 2_000_000) == 1.0 and 0 <= p_value(0.2, 2_000_000) < 1e-300
     assert math.isclose(incomplete_beta(2, 3, 0.4), 0.5248, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 512])
+def test_chunks_of_a_tile_cover_each_pair_once(chunk):
+    rng = np.random.default_rng(4)
+    block = np.array([0, 1, 0, 0, 1, 1, 0, 1, 0])
+    vectors = rng.normal(size=(9, 5)).astype(np.float32)
+    table = pa.table({"block": block, "embedding": vectors.tolist(), "style": vectors[:, ::-1].tolist()})
+    unit = [_unit(v) for v in vectors]
+    for key, wanted in (
+        (("q", 0, 0), [(i, j) for i in range(9) for j in range(i + 1, 9)]),
+        (("q", 0, 1), [(i, j) for i in range(9) for j in range(9) if block[i] == 0 and block[j] == 1]),
+    ):
+        got = np.concatenate([x for x, _ in sim.tile_cosines(key, table, chunk)])
+        assert np.allclose(sorted(got), sorted(unit[i] @ unit[j] for i, j in wanted))

@@ -120,6 +120,21 @@ def test_arrow_ipc_splits_a_large_file(spark, tmp_path):
     assert sorted(r["k"] for r in df.collect()) == list(range(1000))
 
 
+def test_arrow_ipc_reads_wide_offsets(spark, tmp_path):
+    register_arrow_ipc(spark)
+    path = str(tmp_path / "wide.arrow")
+    item = pa.struct([("id", pa.large_string()), ("ups", pa.int64())])
+    table = pa.table(
+        {"id": pa.array(["a", None], pa.large_string()), "c": pa.array([[{"id": "x", "ups": 1}], None], pa.large_list(item))}
+    )
+    with ipc.new_file(path, table.schema, options=ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    df = spark.read.format("arrow_ipc").load(path)
+    assert df.schema.simpleString() == "struct<id:string,c:array<struct<id:string,ups:bigint>>>"
+    rows = [(r["id"], r["c"] and [tuple(x) for x in r["c"]]) for r in df.collect()]
+    assert rows == [("a", [("x", 1)]), (None, None)]
+
+
 def test_arrow_ipc_failed_write_leaves_nothing(spark, tmp_path):
     register_arrow_ipc(spark)
     path = str(tmp_path / "a")
