@@ -333,7 +333,7 @@ _SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "embed_answers": (
         ("oldest",),
-        f"""select question_id, author, dim, round(coalesce(s, 0) / greatest(sqrt(sum(coalesce(s, 0) * coalesce(s, 0)) over (partition by question_id, author)), 1e-12)::float::double, 5) as value
+        f"""select question_id, author, dim, round(cast(coalesce(s, 0) / greatest(sqrt(sum(coalesce(s, 0) * coalesce(s, 0)) over (partition by question_id, author)), 1e-12) as float)::double, 5) as value
           from (select question_id, author, unnest({_DIMS}) as dim from oldest)
           left join (select question_id, author, dim, sum(sign) as s from (select question_id, author, {_SLOT} from (
               select question_id, author, unnest(string_split(body, ' ')) as w from oldest) where w <> '') group by 1, 2, 3)
