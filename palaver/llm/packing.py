@@ -162,21 +162,25 @@ def pack(
             cuts = best_cuts(*places(e.ends[ids], ends), length)
             if not last:
                 cuts = cuts[:-CARRIED]
+                if not cuts:  # too short a line to settle anything on
+                    return
             out, line = _pieces(line, ends, cuts, number)
             number += len(cuts)
             size = sum(len(x[2]) for x in line)
             out = {k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in out.items()}
-            return pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(out)
 
+        due = stretch
         for batch in slices(batches, "text"):
             for own, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 ids = np.append(e.encode(t or ""), np.uint32(end))
                 line.append((own, 0, ids, len(ids)))
                 size += len(ids)
-                if size >= stretch:
-                    yield settle(False)
+                if size >= due:
+                    yield from settle(False)
+                    due = size + stretch
         if line:
-            yield settle(True)
+            yield from settle(True)
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, _PIECE)

@@ -11,7 +11,7 @@ from palaver.llm import exact_search, graph_search
 def vectors(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     again = df.where("vec_id < 40").select((F.col("vec_id") + 10_000).alias("vec_id"), "embedding")
-    many = df.where("vec_id = 3").select(F.explode(F.sequence(F.lit(20_000), F.lit(20_060))).cast("long").alias("vec_id"), "embedding")
+    many = df.where("vec_id = 3").select(F.explode(F.sequence(F.lit(20_000).cast("long"), F.lit(20_060).cast("long"))).alias("vec_id"), "embedding")
     odd = spark.createDataFrame(
         [(50, None), (30_000, [0.0] * 64), (30_001, [float("nan")] * 64), (30_002, [None] + [1.0] * 63), (30_003, []), (None, [1.0] * 64),
          (30_050, [1.0, 2.0]), (30_100, [2.0, 1.0]), (30_004, [float("inf")] * 64)],
