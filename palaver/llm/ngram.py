@@ -27,7 +27,7 @@ from palaver.llm.common import follow, slices, text_buffer, text_column, word_ha
 from palaver.session import stage
 
 #: Tokens of a chunk, and distinct n-grams aimed at in a bucket.
-CHUNK_TOKENS, BUCKET_KEYS = 2_000_000, 1_000_000
+CHUNK_TOKENS, BUCKET_KEYS = 1_000_000, 1_000_000
 #: Classes of c(h) by powers of eight, and the weights tried for each.
 CLASSES = 8
 WEIGHTS = (0.0, 0.01, 0.04, 0.1, 0.2, 0.35, 0.55, 0.75, 0.9, 0.97)
