@@ -1,15 +1,17 @@
 """Distributed model inference: the user supplies the model, Spark supplies the rows.
 
 A model is given as a factory, a function without arguments that loads it and returns a
-callable on a list of texts. The factory runs once per task, never on the driver.
+callable on a list of texts. The factory runs once per Python worker, never on the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.resource import ResourceProfile
@@ -20,6 +22,7 @@ from pyspark.sql import types as T
 from palaver.functions.labels import VALID, parse_label, render_prompt
 from palaver.functions.vectors import ANSWER_EPS
 from palaver.operators.segments import fresh_key
+from palaver.session import stage
 
 Embedder = Callable[[list[str]], np.ndarray]
 Generator = Callable[[list[list[dict]]], list[str]]
@@ -28,6 +31,33 @@ Generator = Callable[[list[list[dict]]], list[str]]
 STYLE_BATCH = 32
 ANSWER_BATCH = 8
 
+#: Rows that one task gives to a model.
+ROWS_PER_TASK = 1024
+
+#: Models of this worker by what their factory pickles to.
+_MODELS: dict[str, Callable] = {}
+
+
+def _loader(factory: Callable[[], Callable]) -> Callable[[], Callable]:
+    """Loads the factory's model when first called in a worker, and returns it again in later tasks."""
+    key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+    def model() -> Callable:
+        if key not in _MODELS:
+            _MODELS[key] = factory()
+        return _MODELS[key]
+
+    return model
+
+
+def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows, stored, in tasks of about equal numbers: model cost follows rows, not bytes.
+
+    An explicit number of partitions is not coalesced by adaptive execution.
+    """
+    stored = stage(df, "model-input")
+    return stored.repartition(max(1, -(-stored.count() // rows_per_task)))
+
 
 def _in_batches(embedder: Embedder, texts: list[str], batch_size: int) -> Iterator[np.ndarray]:
     for at in range(0, len(texts), batch_size):
@@ -43,18 +73,20 @@ def embed_texts(
     batch_size: int = STYLE_BATCH,
     out: str = "embedding",
     profile: ResourceProfile | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Replace ``text_col`` by a float vector; ``keep`` names the columns carried along.
 
     Rows cross to Python once, in Arrow batches, and are embedded ``batch_size`` at a time.
     ``profile`` asks for resources, such as one GPU per task, for this stage alone.
     """
-    source = df.select(*keep, text_col)
+    source = spread(df.select(*keep, text_col), rows_per_task)
+    model = _loader(factory)
     fields = [source.schema[c] for c in keep]
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.FloatType(), True), True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        embedder = factory()
+        embedder = model()
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -72,31 +104,54 @@ def embed_texts(
 
 
 def embed_authors(
-    comments: DataFrame, factory: Callable[[], Embedder], batch_size: int = STYLE_BATCH
+    comments: DataFrame,
+    factory: Callable[[], Embedder],
+    batch_size: int = STYLE_BATCH,
+    profile: ResourceProfile | None = None,
+    segments_per_task: int | None = None,
 ) -> DataFrame:
     """Style vector per author: the mean over the embedded bodies.
 
     Takes the rows of :func:`palaver.operators.authors.prolific_comments`. Bodies are grouped
     by (author, segment) and only the sum of each group leaves Python, so what is shuffled is
-    the text, once, and never a vector per comment.
+    the text, once, and never a vector per comment. With a ``profile`` the sums are made by a
+    stage that can ask for resources: rows of a segment lie together in a task, one after another.
     """
     schema = "author string, sums array<double>, n bigint"
-    loaded: list[Embedder] = []
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        if not loaded:
-            loaded.append(factory())
-        texts = group.column("body").to_pylist()
-        total = sum(block.sum(axis=0) for block in _in_batches(loaded[0], texts, batch_size))
-        return pa.table(
+    model = _loader(factory)
+
+    def row(author: str, texts: list[str]) -> pa.RecordBatch:
+        total = sum(block.sum(axis=0) for block in _in_batches(model(), texts, batch_size))
+        return pa.RecordBatch.from_pydict(
             {
-                "author": pa.array([key[0].as_py()], pa.string()),
+                "author": pa.array([author], pa.string()),
                 "sums": pa.array([total], pa.list_(pa.float64())),
                 "n": pa.array([len(texts)], pa.int64()),
             }
         )
 
-    parts = comments.select("author", "segment", "body").groupBy("author", "segment").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("author", "segment", "body")]
+            for author, segment, body in zip(*columns):
+                if texts and (author, segment) != held:
+                    yield row(held[0], texts)
+                    texts = []
+                held = (author, segment)
+                texts.append(body)
+        if texts:
+            yield row(held[0], texts)
+
+    source = comments.select("author", "segment", "body")
+    keys = ["author", "segment"]
+    if segments_per_task:
+        stored = stage(source, "model-input")
+        tasks = -(-stored.select(*keys).distinct().count() // segments_per_task)
+        source = stored.repartition(max(1, tasks), *keys)
+    else:
+        source = source.repartition(*keys)
+    parts = source.sortWithinPartitions(*keys).mapInArrow(run, schema, profile=profile)
     return (
         parts.groupBy(fresh_key("author").alias("_key"))
         .agg(Summarizer.sum(array_to_vector("sums")).alias("_sum"), F.sum("n").cast("int").alias("num_comments_used"))
@@ -113,10 +168,13 @@ def embed_answers(
     factory: Callable[[], Embedder],
     batch_size: int = ANSWER_BATCH,
     profile: ResourceProfile | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Unit vector per answer: (question_id, author, embedding)."""
     keep = ["question_id", "author"]
-    return embed_texts(answers, "body", factory, keep, normalize=True, batch_size=batch_size, profile=profile)
+    return embed_texts(
+        answers, "body", factory, keep, normalize=True, batch_size=batch_size, profile=profile, rows_per_task=rows_per_task
+    )
 
 
 def classify_texts(
@@ -126,13 +184,15 @@ def classify_texts(
     text_col: str = "title",
     batch_size: int = 32,
     profile: ResourceProfile | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Label texts with a chat model; rows whose reply names neither label are dropped."""
-    prompts = df.select(id_col, text_col, render_prompt(F.col(text_col)).alias("_chat"))
+    model = _loader(factory)
+    prompts = spread(df.select(id_col, text_col), rows_per_task).select(id_col, text_col, render_prompt(F.col(text_col)).alias("_chat"))
     schema = T.StructType([prompts.schema[id_col], prompts.schema[text_col], T.StructField("_reply", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        generate = factory()
+        generate = model()
         for batch in batches:
             chats = batch.column("_chat").to_pylist()
             replies: list[str] = []

@@ -14,7 +14,8 @@ _PREFIX_DIGITS = 4
 
 
 def sample_hash(row_id: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))
+    """A repeatable hash; a null id counts as an empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit(""))))
 
 
 def sample_rows(df: DataFrame, id_col: str = "id", n: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
@@ -34,7 +35,7 @@ def sample_rows(df: DataFrame, id_col: str = "id", n: int = SAMPLE_ROWS, seed: i
         .where(F.col("_reached") >= n)
         .agg(F.coalesce(F.min("_prefix"), F.lit("f" * _PREFIX_DIGITS)))
     )
-    return hashed.where(prefix <= cutoff.scalar()).orderBy("_hash", id_col).limit(n).drop("_hash")
+    return hashed.where(prefix <= cutoff.scalar()).orderBy("_hash", F.asc_nulls_last(id_col)).limit(n).drop("_hash")
 
 
 def sample_titles(submissions: DataFrame, n: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:

@@ -27,7 +27,7 @@ from palaver.functions.vectors import PAIR_EPS
 from palaver.operators.running import running_total
 from palaver.session import small_side, stage
 
-# Pair budget, least number of pairs, bins and hexagons of the plots.
+# Pair budget (for callers that want one), least number of pairs, bins and hexagons of the plots.
 MAX_PAIRS = 2_000_000
 MIN_PAIRS = 100
 HISTOGRAM_BINS = 50
@@ -104,7 +104,10 @@ def duplicate_authors(styles: DataFrame) -> DataFrame:
 
 @dataclass
 class PairPlan:
-    """The questions within the budget, and the answers and styles they draw on."""
+    """The questions that are compared, and the answers and styles they draw on.
+
+    ``left_out`` tells how many questions and pairs a budget has cut off; without one, none.
+    """
 
     answers: DataFrame
     styles: DataFrame
@@ -112,6 +115,7 @@ class PairPlan:
     n_questions: int
     largest: int
     row_key: tuple[str, ...]
+    left_out: dict[str, int] = field(default_factory=lambda: {"questions": 0, "pairs": 0})
     _stored: DataFrame | None = field(default=None, repr=False)
 
     def rows(self) -> DataFrame:
@@ -138,15 +142,20 @@ class PairPlan:
 
 
 def plan_pairs(
-    answers: DataFrame, styles: DataFrame, max_pairs: int = MAX_PAIRS, row_key: tuple[str, ...] = ("author",)
+    answers: DataFrame, styles: DataFrame, max_pairs: int | None = None, row_key: tuple[str, ...] = ("author",)
 ) -> PairPlan:
-    """Decide from counts which questions are compared.
+    """Decide from counts which questions are compared: all, unless a budget is named.
+
+    More than one style vector for an author is an error, as it would multiply that author's pairs.
 
     Both tables are read twice, for counting (no vectors leave the scan) and for comparing, so
     they should be stored ones.
 
     ``row_key`` names the columns that tell the answers to one question apart.
     """
+    repeated = duplicate_authors(styles).limit(1).collect()
+    if repeated:
+        raise ValueError(f"more than one style vector for author {repeated[0]['author']!r}")
     sizes = stage(question_sizes(answers, styles).where(F.col("n") >= 2), "question-sizes")
 
     def measure(questions: DataFrame) -> Row:
@@ -157,11 +166,12 @@ def plan_pairs(
             F.coalesce(F.max("n"), F.lit(0)).alias("largest"),
         ).first()
 
-    found, questions = measure(sizes), sizes
-    if found["pairs"] > max_pairs:
+    found, questions, left_out = measure(sizes), sizes, {"questions": 0, "pairs": 0}
+    if max_pairs is not None and found["pairs"] > max_pairs:
         questions = stage(pair_budget(sizes, max_pairs), "question-budget")
-        found = measure(questions)
-    return PairPlan(answers, styles, questions, found["questions"], found["largest"], row_key)
+        every, found = found, measure(questions)
+        left_out = {k: int(every[k] - found[k]) for k in left_out}
+    return PairPlan(answers, styles, questions, found["questions"], found["largest"], row_key, left_out)
 
 
 # --- tiles ----------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,12 +91,15 @@ def classify_questions(
     threads_path: str,
     factory: Callable[[], inference.Generator],
     out: str,
-    n: int = sampling.SAMPLE_ROWS,
+    n: int | None = None,
+    profile_: ResourceProfile | None = None,
 ) -> None:
-    """Label a sample of titles with the user's chat model."""
+    """Label all titles, or a sample of ``n``, with the user's chat model; ``profile_`` asks for resources."""
     ship_package(spark)
     heads = threads.thread_heads(spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path))
-    labelled = inference.classify_texts(sampling.sample_titles(heads, n), factory)
+    titled = heads.where(F.col("title").isNotNull()).select("id", "title")
+    chosen = titled if n is None else sampling.sample_titles(heads, n)
+    labelled = inference.classify_texts(chosen, factory, profile=profile_)
     tables.write_table(labelled, out, tables.CLASSIFIED_SCHEMA)
 
 
@@ -106,13 +110,14 @@ def style_vectors(
     out: str,
     min_comments: int = auth.MIN_COMMENTS,
     min_chars: int = auth.STYLE_MIN_CHARS,
+    profile_: ResourceProfile | None = None,
 ) -> None:
     """Mean vector of each prolific author's long comments."""
     ship_package(spark)
     stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
     comments = threads.explode_comments(stored, fields=("id", "body", "author"))
     chosen = auth.prolific_comments(comments, min_comments, min_chars)
-    tables.write_table(inference.embed_authors(chosen, factory), out, tables.STYLE_SCHEMA)
+    tables.write_table(inference.embed_authors(chosen, factory, profile=profile_), out, tables.STYLE_SCHEMA)
 
 
 def answer_vectors(
@@ -123,6 +128,7 @@ def answer_vectors(
     factory: Callable[[], inference.Embedder],
     out: str,
     min_chars: int = ans.ANSWER_MIN_CHARS,
+    profile_: ResourceProfile | None = None,
 ) -> None:
     """Unit vector of the oldest long answer of each styled author to each valid question."""
     ship_package(spark)
@@ -132,22 +138,24 @@ def answer_vectors(
     questions = key_table(ans.valid_questions(classified), "questions")
     authors = tables.read_parquet(spark, styles_path, ["author"])
     oldest = ans.oldest_answer(ans.answer_candidates(comments, questions, authors, min_chars))
-    tables.write_table(inference.embed_answers(oldest, factory), out, tables.ANSWER_SCHEMA)
+    tables.write_table(inference.embed_answers(oldest, factory, profile=profile_), out, tables.ANSWER_SCHEMA)
 
 
 def correlate(
-    spark: SparkSession, answers_path: str, styles_path: str, max_pairs: int = similarity.MAX_PAIRS
+    spark: SparkSession, answers_path: str, styles_path: str, max_pairs: int | None = None
 ) -> dict[str, DataFrame]:
-    """Correlation of semantic and style similarity, and the data behind each layer of its plot."""
+    """Correlation of semantic and style similarity, and the data behind each layer of its plot.
+
+    All pairs count unless ``max_pairs`` names a budget; ``left_out`` then holds what it cut off.
+    """
     ship_package(spark)
     answers = spark.read.schema(tables.ANSWER_SCHEMA).parquet(answers_path)
     styles = spark.read.schema(tables.STYLE_SCHEMA).parquet(styles_path).select("author", "embedding")
-    repeated = similarity.duplicate_authors(styles).limit(1).collect()
-    if repeated:
-        raise ValueError(f"more than one style vector for author {repeated[0]['author']!r}")
     plan = similarity.plan_pairs(answers, styles, max_pairs)
     sums = similarity.pair_sums(plan)
+    left_out = [(plan.left_out["questions"], plan.left_out["pairs"])]
     return {
+        "left_out": spark.createDataFrame(left_out, "n_questions bigint, n_pairs bigint"),
         "quality": similarity.pair_quality(plan.questions),
         "correlation": similarity.similarity_correlation(sums),
         "ellipse": similarity.confidence_ellipse(sums),

@@ -24,7 +24,9 @@ EXCLUDED_NAMES = (
 
 COMMENT_PATTERN = r"(?s)<!--.*?-->"
 SCRIPT_PATTERN = r"(?is)<script\b.*?</script\s*>"
-HREF_PATTERN = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+# Attributes before the address may be quoted, and a quoted value may hold any character.
+HREF_PATTERN = r"""(?is)<a\s(?:(?:"[^"]*"|'[^']*'|[^>"'])*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+NUMERIC_REFERENCE = r"(?i)&#(?:x[0-9a-f]{1,6}|[0-9]{1,7});"
 
 
 def visible_html(html: Column) -> Column:
@@ -33,8 +35,19 @@ def visible_html(html: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode the five predefined character references; the ampersand comes last."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    """Decode numeric character references and the predefined names; the ampersand's name comes last."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC_REFERENCE), 0))
+
+    def decoded(reference: Column) -> Column:
+        digits = F.substring(reference, F.lit(3), F.length(reference) - 3)
+        hexadecimal = F.lower(digits).startswith("x")
+        number = F.when(hexadecimal, F.conv(F.substring(digits, F.lit(2), F.length(digits)), 16, 10)).otherwise(digits).cast("int")
+        valid = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number <= 0x10FFFF))
+        # Code points as UTF-32 text.
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise(reference)
+
+    text = F.aggregate(found, text, lambda t, r: F.replace(t, r, decoded(r)))
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
@@ -50,7 +63,7 @@ def extract_link_manifest(
     links = pages.select(*keep, F.explode(raw).alias("_raw"))
     unquoted = F.regexp_replace("_raw", r"""^["']|["']$""", "")
     return (
-        links.select(*keep, F.trim(decode_entities(unquoted)).alias("href"))
+        links.select(*keep, F.regexp_replace(decode_entities(unquoted), r"^\s+|\s+$", "").alias("href"))
         .where(F.lower("href").endswith(ARCHIVE_SUFFIX) & F.col("href").rlike(pattern))
         .select(
             *keep,

@@ -57,7 +57,7 @@ def test_jobs_from_dumps_to_statistics(spark, sf, tmp_path):
     assert spark.read.parquet(answers).groupBy("question_id", "author").count().where("count > 1").count() == 0
 
     result = jobs.correlate(spark, answers, styles)
-    assert set(result) == {"quality", "correlation", "ellipse", "regression", "histograms", "hexagons"}
+    assert set(result) == {"left_out", "quality", "correlation", "ellipse", "regression", "histograms", "hexagons"}
     pairs = result["quality"].first()["n_finite"]
     assert result["correlation"].first()["n_pairs"] == pairs
     assert sum(r["n"] for r in result["hexagons"].collect()) == pairs

@@ -116,3 +116,10 @@ def test_label_distribution(spark):
     rows = [tuple(r) for r in inference.label_distribution(df).collect()]
     assert rows == [("Invalid", 1, 0.25, 4, 0.75, 0.25), ("Valid", 3, 0.75, 4, 0.75, 0.25)]
     assert inference.label_distribution(df.limit(0)).collect() == []
+
+
+def test_sample_keeps_rows_without_an_id(spark):
+    from palaver.operators.sampling import sample_rows
+
+    df = spark.createDataFrame([("a", 1), (None, 2)], "id string, v int")
+    assert sorted(r.v for r in sample_rows(df, n=5).collect()) == [1, 2]

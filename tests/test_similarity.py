@@ -245,3 +245,30 @@ def test_chunks_of_a_tile_cover_each_pair_once(chunk):
     ):
         got = np.concatenate([x for x, _ in sim.tile_cosines(key, table, chunk)])
         assert np.allclose(sorted(got), sorted(unit[i] @ unit[j] for i, j in wanted))
+
+
+def test_no_pair_is_left_out_by_default(spark):
+    from palaver.operators.similarity import MAX_PAIRS, plan_pairs
+
+    ids = spark.range(3 * 1500)
+    answers = ids.selectExpr("concat('q', id % 3) as question_id", "concat('a', id) as author", "array(1.0f, float(id)) as embedding")
+    styles = ids.selectExpr("concat('a', id) as author", "array(float(id), 1.0f) as embedding")
+    plan = plan_pairs(answers, styles)
+    assert plan.n_questions == 3 and plan.left_out == {"questions": 0, "pairs": 0}
+    assert plan.questions.agg({"pairs": "sum"}).first()[0] == 3 * 1500 * 1499 // 2
+    cut = plan_pairs(answers, styles, MAX_PAIRS)
+    assert cut.n_questions == 2 and cut.left_out == {"questions": 1, "pairs": 1500 * 1499 // 2}
+
+
+def test_p_value_of_many_pairs():
+    import math
+
+    from palaver.functions.significance import p_value
+
+    for n in (10**7, 10**10, 10**13):
+        for z in (0.5, 1.0, 2.0):
+            r = z / math.sqrt(n - 2 + z * z)
+            density = math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+            wanted = math.erfc(z / math.sqrt(2)) + density * (z**3 + z) / (2 * (n - 2))
+            assert abs(p_value(r, n) / wanted - 1) < 1e-9
+    assert abs(p_value(0.001, 999_999) / p_value(0.001, 1_000_003) - 1) < 1e-5

@@ -178,3 +178,15 @@ def test_thread_schema_matches_the_assembled_table(spark):
     coms = clean.clean_comments(spark.createDataFrame([], clean.RAW_COMMENT_SCHEMA))
     got = assemble_threads(subs, coms).schema
     assert isinstance(got, T.StructType) and got.simpleString() == tables.THREAD_SCHEMA.simpleString()
+
+
+def test_links_of_real_pages(spark):
+    from palaver.sources.manifest import extract_link_manifest
+
+    html = """<a title="a>b" href="/x/One_comments.zst">1</a> <a href="
+	/x/Two_submissions.zst
+	">2</a> <a class='q' href='/x/Th&#114;ee&#95;comments.zst'>3</a> <a href=/x/four_comments&#x2E;zst>4</a>"""
+    found = extract_link_manifest(spark.createDataFrame([(html,)], "html string")).collect()
+    assert sorted((r.name, r.kind) for r in found) == [
+        ("four", "comments"), ("one", "comments"), ("three", "comments"), ("two", "submissions")
+    ]
