@@ -71,7 +71,8 @@ def fit_text_model(df: DataFrame, text: str = "text", label: str = "lang", rows:
     n = labelled.count()
     lot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
     some = labelled.where(lot < int(min(1.0, rows / max(1, n)) * (1 << 20)))
-    counts = some.mapInArrow(_count, "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = some.mapInArrow(_count, "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+    counts = counts.toArrow().to_pandas()  # at most one row for each label and cell; as rows of Python they would take ten times the memory
     names = sorted(set(counts["label"]) - {UNKNOWN})
     grid = np.zeros((len(names), CELLS))
     known = counts[counts["label"].isin(names)]
