@@ -5,8 +5,11 @@ segments: these cuts depend on the words around them only, so a passage that sit
 alike wherever it stands. Units are lines and pairs of neighbouring segments.
 
 Lines of nine or more five-word shingles get MinHash bands (``ROWS`` values in each of ``BANDS``: 99.7 % of pairs at a
-similarity of 0.8 share one). In a band, lines are compared with the most frequent one, then, where that left them in
-different components, with each other; exact Jaccard similarity decides. Units below nine shingles reach 0.8 with equal
+similarity of 0.8 share one) and a sketch of ``MINIMA`` minima, four bits each. In a band, lines are compared with the
+most frequent one, then, where that left them in different components, with each other. A pair whose sketches differ in
+more than ``APART`` places is none (at a similarity of 0.8 one in five thousand pairs does); on the others the overlap of
+their shingles decides inside the join, each pair taken once, in the least band that it shares, so that only similar pairs
+leave it, and the texts' exact Jaccard similarity confirms them. Units below nine shingles reach 0.8 with equal
 shingles only, so one band of the whole set, a plain hash, is complete for them; pairs of segments are such units.
 Links make components of lines; in each, the lines of the smallest id stay and those of other ids are marked, as are
 segment pairs that a smaller id has. Marked stretches of ``RUN`` words or more are removals, so short phrases
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palaver.llm.common import _powers, mix, slices, text_buffer, text_column, word_hashes, word_spans
@@ -29,9 +32,11 @@ from palaver.session import small_side, stage
 
 #: MinHash bands and values in each; a segment ends at one word in ``CUT``; least words of a removal.
 BANDS, ROWS, CUT, RUN = 8, 3, 16, 16
+#: Minima in a sketch, the first of which make the bands, and places in which the sketches of a candidate pair may differ.
+MINIMA, APART = 64, 24
 SHINGLE, SIMILAR = 5, 0.8
-_LINES = "id long, line long, word int, words int, begin int, end int, bands array<long>, pairs array<long>, pair_words array<int>, pair_ends array<int>, pair_bytes array<int>"
-_FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) + np.uint64(977)) | np.uint64(1)
+_LINES = "id long, line long, word int, words int, begin int, end int, bands array<long>, sketch array<long>, pairs array<long>, pair_words array<int>, pair_ends array<int>, pair_bytes array<int>"
+_FACTORS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) + np.uint64(977)) | np.uint64(1)
 
 
 def _sequences(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -45,6 +50,12 @@ def _lists(values: np.ndarray, first: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind))
 
 
+def _sketches(least: np.ndarray) -> np.ndarray:
+    """Four bits of each minimum (a row for each, a column for each line), sixteen to a number."""
+    bits = ((least >> np.uint64(24)) & np.uint64(15)).reshape(-1, 16, least.shape[1])
+    return (bits << (4 * np.arange(16, dtype=np.uint64))[:, None]).sum(axis=1, dtype=np.uint64).T
+
+
 def _units(batches):
     for batch in slices(batches, "text"):
         data, at = text_buffer(batch.column("text"))
@@ -70,7 +81,6 @@ def _units(batches):
         home = np.searchsorted(line, seg_begin[joint], side="right") - 1
         pair_first = np.searchsorted(home, np.arange(len(line) + 1))
         base = at[doc[line]]
-        bands: list = [None] * len(line)
         width = stop - line
         wide = np.flatnonzero(width - SHINGLE + 1 >= 9)
         if len(wide):
@@ -82,19 +92,18 @@ def _units(batches):
             own = shingles[inside]
             heads = np.cumsum(count) - count
             least = np.stack([np.minimum.reduceat(own * f ^ (own >> np.uint64(29)) * f, heads) for f in _FACTORS])
-            value = least.reshape(BANDS, ROWS, -1)
+            value = least[: BANDS * ROWS].reshape(BANDS, ROWS, -1)
             folded = value[:, 0]
             for r in range(1, ROWS):
                 folded = mix(folded * np.uint64(0x9E3779B97F4A7C15) + value[:, r])
             folded = mix(folded + np.arange(BANDS, dtype=np.uint64)[:, None])
-            per_line = folded.T.view(np.int64)
-            sizes = np.zeros(len(line), np.int64)
-            sizes[wide] = BANDS
-            bands = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.ascontiguousarray(per_line).ravel())
-            )
+            kept = np.zeros(len(line), np.int64)
+            kept[wide] = 1
+            ahead = np.concatenate([[0], np.cumsum(kept)])
+            bands = _lists(np.ascontiguousarray(folded.T).view(np.int64).ravel(), BANDS * ahead, pa.int64())
+            sketch = _lists(np.ascontiguousarray(_sketches(least)).view(np.int64).ravel(), MINIMA // 16 * ahead, pa.int64())
         else:
-            bands = pa.ListArray.from_arrays(pa.array(np.zeros(len(line) + 1, np.int32)), pa.array([], pa.int64()))
+            bands = sketch = _lists(np.zeros(0, np.int64), np.zeros(len(line) + 1, np.int64), pa.int64())
         word = lambda w: (w - first[doc[np.minimum(w, n - 1)]]).astype(np.int32)  # noqa: B023, E731
         second = seg_end[np.minimum(joint + 1, len(seg_end) - 1)]
         ids = batch.column("id").take(pa.array(doc[line]))
@@ -104,12 +113,12 @@ def _units(batches):
         yield pa.RecordBatch.from_arrays(
             [
                 ids, pa.array(_sequences(hashes, line, stop).view(np.int64)), pa.array(word(line)), pa.array(width.astype(np.int32)),
-                pa.array((starts[line] - base).astype(np.int32)), pa.array((ends[stop - 1] - base).astype(np.int32)), bands,
+                pa.array((starts[line] - base).astype(np.int32)), pa.array((ends[stop - 1] - base).astype(np.int32)), bands, sketch,
                 _lists(pairs.view(np.int64), pair_first, pa.int64()), _lists(packed_words[:, 0], pair_first, pa.int32()),
                 _lists(packed_words[:, 1], pair_first, pa.int32()),
                 _lists(np.stack([begin_bytes, end_bytes], axis=1).astype(np.int32).ravel(), 2 * pair_first, pa.int32()),
             ],
-            ["id", "line", "word", "words", "begin", "end", "bands", "pairs", "pair_words", "pair_ends", "pair_bytes"],
+            ["id", "line", "word", "words", "begin", "end", "bands", "sketch", "pairs", "pair_words", "pair_ends", "pair_bytes"],
         )
 
 
@@ -121,48 +130,84 @@ def jaccard(a: bytes, b: bytes) -> float:
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def _sets(batches):
+    """Adds ``shingles``, the distinct five-word shingles of each line as 32-bit hashes."""
+    for batch in slices(batches, "text"):
+        data, at = text_buffer(batch.column("text"))
+        starts, ends, first = word_spans(data, at)
+        hashes = word_hashes(data, starts, ends)
+        n = len(hashes) - SHINGLE + 1
+        runs = _sequences(hashes, np.arange(n), np.arange(n) + SHINGLE).astype(np.uint32)
+        found = [np.unique(runs[first[d] : first[d + 1] - SHINGLE + 1]) for d in range(batch.num_rows)]
+        ahead = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        yield batch.append_column("shingles", _lists(np.concatenate(found).view(np.int32), ahead, pa.int32()))
+
+
 def _verify(batches):
     for batch in batches:
         same = [jaccard(x, y) >= SIMILAR for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
         yield batch.filter(pa.array(same, pa.bool_())).select(["a", "b"])
 
 
+def alike(a: str, b: str) -> Column:
+    """Whether two sketches differ in few enough places for the threshold."""
+    apart = F.lit(0)
+    for i in range(MINIMA // 16):
+        x = F.get(a, i).bitwiseXOR(F.get(b, i))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        apart = apart + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return apart <= APART
+
+
 def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Links (a, b) between hashes of different lines whose similarity reaches the threshold."""
     wide = lines.where(F.size("bands") > 0)
     distinct = wide.groupBy("line").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("id", "begin", "end", "bands"), "id").alias("at")
+        F.count("*").alias("n"), F.min_by(F.struct("id", "begin", "end", "bands", "sketch"), "id").alias("at")
     )
     distinct = stage(distinct.select("line", "n", "at.*"), "lines")
     banded = distinct.select("line", "n", F.explode("bands").alias("band"))
     most = F.max(F.struct("n", "line")).over(Window.partitionBy("band"))["line"]
     stars = banded.select("band", "line", most.alias("star")).where(F.col("star") != F.col("line"))
     stars = stage(stars, "stars")  # the members of bands that hold several lines, but for the star
+    members = stars.select("band", "line").union(stars.select("band", F.col("star").alias("line"))).distinct()
+    where = stage(distinct.join(members.select("line").distinct(), "line", "left_semi").drop("n"), "where")
+    texts = docs.join(small_side(where, where.count(), 200_000), "id").select(
+        "line", "bands", "sketch", F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin")).alias("text")
+    )
+    kinds = "line long, bands array<long>, sketch array<long>, text binary, shingles array<int>"
+    crowd = stage(texts.dropDuplicates(["line"]).mapInArrow(_sets, kinds), "crowd")
+
+    def side(i: int, *more: str) -> DataFrame:
+        return crowd.select(*[F.col(c).alias(f"{c}{i}") for c in ("line", "sketch", "shingles", *more)])
+
+    def similar() -> Column:
+        n, m = F.size("shingles1"), F.size("shingles2")
+        shared = F.size(F.array_intersect("shingles1", "shingles2"))
+        return (F.least(n, m) >= SIMILAR * F.greatest(n, m)) & alike("sketch1", "sketch2") & (shared * (1 + SIMILAR) >= SIMILAR * (n + m) - 1e-6)
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
-        ends = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-        where = distinct.join(ends, "line", "left_semi").select("line", "id", "begin", "end")
-        where = stage(where, label)
-        texts = docs.join(small_side(where, where.count(), 200_000), "id").select(
-            "line", F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin")).alias("text")
-        )
-        texts = stage(texts.dropDuplicates(["line"]), label)
-        both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a")
-        both = both.join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
+        pairs = stage(pairs.select("line1", "line2"), label)
+        both = pairs.join(crowd.select(F.col("line").alias("line1"), F.col("text").alias("x")), "line1")
+        both = both.join(crowd.select(F.col("line").alias("line2"), F.col("text").alias("y")), "line2")
+        both = both.select(F.least("line1", "line2").alias("a"), F.greatest("line1", "line2").alias("b"), "x", "y")
         return stage(both.mapInArrow(_verify, "a long, b long"), label)
 
-    links = verified(stars.select(F.col("star").alias("a"), F.col("line").alias("b")), "stars")
+    first = stars.select(F.least("star", "line").alias("line1"), F.greatest("star", "line").alias("line2")).distinct()
+    links = verified(first.join(side(1), "line1").join(side(2), "line2").where(similar()), "stars")
     known = stage(components(links, "lines"), "lines")
-    members = stars.select("band", "line").union(stars.select("band", F.col("star").alias("line"))).distinct()
     named = members.join(known.withColumnRenamed("v", "line"), "line", "left").select(
         "band", "line", F.coalesce("component", "line").alias("class")
     )
     apart = named.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     left = stage(named.join(apart.select("band"), "band", "left_semi"), "apart")
-    other = left.withColumnsRenamed({"line": "b", "class": "other"})
-    rest = left.withColumnRenamed("line", "a").join(other, "band").where((F.col("class") < F.col("other")))
-    return links.union(verified(rest.select("a", "b"), "rest"))
+    one, two = (
+        left.select(*[F.col(c).alias(f"{c}{i}") for c in ("band", "line", "class")]).join(side(i, "bands"), f"line{i}") for i in (1, 2)
+    )
+    once = F.array_min(F.array_intersect("bands1", "bands2")) == F.col("band1")
+    rest = one.join(two, (F.col("band1") == F.col("band2")) & (F.col("class1") < F.col("class2")) & similar() & once)
+    return links.union(verified(rest, "rest"))
 
 
 def _merge(run: int):
