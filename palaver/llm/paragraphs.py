@@ -13,7 +13,9 @@ leave it, and the texts' exact Jaccard similarity confirms them. Units below nin
 shingles only, so one band of the whole set, a plain hash, is complete for them; pairs of segments are such units.
 Links make components of lines; in each, the lines of the smallest id stay and those of other ids are marked, as are
 segment pairs that a smaller id has. Marked stretches of ``RUN`` words or more are removals, so short phrases
-stay. Equal lines are collapsed before banding and frequent units are counted by partial sums.
+stay. Equal lines are collapsed before banding. Segment pairs are range-partitioned once by (pair, id), which spreads a
+frequent pair over tasks; each task marks what a smaller id of its own range has, and the pair at a range's edge is settled
+with the least id that the edges name.
 
 Null texts are empty. Rows with a null id neither mark nor are marked. Repeated rows with one id count as one text's
 occurrences: passages that one id repeats stay. An empty table gives no rows.
@@ -35,7 +37,7 @@ BANDS, ROWS, CUT, RUN = 8, 3, 16, 16
 #: Minima in a sketch, the first of which make the bands, and places in which the sketches of a candidate pair may differ.
 MINIMA, APART = 64, 24
 SHINGLE, SIMILAR = 5, 0.8
-_LINES = "id long, line long, word int, words int, begin int, end int, bands array<long>, sketch array<long>, pairs array<long>, pair_words array<int>, pair_ends array<int>, pair_bytes array<int>"
+_LINES = "id long, line long, word int, words int, begin int, end int, bands array<long>, pairs array<long>, pair_words array<long>, pair_bytes array<long>"
 _FACTORS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) + np.uint64(977)) | np.uint64(1)
 
 
@@ -50,6 +52,25 @@ def _lists(values: np.ndarray, first: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind))
 
 
+def _minima(shingles: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` minima (a row for each) of each line's shingles; lines begin at ``heads``."""
+    return np.stack([np.minimum.reduceat(shingles * f ^ (shingles >> np.uint64(29)) * f, heads) for f in _FACTORS[:n]])
+
+
+def _banded(least: np.ndarray) -> np.ndarray:
+    """A number for each band (a row for each line)."""
+    value = least[: BANDS * ROWS].reshape(BANDS, ROWS, -1)
+    folded = value[:, 0]
+    for r in range(1, ROWS):
+        folded = mix(folded * np.uint64(0x9E3779B97F4A7C15) + value[:, r])
+    return np.ascontiguousarray(mix(folded + np.arange(BANDS, dtype=np.uint64)[:, None]).T).view(np.int64)
+
+
+def _packed(low: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A beginning and a length, 32 bits each, as one number."""
+    return (low.astype(np.int64) << 32) | length.astype(np.int64)
+
+
 def _sketches(least: np.ndarray) -> np.ndarray:
     """Four bits of each minimum (a row for each, a column for each line), sixteen to a number."""
     bits = ((least >> np.uint64(24)) & np.uint64(15)).reshape(-1, 16, least.shape[1])
@@ -91,34 +112,26 @@ def _units(batches):
             inside[place] = True
             own = shingles[inside]
             heads = np.cumsum(count) - count
-            least = np.stack([np.minimum.reduceat(own * f ^ (own >> np.uint64(29)) * f, heads) for f in _FACTORS])
-            value = least[: BANDS * ROWS].reshape(BANDS, ROWS, -1)
-            folded = value[:, 0]
-            for r in range(1, ROWS):
-                folded = mix(folded * np.uint64(0x9E3779B97F4A7C15) + value[:, r])
-            folded = mix(folded + np.arange(BANDS, dtype=np.uint64)[:, None])
             kept = np.zeros(len(line), np.int64)
             kept[wide] = 1
             ahead = np.concatenate([[0], np.cumsum(kept)])
-            bands = _lists(np.ascontiguousarray(folded.T).view(np.int64).ravel(), BANDS * ahead, pa.int64())
-            sketch = _lists(np.ascontiguousarray(_sketches(least)).view(np.int64).ravel(), MINIMA // 16 * ahead, pa.int64())
+            bands = _lists(_banded(_minima(own, heads, BANDS * ROWS)).ravel(), BANDS * ahead, pa.int64())
         else:
-            bands = sketch = _lists(np.zeros(0, np.int64), np.zeros(len(line) + 1, np.int64), pa.int64())
+            bands = _lists(np.zeros(0, np.int64), np.zeros(len(line) + 1, np.int64), pa.int64())
         word = lambda w: (w - first[doc[np.minimum(w, n - 1)]]).astype(np.int32)  # noqa: B023, E731
         second = seg_end[np.minimum(joint + 1, len(seg_end) - 1)]
         ids = batch.column("id").take(pa.array(doc[line]))
         begin_bytes = (starts[seg_begin[joint]] - at[doc[seg_begin[joint]]]).astype(np.int64)
         end_bytes = (ends[second - 1] - at[doc[seg_begin[joint]]]).astype(np.int64)
-        packed_words = np.stack([word(seg_begin[joint]), (word(second - 1) + 1)], axis=1) if len(joint) else np.zeros((0, 2), np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 ids, pa.array(_sequences(hashes, line, stop).view(np.int64)), pa.array(word(line)), pa.array(width.astype(np.int32)),
-                pa.array((starts[line] - base).astype(np.int32)), pa.array((ends[stop - 1] - base).astype(np.int32)), bands, sketch,
-                _lists(pairs.view(np.int64), pair_first, pa.int64()), _lists(packed_words[:, 0], pair_first, pa.int32()),
-                _lists(packed_words[:, 1], pair_first, pa.int32()),
-                _lists(np.stack([begin_bytes, end_bytes], axis=1).astype(np.int32).ravel(), 2 * pair_first, pa.int32()),
+                pa.array((starts[line] - base).astype(np.int32)), pa.array((ends[stop - 1] - base).astype(np.int32)), bands,
+                _lists(pairs.view(np.int64), pair_first, pa.int64()),
+                _lists(_packed(word(seg_begin[joint]), second - seg_begin[joint]), pair_first, pa.int64()),
+                _lists(_packed(begin_bytes, end_bytes - begin_bytes), pair_first, pa.int64()),
             ],
-            ["id", "line", "word", "words", "begin", "end", "bands", "sketch", "pairs", "pair_words", "pair_ends", "pair_bytes"],
+            ["id", "line", "word", "words", "begin", "end", "bands", "pairs", "pair_words", "pair_bytes"],
         )
 
 
@@ -131,16 +144,22 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 
 def _sets(batches):
-    """Adds ``shingles``, the distinct five-word shingles of each line as 32-bit hashes."""
+    """Adds ``shingles``, the distinct five-word shingles of each line as 32-bit hashes, its bands and its sketch."""
     for batch in slices(batches, "text"):
         data, at = text_buffer(batch.column("text"))
         starts, ends, first = word_spans(data, at)
         hashes = word_hashes(data, starts, ends)
         n = len(hashes) - SHINGLE + 1
-        runs = _sequences(hashes, np.arange(n), np.arange(n) + SHINGLE).astype(np.uint32)
-        found = [np.unique(runs[first[d] : first[d + 1] - SHINGLE + 1]) for d in range(batch.num_rows)]
+        runs = _sequences(hashes, np.arange(n), np.arange(n) + SHINGLE)
+        own = [runs[first[d] : first[d + 1] - SHINGLE + 1] for d in range(batch.num_rows)]
+        found = [np.unique(x.astype(np.uint32)) for x in own]
         ahead = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-        yield batch.append_column("shingles", _lists(np.concatenate(found).view(np.int32), ahead, pa.int32()))
+        least = _minima(np.concatenate(own), np.cumsum([0, *map(len, own[:-1])]), MINIMA)
+        row = np.arange(batch.num_rows + 1)
+        out = batch.append_column("shingles", _lists(np.concatenate(found).view(np.int32), ahead, pa.int32()))
+        out = out.append_column("bands", _lists(_banded(least).ravel(), BANDS * row, pa.int64()))
+        sketch = np.ascontiguousarray(_sketches(least)).view(np.int64).ravel()
+        yield out.append_column("sketch", _lists(sketch, MINIMA // 16 * row, pa.int64()))
 
 
 def _verify(batches):
@@ -164,7 +183,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Links (a, b) between hashes of different lines whose similarity reaches the threshold."""
     wide = lines.where(F.size("bands") > 0)
     distinct = wide.groupBy("line").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("id", "begin", "end", "bands", "sketch"), "id").alias("at")
+        F.count("*").alias("n"), F.min_by(F.struct("id", "begin", "end", "bands"), "id").alias("at")
     )
     distinct = stage(distinct.select("line", "n", "at.*"), "lines")
     banded = distinct.select("line", "n", F.explode("bands").alias("band"))
@@ -172,15 +191,16 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     stars = banded.select("band", "line", most.alias("star")).where(F.col("star") != F.col("line"))
     stars = stage(stars, "stars")  # the members of bands that hold several lines, but for the star
     members = stars.select("band", "line").union(stars.select("band", F.col("star").alias("line"))).distinct()
-    where = stage(distinct.join(members.select("line").distinct(), "line", "left_semi").drop("n"), "where")
+    where = distinct.select("line", "id", "begin", "end").join(members.select("line").distinct(), "line", "left_semi")
+    where = stage(where, "where")
     texts = docs.join(small_side(where, where.count(), 200_000), "id").select(
-        "line", "bands", "sketch", F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin")).alias("text")
+        "line", F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin")).alias("text")
     )
-    kinds = "line long, bands array<long>, sketch array<long>, text binary, shingles array<int>"
+    kinds = "line long, text binary, shingles array<int>, bands array<long>, sketch array<long>"
     crowd = stage(texts.dropDuplicates(["line"]).mapInArrow(_sets, kinds), "crowd")
 
     def side(i: int, *more: str) -> DataFrame:
-        return crowd.select(*[F.col(c).alias(f"{c}{i}") for c in ("line", "sketch", "shingles", *more)])
+        return crowd.select(*[F.col(c).alias(f"{c}{i}") for c in ("line", "sketch", *more)])
 
     def similar() -> Column:
         n, m = F.size("shingles1"), F.size("shingles2")
@@ -195,7 +215,8 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
         return stage(both.mapInArrow(_verify, "a long, b long"), label)
 
     first = stars.select(F.least("star", "line").alias("line1"), F.greatest("star", "line").alias("line2")).distinct()
-    links = verified(first.join(side(1), "line1").join(side(2), "line2").where(similar()), "stars")
+    # One pair at most for each band of a line: the sketches decide which texts are compared.
+    links = verified(first.join(side(1), "line1").join(side(2), "line2").where(alike("sketch1", "sketch2")), "stars")
     known = stage(components(links, "lines"), "lines")
     named = members.join(known.withColumnRenamed("v", "line"), "line", "left").select(
         "band", "line", F.coalesce("component", "line").alias("class")
@@ -203,13 +224,51 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     apart = named.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
     left = stage(named.join(apart.select("band"), "band", "left_semi"), "apart")
     one, two = (
-        left.select(*[F.col(c).alias(f"{c}{i}") for c in ("band", "line", "class")]).join(side(i, "bands"), f"line{i}") for i in (1, 2)
+        left.select(*[F.col(c).alias(f"{c}{i}") for c in ("band", "line", "class")]).join(side(i, "shingles", "bands"), f"line{i}") for i in (1, 2)
     )
     once = F.array_min(F.array_intersect("bands1", "bands2")) == F.col("band1")
     rest = one.join(two, (F.col("band1") == F.col("band2")) & (F.col("class1") < F.col("class2")) & similar() & once)
     return links.union(verified(rest, "rest"))
 
 
+def _later_holders(batches):
+    """Of occurrences in order of (pair, id), those whose pair a smaller id has.
+
+    ``pair`` is null where a row of this task tells. The first pair's least id may follow on an earlier task's: its rows
+    keep their ``pair``. Rows without ``words`` name the first and last pair and the least id that this task saw of them.
+    """
+    names = ["id", "pair", "words", "bytes"]
+    first = last = None
+    low = least = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        pair, own = np.asarray(batch.column("pair")), np.asarray(batch.column("id"))
+        fresh = np.concatenate([[pair[0] != last], pair[1:] != pair[:-1]])
+        leasts = np.concatenate([[least], own[fresh]])[np.cumsum(fresh)]
+        if first is None:
+            first, low = pair[0], own[0]
+        settled = own > leasts
+        keep = settled | ((pair == first) & (own == low))
+        last, least = pair[-1], leasts[-1]
+        arrays = [batch.column("id"), pa.array(pair, mask=settled), batch.column("words"), batch.column("bytes")]
+        yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(keep))
+    if first is not None:
+        none = pa.nulls(2, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([low, least]), pa.array([first, last]), none, none], names)
+
+
+def repeated_pairs(lines: DataFrame) -> DataFrame:
+    """(id, words, bytes) of the segment pairs that a smaller id has too."""
+    zipped = F.arrays_zip(F.col("pairs").alias("pair"), F.col("pair_words").alias("words"), F.col("pair_bytes").alias("bytes"))
+    ranges = lines.select("id", F.inline(zipped)).repartitionByRange("pair", "id").sortWithinPartitions("pair", "id")
+    later = ranges.select("id", "pair", "words", "bytes").mapInArrow(_later_holders, "id long, pair long, words long, bytes long")
+    later = stage(later, "later")
+    edges = stage(later.where("words is null").groupBy("pair").agg(F.min("id").alias("least")), "edges")
+    edge = later.where("words is not null").join(small_side(edges, edges.count()), "pair").where(F.col("id") > F.col("least"))
+    return later.where("pair is null").select("id", "words", "bytes").union(edge.select("id", "words", "bytes"))
+
+
 def _merge(run: int):
     def merge(batches):
         for batch in batches:
@@ -240,19 +299,12 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     """A row for each text that loses something: id, spans (byte offsets in UTF-8, end exclusive), n_words."""
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_column(df, text).alias("text"))
     lines = stage(docs.mapInArrow(_units, _LINES), "units")
-    pairs = lines.select(
-        "id",
-        F.explode(
-            F.transform("pairs", lambda p, i: F.struct(
-                p.alias("pair"), F.get("pair_words", i).alias("word"), F.get("pair_ends", i).alias("stop"),
-                F.get("pair_bytes", 2 * i).alias("begin"), F.get("pair_bytes", 2 * i + 1).alias("end"),
-            ))
-        ).alias("p"),
-    ).select("id", "p.*")
-    shared = lines.select("id", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    shared = stage(shared.where("least < most").select("pair", "least"), "shared")
     mark = ["id", "word", "stop", "begin", "end"]
-    short = pairs.join(small_side(shared, shared.count()), "pair").where(F.col("id") > F.col("least")).select(mark)
+    low, length = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
+    short = repeated_pairs(lines).select(
+        "id", low("words").alias("word"), (low("words") + length("words")).alias("stop"),
+        low("bytes").alias("begin"), (low("bytes") + length("bytes")).alias("end"),
+    )
 
     whole = lines.where(F.size("bands") > 0).select("id", "line", "word", (F.col("word") + F.col("words")).alias("stop"), "begin", "end")
     linked = components(similar_lines(docs, lines), "lines")

@@ -203,6 +203,29 @@ def test_similar_lines_equal_brute_force(spark):
     assert same >= 0.97 * len(members)
 
 
+def test_repeated_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [int(p) for p in rng.choice([7, 7, 7, *range(40)], 30)]) for i in rng.integers(-9, 60, 200)]
+    wanted = Counter()
+    least = {}
+    for i, pairs in rows:
+        for p in pairs:
+            least[p] = min(i, least.get(p, i))
+    for i, pairs in rows:
+        wanted.update((i, p, 2 * p) for p in pairs if i > least[p])
+    df = spark.createDataFrame([(i, p, p, [2 * x for x in p]) for i, p in rows], "id long, pairs array<long>, pair_words array<long>, pair_bytes array<long>")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for parts in ("1", "13", "97"):  # with many ranges, one pair fills several
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            assert Counter(map(tuple, paragraphs.repeated_pairs(df).collect())) == wanted
+        assert paragraphs.repeated_pairs(df.limit(0)).count() == 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_near_copy_of_a_line_goes(spark):
     rng = np.random.default_rng(9)
     line = sentences(rng, 90)
