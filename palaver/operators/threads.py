@@ -79,6 +79,15 @@ def flat_comments(matched: DataFrame) -> DataFrame:
     )
 
 
+def first_threads(submissions: DataFrame, comments: DataFrame, n: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` submissions by id and their comments, so that a preview nests nothing else."""
+    first = submissions.orderBy("id").limit(n)
+    ids = first.select(F.col("id").alias("link_id_clean"))
+    return first, comments.join(F.broadcast(ids), "link_id_clean", "left_semi").select(comments.columns)
+
+
 def thread_preview(threads: DataFrame, n: int = 2) -> DataFrame:
-    """The first ``n`` rows by id, for a look at the result."""
-    return threads.orderBy("id", "segment").limit(n)
+    """The rows of the first ``n`` threads by id, for a look at the result."""
+    ids = thread_heads(threads).select(F.col("id").alias("_sid")).orderBy("_sid").limit(n)
+    own = threads.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("_sid")), "left_semi")
+    return own.orderBy("id", "segment")

@@ -147,7 +147,9 @@ def assemble_threads(spark, sf):
 
 @_query
 def thread_preview(spark, sf):
-    return _shown(threads.thread_preview(_threads(spark, sf), PARAMS["preview"])).select(
+    subs, coms = threads.first_threads(_subs(spark, sf), _coms(spark, sf), PARAMS["preview"])
+    nested = threads.assemble_threads(subs, coms, PARAMS["comments_per_row"])
+    return _shown(threads.thread_preview(nested, PARAMS["preview"])).select(
         "id", "title", "segment", "n_comments", "comments"
     )
 
