@@ -1,8 +1,10 @@
 """Substring dedup by paragraph MinHash banding.
 
-A text's lines are its paragraphs. Lines are cut further, at sentence ends and at words that their hash picks, into
-segments: these cuts depend on the words around them only, so a passage that sits in the middle of other text is cut
-alike wherever it stands. Units are lines and pairs of neighbouring segments.
+A text's lines are its paragraphs. Units are lines, and stretches of ``RUN`` words of the whole text, whatever its line
+ends. The least hash of the shingles of ``RUN // 2`` words in a stretch is its anchor (winnowing): equal stretches have equal
+anchors wherever they stand, so all that two texts share lies at anchors that both have. First the anchors are compared,
+about one for every five words; then each stretch at a shared anchor, word by word, with a hash of all its words. A word is
+marked if and only if a stretch around it is in a text of a smaller id (or its line is such a text's near copy).
 
 Lines of nine or more five-word shingles get MinHash bands (``ROWS`` values in each of ``BANDS``: 99.7 % of pairs at a
 similarity of 0.8 share one) and a sketch of ``MINIMA`` minima, four bits each. In a band, lines are compared with the
@@ -10,12 +12,12 @@ most frequent one, then, where that left them in different components, with each
 more than ``APART`` places is none (at a similarity of 0.8 one in five thousand pairs does); on the others the overlap of
 their shingles decides inside the join, each pair taken once, in the least band that it shares, so that only similar pairs
 leave it, and the texts' exact Jaccard similarity confirms them. Units below nine shingles reach 0.8 with equal
-shingles only, so one band of the whole set, a plain hash, is complete for them; pairs of segments are such units.
-Links make components of lines; in each, the lines of the smallest id stay and those of other ids are marked, as are
-segment pairs that a smaller id has. Marked stretches of ``RUN`` words or more are removals, so short phrases
-stay. Equal lines are collapsed before banding. Segment pairs are range-partitioned once by (pair, id), which spreads a
-frequent pair over tasks; each task marks what a smaller id of its own range has, and the pair at a range's edge is settled
-with the least id that the edges name.
+shingles only, so one band of the whole set, a plain hash, is complete for them.
+Links make components of lines; in each, the lines of the smallest id stay and those of other ids are marked.
+Marked stretches of ``RUN`` words or more are removals, so short phrases
+stay. Equal lines are collapsed before banding. Stretches at shared anchors are range-partitioned once by (hash, id), which
+spreads a frequent one over tasks; each task marks what a smaller id of its own range has, and the hash at a range's edge is
+settled with the least id that the edges name.
 
 Null texts are empty. Rows with a null id neither mark nor are marked. Repeated rows with one id count as one text's
 occurrences: passages that one id repeats stay. An empty table gives no rows.
@@ -32,12 +34,13 @@ from palaver.llm.common import _powers, mix, slices, text_buffer, text_column, w
 from palaver.llm.components import components
 from palaver.session import small_side, stage
 
-#: MinHash bands and values in each; a segment ends at one word in ``CUT``; least words of a removal.
-BANDS, ROWS, CUT, RUN = 8, 3, 16, 16
+#: MinHash bands and values in each; least words of a removal.
+BANDS, ROWS, RUN = 8, 3, 16
 #: Minima in a sketch, the first of which make the bands, and places in which the sketches of a candidate pair may differ.
 MINIMA, APART = 64, 24
 SHINGLE, SIMILAR = 5, 0.8
-_LINES = "id long, line long, word int, words int, begin int, end int, bands array<long>, pairs array<long>, pair_words array<long>, pair_bytes array<long>"
+_LINES = "id long, line long, word int, words int, begin int, end int, bands array<long>"
+_RUNS = "id long, pairs array<long>, pair_words array<long>, pair_bytes array<long>"
 _FACTORS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) + np.uint64(977)) | np.uint64(1)
 
 
@@ -48,8 +51,12 @@ def _sequences(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def _lists_of(values: pa.Array, first: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), values)
+
+
 def _lists(values: np.ndarray, first: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind))
+    return _lists_of(pa.array(values, kind), first)
 
 
 def _minima(shingles: np.ndarray, heads: np.ndarray, n: int) -> np.ndarray:
@@ -90,17 +97,6 @@ def _units(batches):
         fresh = np.concatenate([[True], (np.diff(doc) > 0) | (np.diff(breaks) > 0)])
         line = np.flatnonzero(fresh)
         stop = np.concatenate([line[1:], [n]])
-        last = data[ends - 1]
-        cut = (last == 46) | (last == 33) | (last == 63) | (hashes % np.uint64(CUT) == 0)
-        cut[stop - 1] = True
-        seg_end = np.flatnonzero(cut) + 1
-        seg_begin = np.concatenate([[0], seg_end[:-1]])
-        segments = _sequences(hashes, seg_begin, seg_end)
-        # Pairs of neighbouring segments of a text, kept with the line that the first one lies in.
-        joint = np.flatnonzero(doc[seg_begin[:-1]] == doc[seg_begin[1:]]) if len(segments) > 1 else np.zeros(0, int)
-        pairs = mix(segments[joint] * np.uint64(0x9E3779B97F4A7C15) + segments[np.minimum(joint + 1, len(segments) - 1)])
-        home = np.searchsorted(line, seg_begin[joint], side="right") - 1
-        pair_first = np.searchsorted(home, np.arange(len(line) + 1))
         base = at[doc[line]]
         width = stop - line
         wide = np.flatnonzero(width - SHINGLE + 1 >= 9)
@@ -119,22 +115,80 @@ def _units(batches):
         else:
             bands = _lists(np.zeros(0, np.int64), np.zeros(len(line) + 1, np.int64), pa.int64())
         word = lambda w: (w - first[doc[np.minimum(w, n - 1)]]).astype(np.int32)  # noqa: B023, E731
-        second = seg_end[np.minimum(joint + 1, len(seg_end) - 1)]
         ids = batch.column("id").take(pa.array(doc[line]))
-        begin_bytes = (starts[seg_begin[joint]] - at[doc[seg_begin[joint]]]).astype(np.int64)
-        end_bytes = (ends[second - 1] - at[doc[seg_begin[joint]]]).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 ids, pa.array(_sequences(hashes, line, stop).view(np.int64)), pa.array(word(line)), pa.array(width.astype(np.int32)),
                 pa.array((starts[line] - base).astype(np.int32)), pa.array((ends[stop - 1] - base).astype(np.int32)), bands,
-                _lists(pairs.view(np.int64), pair_first, pa.int64()),
-                _lists(_packed(word(seg_begin[joint]), second - seg_begin[joint]), pair_first, pa.int64()),
-                _lists(_packed(begin_bytes, end_bytes - begin_bytes), pair_first, pa.int64()),
             ],
-            ["id", "line", "word", "words", "begin", "end", "bands", "pairs", "pair_words", "pair_bytes"],
+            ["id", "line", "word", "words", "begin", "end", "bands"],
         )
 
 
+def _stretches(hashes: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and anchor of every stretch of ``run`` words that lies in one text; ``first`` as in word_spans."""
+    count = np.maximum(np.diff(first) - run + 1, 0)
+    doc = np.repeat(np.arange(len(count)), count)
+    if not len(doc):
+        return doc, doc, np.zeros(0, np.uint64)
+    begin = np.repeat(first[:-1] - (np.cumsum(count) - count), count) + np.arange(len(doc))
+    width = max(1, run // 2)
+    n = len(hashes) - width + 1
+    shingles = _sequences(hashes, np.arange(n), np.arange(n) + width)
+    least = shingles[: len(hashes) - run + 1].copy()
+    for k in range(1, run - width + 1):
+        np.minimum(least, shingles[k : k + len(least)], out=least)
+    return doc, begin, least[begin]
+
+
+def _anchors(run: int):
+    """(id, anchor) of every text, neighbouring repeats once."""
+
+    def anchors(batches):
+        for batch in slices(batches, "text"):
+            data, at = text_buffer(batch.column("text"))
+            starts, ends, first = word_spans(data, at)
+            doc, _, anchor = _stretches(word_hashes(data, starts, ends), first, run)
+            fresh = np.ones(len(doc), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
+            ids = batch.column("id").take(pa.array(doc[fresh]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(anchor[fresh].view(np.int64))], ["id", "anchor"])
+
+    return anchors
+
+
+def _runs(run: int):
+    """The stretches of each text that have one of ``anchors``: a hash of all their words, and their places."""
+
+    def runs(batches):
+        for batch in slices(batches, "text"):
+            data, at = text_buffer(batch.column("text"))
+            starts, ends, first = word_spans(data, at)
+            hashes = word_hashes(data, starts, ends)
+            doc, begin, anchor = _stretches(hashes, first, run)
+            # An anchor of another text here is shared too, and this text has it: one list serves for all.
+            kept = np.isin(anchor.view(np.int64), np.asarray(batch.column("anchors").flatten()))
+            doc, begin = doc[kept], begin[kept]
+            ahead = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            places = _packed(begin - first[doc], np.full(len(doc), run))
+            spans = _packed(starts[begin] - at[doc], ends[begin + run - 1] - starts[begin])
+            lists = [_lists(x, ahead, pa.int64()) for x in (_sequences(hashes, begin, begin + run).view(np.int64), places, spans)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "pairs", "pair_words", "pair_bytes"])
+
+    return runs
+
+
+def shared_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """The stretches of ``run`` words of all texts whose anchor texts of several ids have, in lists for ``repeated_pairs``."""
+    anchors = docs.mapInArrow(_anchors(run), "id long, anchor long")
+    ends = anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    shared = stage(ends.where("least < most").select("anchor"), "shared")
+    own = anchors.join(small_side(shared, shared.count()), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+    own = stage(own, "anchors")
+    size = own.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    return docs.join(small_side(own, size, 2_000_000), "id").select("id", "text", "anchors").mapInArrow(_runs(run), _RUNS)
+
+
 def jaccard(a: bytes, b: bytes) -> float:
     """Similarity of two lines' sets of five-word shingles (a shorter line: its whole sequence), A-Z in lower case."""
     sets = []
@@ -259,7 +313,7 @@ def _later_holders(batches):
 
 
 def repeated_pairs(lines: DataFrame) -> DataFrame:
-    """(id, words, bytes) of the segment pairs that a smaller id has too."""
+    """(id, words, bytes) of the stretches that a smaller id has too."""
     zipped = F.arrays_zip(F.col("pairs").alias("pair"), F.col("pair_words").alias("words"), F.col("pair_bytes").alias("bytes"))
     ranges = lines.select("id", F.inline(zipped)).repartitionByRange("pair", "id").sortWithinPartitions("pair", "id")
     later = ranges.select("id", "pair", "words", "bytes").mapInArrow(_later_holders, "id long, pair long, words long, bytes long")
@@ -270,27 +324,30 @@ def repeated_pairs(lines: DataFrame) -> DataFrame:
 
 
 def _merge(run: int):
+    """Spans of ``run`` words or more from the marks (words, bytes) of each text."""
+    high, low = (lambda x: x >> 32), (lambda x: x & 0xFFFFFFFF)
+
     def merge(batches):
         for batch in batches:
-            out = {"id": [], "spans": [], "n_words": []}
-            for own, marks in zip(batch.column("id").to_pylist(), batch.column("marks").to_pylist()):
-                merged: list[list[int]] = []
-                for m in sorted(marks, key=lambda m: (m["word"], m["stop"])):
-                    if merged and m["word"] <= merged[-1][1]:
-                        if m["stop"] > merged[-1][1]:
-                            merged[-1][1], merged[-1][3] = m["stop"], m["end"]
-                    else:
-                        merged.append([m["word"], m["stop"], m["begin"], m["end"]])
-                kept = [m for m in merged if m[1] - m[0] >= run]
-                if kept:
-                    out["id"].append(own)
-                    out["spans"].append([{"start": m[2], "end": m[3]} for m in kept])
-                    out["n_words"].append(sum(m[1] - m[0] for m in kept))
-            spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["id"], pa.int64()), pa.array(out["spans"], spans), pa.array(out["n_words"], pa.int64())],
-                ["id", "spans", "n_words"],
-            )
+            marks = batch.column("marks")
+            doc = np.repeat(np.arange(batch.num_rows), np.asarray(marks.value_lengths()))
+            words, places = (np.asarray(x) for x in marks.flatten().flatten())
+            order = np.lexsort((words, doc))
+            doc, words, places = doc[order], words[order], places[order]
+            begin = (doc << 32) + high(words)
+            reach = np.maximum.accumulate(begin + low(words))
+            heads = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+            tails = np.concatenate([heads[1:], [len(doc)]]) - 1
+            length = reach[tails] - begin[heads]
+            end = np.maximum.reduceat(high(places) + low(places), heads)
+            kept = length >= run
+            heads, length, end = heads[kept], length[kept], end[kept]
+            texts, first = np.unique(doc[heads], return_index=True)
+            at = np.concatenate([first, [len(heads)]])
+            fields = [pa.array(x.astype(np.int32)) for x in (high(places[heads]), end)]
+            spans = _lists_of(pa.StructArray.from_arrays(fields, ["start", "end"]), at)
+            n = np.add.reduceat(length, first) if len(first) else length
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(texts)), spans, pa.array(n)], ["id", "spans", "n_words"])
 
     return merge
 
@@ -299,14 +356,12 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     """A row for each text that loses something: id, spans (byte offsets in UTF-8, end exclusive), n_words."""
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_column(df, text).alias("text"))
     lines = stage(docs.mapInArrow(_units, _LINES), "units")
-    mark = ["id", "word", "stop", "begin", "end"]
-    low, length = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))
-    short = repeated_pairs(lines).select(
-        "id", low("words").alias("word"), (low("words") + length("words")).alias("stop"),
-        low("bytes").alias("begin"), (low("bytes") + length("bytes")).alias("end"),
-    )
-
-    whole = lines.where(F.size("bands") > 0).select("id", "line", "word", (F.col("word") + F.col("words")).alias("stop"), "begin", "end")
+    short = repeated_pairs(stage(shared_runs(docs, run), "runs"))
+
+    packed = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+    whole = lines.where(F.size("bands") > 0).select(
+        "id", "line", packed(F.col("word"), F.col("words")).alias("words"), packed(F.col("begin"), F.col("end") - F.col("begin")).alias("bytes")
+    )
     linked = components(similar_lines(docs, lines), "lines")
     holders = whole.groupBy("line").agg(F.min("id").alias("least"), F.max("id").alias("most"))
     classes = holders.join(linked.withColumnRenamed("v", "line"), "line", "left").select(
@@ -315,8 +370,8 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     classes = stage(classes, "classes")
     firsts = classes.groupBy("class").agg(F.min("least").alias("first"), F.max("most").alias("most")).where("first < most")
     named = stage(classes.join(firsts.select("class", "first"), "class").select("line", "first"), "firsts")
-    long = whole.join(small_side(named, named.count()), "line").where(F.col("id") > F.col("first")).select(mark)
-    marks = short.union(long).groupBy("id").agg(F.collect_set(F.struct("word", "stop", "begin", "end")).alias("marks"))
+    long = whole.join(small_side(named, named.count()), "line").where(F.col("id") > F.col("first")).select("id", "words", "bytes")
+    marks = short.union(long).groupBy("id").agg(F.collect_list(F.struct("words", "bytes")).alias("marks"))
     return marks.mapInArrow(_merge(run), "id long, spans array<struct<start:int,end:int>>, n_words long")
 
 
