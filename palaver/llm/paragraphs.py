@@ -6,13 +6,12 @@ anchors wherever they stand, so all that two texts share lies at anchors that bo
 about one for every five words; then each stretch at a shared anchor, word by word, with a hash of all its words. A word is
 marked if and only if a stretch around it is in a text of a smaller id (or its line is such a text's near copy).
 
-Lines of nine or more five-word shingles get MinHash bands (``ROWS`` values in each of ``BANDS``: 99.7 % of pairs at a
+Lines of five or more words get MinHash bands of their five-word shingles (``ROWS`` values in each of ``BANDS``: 99.7 % of pairs at a
 similarity of 0.8 share one) and a sketch of ``MINIMA`` minima, four bits each. In a band, lines are compared with the
 most frequent one, then, where that left them in different components, with each other. A pair whose sketches differ in
 more than ``APART`` places is none (at a similarity of 0.8 one in five thousand pairs does); on the others the overlap of
 their shingles decides inside the join, each pair taken once, in the least band that it shares, so that only similar pairs
-leave it, and the texts' exact Jaccard similarity confirms them. Units below nine shingles reach 0.8 with equal
-shingles only, so one band of the whole set, a plain hash, is complete for them.
+leave it, and the texts' exact Jaccard similarity confirms them. Shorter lines are told by a hash of the whole line.
 Links make components of lines; in each, the lines of the smallest id stay and those of other ids are marked.
 Marked stretches of ``RUN`` words or more are removals, so short phrases
 stay. Equal lines are collapsed before banding. Stretches at shared anchors are range-partitioned once by (hash, id), which
@@ -99,7 +98,7 @@ def _units(batches):
         stop = np.concatenate([line[1:], [n]])
         base = at[doc[line]]
         width = stop - line
-        wide = np.flatnonzero(width - SHINGLE + 1 >= 9)
+        wide = np.flatnonzero(width >= SHINGLE)
         if len(wide):
             shingles = _sequences(hashes, np.arange(n - SHINGLE + 1), np.arange(SHINGLE, n + 1))
             inside = np.zeros(len(shingles), bool)
@@ -359,7 +358,7 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     short = repeated_pairs(stage(shared_runs(docs, run), "runs"))
 
     packed = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
-    whole = lines.where(F.size("bands") > 0).select(
+    whole = lines.select(
         "id", "line", packed(F.col("word"), F.col("words")).alias("words"), packed(F.col("begin"), F.col("end") - F.col("begin")).alias("bytes")
     )
     linked = components(similar_lines(docs, lines), "lines")

@@ -93,3 +93,14 @@ def test_passages_anywhere_go_word_by_word(spark):
     for i, r in found.items():
         data = texts[i].encode()
         assert sum(len(data[s.start : s.end].split()) for s in r.spans) == wanted[i]
+
+
+def test_block_of_short_near_copied_lines_goes(spark):
+    rng = np.random.default_rng(5)
+    lines = [words(rng, n) for n in (8, 2, 9, 4, 12, 3)]
+    copies = [x if len(x) < 5 else [*x, "more"] for x in lines]  # four of five shingles and more
+    block, copy = ("\n".join(" ".join(x) for x in b) for b in (lines, copies))
+    ends = [" ".join(words(rng, 20)) for _ in range(2)]
+    df = spark.createDataFrame([(1, f"{ends[0]}\n{block}"), (2, f"{copy}\n{ends[1]}")], "doc_id long, text string")
+    got = [(r.id, r.n_words, [tuple(s) for s in r.spans]) for r in paragraphs.repeated_spans(df).collect()]
+    assert got == [(2, sum(map(len, copies)), [(0, len(copy))])]
