@@ -65,12 +65,17 @@ def _count(batches):
         )
 
 
-def fit_text_model(df: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages by name, and the log-probability of each trigram cell in each; fitted on about ``rows`` labelled rows."""
-    labelled = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), text_column(df, text).alias("text"))
+def fit_text_model(df: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, key: str = "doc_id") -> tuple[list[str], np.ndarray]:
+    """Languages by name, and the log-probability of each trigram cell in each; fitted on about ``rows`` labelled rows.
+
+    Rows are drawn by their id, so copies of a text are drawn one by one; those without an id are drawn by their text.
+    """
+    labelled = df.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("string").alias("label"), text_column(df, text).alias("text"), F.col(key).alias("id")
+    )
     n = labelled.count()
-    lot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    some = labelled.where(lot < int(min(1.0, rows / max(1, n)) * (1 << 20)))
+    lot = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(1 << 20))
+    some = labelled.where(lot < int(min(1.0, rows / max(1, n)) * (1 << 20))).select("label", "text")
     counts = some.mapInArrow(_count, "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
     counts = counts.toArrow().to_pandas()  # at most one row for each label and cell; as rows of Python they would take ten times the memory
     names = sorted(set(counts["label"]) - {UNKNOWN})
