@@ -15,9 +15,12 @@ from palaver.llm import (
     ngram,
     packing,
     paragraphs,
+    periods,
     pieces,
+    quality,
     shards,
     simhash,
+    variants,
 )
 from palaver.llm.common import table
 from palaver.session import ship_package
@@ -136,6 +139,52 @@ def op10_exact_topk(spark, sf):
     return exact_search.exact_top_k(vectors.where(F.col("vec_id") % 100 == 0), vectors)
 
 
+@_query
+def op11_spelling_variants(spark, sf):
+    runs = variants.letter_runs(table(spark, sf, "documents"))
+    # The contract's slips of the pen: one letter of some runs is left out.
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary"))
+    drawn = runs.select("word", h.alias("h"), (h % F.char_length("word")).cast("int").alias("at"))
+    short = F.concat(F.expr("substring(word, 1, at)"), F.expr("substring(word, at + 2)"))
+    slipped = drawn.select(F.when(F.col("h") % 31 == 0, short).otherwise(F.col("word")).alias("word"))
+    return variants.spelling_variants(variants.word_counts(slipped))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the contract's runs: in one document of ten, the words from a on repeat the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), h.alias("h"))
+    rows = rows.select("*", F.when(F.col("h") % 10 == 0, words).otherwise(F.array().cast("array<string>")).alias("words"))
+    rows = rows.select("*", F.size("words").alias("n"), F.floor(F.col("h") / 10).alias("g"))
+    rows = rows.select("*", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int").alias("a"))
+    rows = rows.select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(period, times)), F.lit(1), F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op12_periodic_runs(spark, sf):
+    found = periods.periodic_runs(with_planted_runs(table(spark, sf, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("period"))))
+    rows = found.select("*", longest.alias("top"))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("top.back")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"), F.expr("(1000 * top.length) div (-top.period)").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query
+def op13_quality_classifier(spark, sf):
+    scored = quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 _TOP_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e from embeddings
