@@ -89,31 +89,45 @@ def unit_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
     return np.hstack([unit(own), unit(context)]).astype(np.float32)
 
 
+def word_vectors(cell: np.ndarray, length: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The mean of each word's cells' vectors, scaled to length one."""
+    if len(length) == 1:  # which may be very long: its cells are counted first
+        sums = (np.bincount(cell, minlength=CELLS) @ vectors)[None]
+    else:
+        starts = np.cumsum(length) - length
+        order = np.argsort(-length, kind="stable")
+        sums = np.zeros((len(length), vectors.shape[1]), np.float32)
+        have = np.searchsorted(-length[order], -np.arange(length.max()), side="left")  # words of more than k letters come first
+        for k, some in enumerate(have.tolist()):
+            sums[:some] += vectors[cell[starts[order[:some]] + k]]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        sums = sums[back]
+    return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+
+
 def pool(data: np.ndarray, at: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """A row for each text: the mean of its words' vectors, and of the products of neighbouring ones; zero where there is none."""
     cell, length, first = units(data, at)
     n, width = len(at) - 1, vectors.shape[1]
     sums, pairs = np.zeros((n, width)), np.zeros((n, width))
-    text = np.repeat(np.arange(n), np.diff(first))
     ends = np.cumsum(length)
-    begin, last = 0, None  # the word before this part's first
+    doc, begin, last = 0, 0, None  # the text and word reached, and the word before it in this text
     while begin < len(length):
         done = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, done + HELD, side="right")))
-        mine, doc = cell[done : ends[end - 1]], text[begin:end]
-        if len(mine) > HELD:  # one long word: its cells are counted first
-            words = (np.bincount(mine, minlength=CELLS) @ vectors / len(mine))[None]
-        else:
-            words = np.add.reduceat(vectors[mine], ends[begin:end] - length[begin:end] - done) / length[begin:end, None]
-        words = words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-9)
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(doc) > 0]))
-        sums[doc[heads]] += np.add.reduceat(words, heads)
-        before = np.vstack([words[:1] * 0 if last is None else last, words[:-1]])
-        before[heads[1:]] = 0
-        if begin and text[begin - 1] != doc[0]:
-            before[0] = 0
-        pairs[doc[heads]] += np.add.reduceat(words * before, heads)
-        begin, last = end, words[-1:]
+        words = word_vectors(cell[done : ends[end - 1]], length[begin:end], vectors)
+        at_word = begin
+        while at_word < end:
+            doc = int(np.searchsorted(first, at_word, side="right")) - 1
+            stop = min(end, int(first[doc + 1]))
+            mine = words[at_word - begin : stop - begin]
+            sums[doc] += mine.sum(axis=0)
+            pairs[doc] += np.einsum("ij,ij->j", mine[1:], mine[:-1])
+            if last is not None and at_word > first[doc]:
+                pairs[doc] += mine[0] * last
+            at_word, last = stop, mine[-1]
+        begin = end
     count = np.diff(first)
     return np.hstack([sums / np.maximum(count, 1)[:, None], pairs / np.maximum(count - 1, 1)[:, None]])
 
