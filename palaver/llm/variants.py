@@ -1,9 +1,9 @@
 """Spelling variants by a trie of letter frequencies.
 
-A word's frequency vector counts its letters by groups of letters. One inserted, deleted or replaced letter changes it by at most
-one surplus and one deficit, so near words are found in a trie whose levels are the successive counts: a depth-first search
-follows, from the word's own counts, the children that spend no more than that budget, and the words at the leaves that it
-reaches are verified letter by letter.
+A word's frequency vector counts its letters, all and then by groups. One inserted, deleted or replaced letter changes the groups by at
+most one surplus and one deficit, so near words are found in a trie whose levels are the successive counts: a depth-first search
+follows, from the word's own counts, the children that spend no more than that budget (a longer word allows no deficit, a
+shorter one no surplus), and the words at the leaves that it reaches are verified letter by letter.
 
 The trie is spread over tasks. Its top is descended by Spark: a node with more than ``SHARD`` words is opened, its children being
 the next group's counts, until every open end is a shard; words go to the shard of their own path, and as queries to every
@@ -27,10 +27,12 @@ from palaver.session import key_table, small_side, stage
 
 #: Letters of a word: A-Z, a-z and the letters from U+00C0 to U+00FF, whose code points are one byte in Latin-1.
 LETTERS = "A-Za-zÀ-ÿ"
-#: Groups of letters whose counts are the levels of the trie; all other letters are the last level.
+#: Groups of letters whose counts are the levels of the trie below that of the length; all other letters follow from them.
 GROUPS = ("e", "t", "a", "n", "o", "i", "s", "r", "h", "l", "d", "u", "cg", "bmpw")
 #: Words of a shard and queries of a block, states of the search and pairs verified at a time.
-SHARD, STATES = 1 << 16, 1 << 18
+SHARD, STATES = 1 << 17, 1 << 18
+#: Letters of a word that is verified as a row of a table.
+NARROW = 32
 #: Least code points and occurrences of a word, and how many times as frequent its form must be.
 LEAST_LETTERS, LEAST_COUNT, TIMES = 7, 2, 10
 
@@ -53,16 +55,21 @@ def letter_runs(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     return df.select(F.col(key).alias("id"), F.explode(runs).alias("run")).select("id", F.translate("run", upper, upper.lower()).alias("word"))
 
 
-def _level(i: int, word: str = "word") -> Column:
-    """The count of a word's letters in group ``i``."""
-    return F.char_length(word) - F.char_length(F.translate(word, GROUPS[i], ""))
+def _level(i: int) -> Column:
+    """A word's count at a level of the trie: all its letters, then those of each group."""
+    return F.char_length("word") - F.char_length(F.translate("word", GROUPS[i - 1], "")) if i else F.char_length("word")
+
+
+def _spent(i: int, d: int) -> tuple[int, int]:
+    """The surplus and deficit that a difference of d spends at a level. A longer word leaves no deficit, a shorter one no surplus."""
+    return (max(d, 0), max(-d, 0)) if i else (max(-d, 0), max(d, 0))
 
 
 def _crowded(words: DataFrame, shard: int) -> list[DataFrame]:
     """For each level, a table of the trie's nodes that hold more than ``shard`` words, named by their counts."""
     levels = []
     path = F.lit("")
-    for i in range(len(GROUPS)):
+    for i in range(len(GROUPS) + 1):
         nodes = key_table(words.groupBy(path.alias("shard")).count().where(F.col("count") > shard).select("shard", F.lit(True).alias("crowded")), "crowded")
         if nodes.isEmpty():
             break
@@ -80,8 +87,8 @@ def _descend(words: DataFrame, levels: list[DataFrame], budget: int) -> DataFram
             *[
                 F.struct(
                     F.concat("shard", (own + d).cast("string"), F.lit(".")).alias("shard"),
-                    (F.col("more") + max(d, 0)).alias("more"),
-                    (F.col("less") + max(-d, 0)).alias("less"),
+                    (F.col("more") + _spent(i, d)[0]).alias("more"),
+                    (F.col("less") + _spent(i, d)[1]).alias("less"),
                     (own + d).alias("count"),
                 )
                 for d in range(-budget, budget + 1)
@@ -102,9 +109,15 @@ class Words:
         self.length = np.array([len(r) for r in rows], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.length)])
         self.letters = np.frombuffer(b"".join(rows), np.uint8)
+        # Words of up to ``NARROW`` letters as rows of one width, from the front and from the back.
+        narrow = [r if len(r) <= NARROW else b"" for r in rows]
+        self.front, self.back = (
+            np.frombuffer(b"".join([r[::way].ljust(NARROW, b"\0") for r in narrow]), np.uint8).reshape(-1, NARROW) for way in (1, -1)
+        )
         width = len(GROUPS) + 1
         row = np.repeat(np.arange(len(rows)), self.length)
-        self.vectors = np.bincount(row * width + _GROUP_OF[self.letters], minlength=len(rows) * width).reshape(-1, width)
+        counts = np.bincount(row * width + _GROUP_OF[self.letters], minlength=len(rows) * width).reshape(-1, width)
+        self.vectors = np.column_stack([self.length, counts[:, :-1]])
 
 
 def one_edit(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
@@ -112,24 +125,19 @@ def one_edit(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
     n, m = a.length[i], b.length[j]
     short, gap = np.minimum(n, m), np.abs(n - m)
     out = np.zeros(len(i), bool)
-    # By classes of length, so that a long word does not widen the rows of short ones.
-    for size in np.unique(np.ceil(np.log2(short + 1)).astype(np.int64)):
-        low, high = (1 << max(0, size - 1)) if size else 0, (1 << size) - 1
-        group = np.flatnonzero((short >= low) & (short <= high) & (gap <= 1))
-        step = max(1, STATES * 8 // max(1, high))
-        for k in range(0, len(group), step):
-            some = group[k : k + step]
-            x, y, width = a.at[i[some], None], b.at[j[some], None], short[some, None]
-            place = np.arange(int(width.max()))
-            inside = place < width
-            ends_x, ends_y = a.at[i[some] + 1, None] - 1, b.at[j[some] + 1, None] - 1
-            forth = np.minimum(place, width - 1)
-            front = inside & (a.letters[x + forth] != b.letters[y + forth])
-            back = inside & (a.letters[ends_x - forth] != b.letters[ends_y - forth])
-            w = short[some]
-            prefix = np.where(front.any(axis=1), front.argmax(axis=1), w)
-            suffix = np.where(back.any(axis=1), back.argmax(axis=1), w)
-            out[some] = np.where(gap[some] == 1, prefix + suffix >= w, prefix + suffix == w - 1)
+    small = np.maximum(n, m) <= NARROW
+    some = np.flatnonzero(small & (gap == 0))
+    out[some] = (a.front[i[some]] != b.front[j[some]]).sum(axis=1) == 1
+    some = np.flatnonzero(small & (gap == 1))
+    # What fills up the shorter word differs from the longer one's letter there, so both ways stop at its length at the latest.
+    prefix, suffix = ((x[i[some]] != y[j[some]]).argmax(axis=1) for x, y in ((a.front, b.front), (a.back, b.back)))
+    out[some] = prefix + suffix >= short[some]
+    for k in np.flatnonzero(~small & (gap <= 1)).tolist():
+        x, y = (w.letters[w.at[p[k]] : w.at[p[k] + 1]] for w, p in ((a, i), (b, j)))
+        w = short[k]
+        front, back = x[:w] != y[:w], x[::-1][:w] != y[::-1][:w]
+        prefix, suffix = (int(d.argmax()) if d.any() else w for d in (front, back))
+        out[k] = prefix + suffix >= w if gap[k] else prefix + suffix == w - 1
     return out
 
 
@@ -158,7 +166,7 @@ class Trie:
         """Depth first over blocks of states: (query, leaf) arrays of all leaves within a surplus and a deficit of one."""
         n = len(vectors)
         zero = np.zeros(n, np.int64)
-        todo = [(0, np.arange(n), zero, zero, zero)]
+        todo = [(0, np.lexsort(vectors.T[::-1]), zero, zero, zero)]  # in order, as neighbours go through the same nodes
         while todo:
             level, query, node, more, less = todo.pop()
             if level == len(self.children):
@@ -166,10 +174,11 @@ class Trie:
                 continue
             parts = []
             for d in (-1, 0, 1):
-                can = np.flatnonzero((more < 1) if d > 0 else (less < 1) if d < 0 else np.ones(len(query), bool))
+                more_, less_ = _spent(level, d)
+                can = np.flatnonzero((more + more_ < 2) & (less + less_ < 2)) if d else np.arange(len(query))
                 child, there = self._down(level, node[can], vectors[query[can], level] + d)
                 can = can[there]
-                parts.append((query[can], child[there], more[can] + (d > 0), less[can] + (d < 0)))
+                parts.append((query[can], child[there], more[can] + more_, less[can] + less_))
             joined = [np.concatenate(x) for x in zip(*parts)]
             for k in range(0, len(joined[0]), STATES):
                 todo.append((level + 1, *(x[k : k + STATES] for x in joined)))
