@@ -87,9 +87,10 @@ def test_style_vectors_shuffle_text_once(comments, small_thresholds):
     chosen = authors.prolific_comments(comments, 10, 255, 40)
     vectors = inference.embed_authors(chosen, lambda: HashingEmbedder(8))
     plan = vectors._jdf.queryExecution().executedPlan().toString()
-    below = plan[plan.index("FlatMapGroupsInArrow") :]
-    # Comments and author names meet on (author, segment); grouping adds no exchange.
-    assert below.count("Exchange hashpartitioning(author") == 1, below
+    below = plan[plan.index("MapInArrow") :]
+    # Bodies are moved once, to their (author, segment), and nothing lies between that exchange and the model.
+    assert below.count("hashpartitioning(author") == 1 and below.count("hashpartitioning(author#") == 1, below
+    assert "segment" in below[below.index("hashpartitioning(author") :].split(")")[0], below
     model = HashingEmbedder(8)
     bodies = [r["body"] for r in comments.where("author = 'hot' and char_length(body) >= 255").collect()]
     hot = vectors.where("author = 'hot'").first()
