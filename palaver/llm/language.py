@@ -8,14 +8,13 @@ shares come from grouped sums over every row. Trigrams of one text are far from
 
 Null texts are empty. A text without a letter has no evidence of its own and is rejected, as is a row whose best
 language is ``und`` or less certain than ``CERTAIN``. Null and unknown declarations, suffixes and hosts say nothing
-(hosts that are null form one host). Equal posteriors go to the language that comes first by name. Without labelled
-rows every text is ``und``. Repeated rows are judged alike. An empty table gives no rows.
+(hosts that are null form one host). Equal posteriors go to the language that comes first by name. The languages are the
+``LANGUAGES`` most frequent labels (ties by name); rows with other labels are not fitted on, and their labels are unknown declarations. Without labelled
+rows every text is ``und``. Repeated rows are judged alike, rows of one id each by its own text. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 from palaver.llm.common import slices, text_buffer, text_column
 from palaver.session import small_side, stage
 
-#: Most labelled rows the text model is fitted on, its cells, trigrams of a text that count, and bytes read at a time.
-SAMPLE_ROWS, CELLS, TEXT_EVIDENCE = 20_000, 1 << 15, 60
+#: Most labelled rows the text model is fitted on, its languages and cells, and trigrams of a text that count.
+SAMPLE_ROWS, LANGUAGES, CELLS, TEXT_EVIDENCE = 20_000, 200, 1 << 15, 60
 #: How often a declaration and a country's suffix are right, texts that a smoothing prior is worth, and certainty to accept.
 DECLARED, SUFFIX, PRIOR_TEXTS, CERTAIN = 0.9, 0.8, 20.0, 0.6
 UNKNOWN = "und"
@@ -65,29 +64,39 @@ def _count(batches):
         )
 
 
-def fit_text_model(df: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, key: str = "doc_id") -> tuple[list[str], np.ndarray]:
+def fit_text_model(
+    df: DataFrame, text: str = "text", label: str = "lang", rows: int = SAMPLE_ROWS, key: str = "doc_id", labelled_rows: int | None = None
+) -> tuple[list[str], np.ndarray]:
     """Languages by name, and the log-probability of each trigram cell in each; fitted on about ``rows`` labelled rows.
 
     Rows are drawn by their id, so copies of a text are drawn one by one; those without an id are drawn by their text.
+    ``labelled_rows`` is their number where it is known.
     """
     labelled = df.where(F.col(label).isNotNull()).select(
         F.col(label).cast("string").alias("label"), text_column(df, text).alias("text"), F.col(key).alias("id")
     )
-    n = labelled.count()
-    lot = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(1 << 20))
-    some = labelled.where(lot < int(min(1.0, rows / max(1, n)) * (1 << 20))).select("label", "text")
+    found = labelled.where(F.col("label") != UNKNOWN).groupBy("label").agg(F.count("*").alias("n"))
+    found = found.orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
+    names = sorted(r["label"] for r in found)
+    n = labelled_rows or sum(r["n"] for r in found)
+    draw = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id"))
+    some = labelled.where(F.col("label").isin(names) & (draw.cast("double") / 2.0**64 + 0.5 < rows / max(1, n))).select("label", "text")
     counts = some.mapInArrow(_count, "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
-    counts = counts.toArrow().to_pandas()  # at most one row for each label and cell; as rows of Python they would take ten times the memory
-    names = sorted(set(counts["label"]) - {UNKNOWN})
-    grid = np.zeros((len(names), CELLS))
-    known = counts[counts["label"].isin(names)]
-    grid[[names.index(x) for x in known["label"]], known["cell"].to_numpy()] = known["n"].to_numpy()
-    model = np.log((grid + 0.5) / (grid + 0.5).sum(axis=1, keepdims=True))
-    return [*names, UNKNOWN], np.vstack([model, np.full((1, CELLS), -np.log(CELLS))])
+    counts = counts.toArrow()  # a row for each language and cell at most
+    grid = np.full((len(names), CELLS), 0.5, np.float32)
+    place = np.searchsorted(np.array(names, dtype=object), np.array(counts.column("label").to_pylist(), dtype=object)) if len(counts) else []
+    grid[place, np.asarray(counts.column("cell"))] += np.asarray(counts.column("n"), dtype=np.float32)
+    model = np.log(grid / grid.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32)
+    return [*names, UNKNOWN], np.vstack([model, np.full((1, CELLS), -np.log(CELLS), np.float32)])
 
 
 def text_likelihoods(df: DataFrame, model: np.ndarray, evidence: int = TEXT_EVIDENCE) -> DataFrame:
-    """Adds ``likelihood``, an array with a language's log-likelihood in each place, and drops the text."""
+    """Adds what the text says and drops it.
+
+    ``likelihood`` has a language's log-likelihood in each place, ``share`` its share of them, ``text_place`` is the
+    greatest's place, and ``worded`` whether the text has letters.
+    """
+    kept = [c for c in df.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "text")
     model = model.astype(np.float32)
 
@@ -105,80 +114,89 @@ def text_likelihoods(df: DataFrame, model: np.ndarray, evidence: int = TEXT_EVID
                 for i, weights in enumerate(model):
                     sums[:, i] = np.bincount(row[keep], weights[cell[keep]], n)
             sums *= np.minimum(1.0, evidence / np.maximum(letters, 1))[:, None]
-            flat = pa.array(sums.ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(model), pa.int32()), flat)
-            kept = [c for c in batch.schema.names if c != "text"]
+            powers = np.exp(sums - sums.max(axis=1, keepdims=True))
+            ends = pa.array(np.arange(n + 1) * len(model), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (sums, powers / powers.sum(axis=1, keepdims=True))]
+            more = [*lists, pa.array(sums.argmax(axis=1).astype(np.int32)), pa.array(letters > 0)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in kept] + [lists, pa.array(letters > 0)], [*kept, "likelihood", "worded"]
+                [batch.column(c) for c in kept] + more, [*kept, "likelihood", "share", "text_place", "worded"]
             )
 
-    return df.mapInArrow(run, schema + ", likelihood array<double>, worded boolean")
+    more = "likelihood array<double>, share array<double>, text_place int, worded boolean"
+    return df.mapInArrow(run, ", ".join(x for x in (schema, more) if x))
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    powers = [F.exp(x - top) for x in logs]
-    return [p / reduce(lambda a, b: a + b, powers) for p in powers]
+def evidence(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows (any keys, text, declared, host, suffix) in the form that is judged: unknown languages are null."""
+    keys = [c for c in df.columns if c not in ("text", "declared", "host", "suffix")]
+    declared = F.lower(F.substring_index(F.col("declared").cast("string"), "-", 1))
+    suffix = F.lower(F.coalesce(F.col("suffix").cast("string"), F.lit("")))
+    country = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])
+    known = lambda c: F.when(c.isin(names[:-1]), c)
+    rows = df.select(
+        *keys, text_column(df, "text").alias("text"), declared.alias("declared"),
+        F.lower(F.coalesce(F.col("host").cast("string"), F.lit(""))).alias("host"), suffix.alias("suffix"), country[suffix].alias("country"),
+    )
+    return rows.withColumns({"declared": known(F.col("declared")), "country": known(F.col("country"))})
+
+
+def smoothed_priors(rows: DataFrame, n: int) -> tuple[DataFrame, list[float]]:
+    """(host, suffix, prior) from rows (host, suffix, share, worded), and the prior of rows without either.
+
+    The shares of a host's texts are smoothed towards its suffix's, and those towards all rows'.
+    """
+    sums = F.array(*[F.sum(F.col("share")[i]) for i in range(n)])
+    hosts = stage(rows.where("worded").groupBy("host", "suffix").agg(sums.alias("sums")), "hosts")
+    added = F.array(*[F.sum(F.col("sums")[i]) for i in range(n)])
+    whole = np.array(hosts.agg(added.alias("sums")).first()["sums"], dtype=object)
+    whole = np.array([x or 0.0 for x in whole], dtype=float) + 1.0
+    whole = (whole / whole.sum()).tolist()
+
+    def smoothed(own: str, towards: Column) -> Column:
+        total = F.aggregate(own, F.lit(PRIOR_TEXTS), lambda a, x: a + x)
+        return F.zip_with(own, towards, lambda x, y: (x + PRIOR_TEXTS * y) / total)
 
+    suffixes = hosts.groupBy("suffix").agg(added.alias("near"))
+    suffixes = stage(suffixes.select("suffix", smoothed("near", F.array(*map(F.lit, whole))).alias("near")), "suffixes")
+    return stage(hosts.join(suffixes, "suffix").select("host", "suffix", smoothed("sums", F.col("near")).alias("prior")), "priors"), whole
 
-def _says(said: Column, names: list[str], right: float) -> list[Column]:
-    """Log-probability of a declaration under each language; nothing where it names no known one."""
-    real = names[:-1]
-    other = float(np.log((1 - right) / max(1, len(real) - 1)))
-    return [
-        F.when(said == name, F.lit(float(np.log(right)))).when(said.isin(real), F.lit(other)).otherwise(F.lit(0.0))
-        for name in real
-    ] + [F.when(said.isin(real), F.lit(other)).otherwise(F.lit(0.0))]
+
+def judge(rows: DataFrame, names: list[str], priors: DataFrame, whole: list[float]) -> DataFrame:
+    """Adds language, certainty, text_language and accepted to rows that hold all evidence.
+
+    Logarithms stay arrays with a place for each language, so the plan does not grow with them but for its constants.
+    """
+    keyed = rows.join(small_side(priors, priors.count(), 50_000), ["host", "suffix"], "left")
+    places = F.array(*map(F.lit, names))
+
+    def says(column: str, right: float) -> Column:
+        other = float(np.log((1 - right) / max(1, len(names) - 2)))
+        voice = lambda name: F.when(name == F.col(column), F.lit(float(np.log(right)))).otherwise(F.lit(other))
+        return F.when(F.col(column).isNull(), F.array_repeat(F.lit(0.0), len(names))).otherwise(F.transform(places, voice))
+
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    prior = F.transform(F.coalesce("prior", F.array(*map(F.lit, whole))), lambda x: F.log(x))
+    fused = add(add(add(F.col("likelihood"), says("declared", DECLARED)), says("country", SUFFIX)), prior)
+    summed = keyed.withColumn("fused", fused).withColumn("top", F.array_max("fused"))
+    share = 1 / F.aggregate("fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
+    best = summed.withColumn("certainty", share).withColumn("language", F.get(places, F.array_position("fused", F.col("top")).cast("int") - 1))
+    return best.withColumn("text_language", F.when(F.col("worded"), F.get(places, F.col("text_place"))).otherwise(F.lit(UNKNOWN))).withColumn(
+        "accepted", F.col("worded") & (F.col("language") != UNKNOWN) & (F.col("certainty") >= CERTAIN)
+    )
 
 
 def identify(df: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
     """Judges rows (any keys, text, declared, host, suffix): the keys, language, certainty, text_language, accepted."""
     keys = [c for c in df.columns if c not in ("text", "declared", "host", "suffix")]
-    rows = df.select(
-        *keys, text_column(df, "text").alias("text"),
-        F.lower(F.substring_index(F.col("declared").cast("string"), "-", 1)).alias("declared"),
-        F.lower(F.coalesce(F.col("host").cast("string"), F.lit(""))).alias("host"),
-        F.lower(F.coalesce(F.col("suffix").cast("string"), F.lit(""))).alias("suffix"),
-    )
-    rows = stage(text_likelihoods(rows, model), "likelihoods")
-    places = range(len(names))
-    shares = rows.where("worded").select("host", "suffix", *[p.alias(f"p{i}") for i, p in enumerate(_softmax([F.col("likelihood")[i] for i in places]))])
-    sums = [F.sum(f"p{i}").alias(f"p{i}") for i in places]
-    hosts = stage(shares.groupBy("host", "suffix").agg(*sums), "hosts")
-    whole = hosts.agg(*sums).first()
-    whole = np.array([x or 0.0 for x in whole]) + 1.0
-    whole = whole / whole.sum()
-    total = lambda side: reduce(lambda a, b: a + b, [F.col(f"{side}{i}") for i in places])
-    suffixes = hosts.groupBy("suffix").agg(*sums)
-    suffixes = suffixes.select("suffix", *[((F.col(f"p{i}") + PRIOR_TEXTS * F.lit(float(whole[i]))) / (total("p") + PRIOR_TEXTS)).alias(f"s{i}") for i in places])
-    priors = hosts.join(suffixes, "suffix").select(
-        "host", "suffix", *[((F.col(f"p{i}") + PRIOR_TEXTS * F.col(f"s{i}")) / (total("p") + PRIOR_TEXTS)).alias(f"q{i}") for i in places]
-    )
-    priors = stage(priors, "priors")
-    country = F.create_map(*[F.lit(x) for pair in SUFFIX_LANGUAGE.items() for x in pair])[F.col("suffix")]
-    declared, suffix = _says(F.col("declared"), names, DECLARED), _says(country, names, SUFFIX)
-    prior = [F.log(F.coalesce(F.col(f"q{i}"), F.lit(float(whole[i])))) for i in places]
-    fused = [F.col("likelihood")[i] + declared[i] + suffix[i] + prior[i] for i in places]
-    joined = rows.join(small_side(priors, priors.count(), 50_000), ["host", "suffix"], "left")
-
-    def best(values: list[Column]) -> Column:
-        pairs = F.array(*[F.struct(v.alias("p"), F.lit(-i).alias("place")) for i, v in enumerate(values)])
-        return F.array_max(pairs)
-
-    judged = joined.select(*keys, "worded", best(_softmax(fused)).alias("best"), best([F.col("likelihood")[i] for i in places]).alias("text_best"))
-    name = lambda c: F.element_at(F.array(*[F.lit(x) for x in names]), 1 - c["place"])
-    language = name(F.col("best"))
-    return judged.select(
-        *keys, language.alias("language"), F.col("best")["p"].alias("certainty"),
-        F.when(F.col("worded"), name(F.col("text_best"))).otherwise(F.lit(UNKNOWN)).alias("text_language"),
-        (F.col("worded") & (language != UNKNOWN) & (F.col("best")["p"] >= CERTAIN)).alias("accepted"),
-    )
+    rows = stage(text_likelihoods(evidence(df, names), model), "likelihoods")
+    judged = judge(rows, names, *smoothed_priors(rows, len(names)))
+    return judged.select(*keys, "language", "certainty", "text_language", "accepted")
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
+def document_evidence(docs: DataFrame, *more: Column) -> DataFrame:
     """Documents as rows to judge: the source is the host, the language column the declaration, there is no address."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("declared"),
+        *more, F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("declared"),
         F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"),
     )
 
@@ -196,8 +214,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is accepted, with their own columns; all rows of an id stay if one of them does."""
+    """The documents whose language is accepted, with their own columns; every row is judged by its own text.
+
+    The verdict goes along with the row, so nothing is joined by id: the texts are read once for the hosts' priors and once
+    more to be judged.
+    """
     names, model = fit_text_model(docs)
-    found = identify(document_evidence(docs), names, model).where("accepted").select(F.col("doc_id").alias("__own")).distinct()
-    own = stage(found, "accepted")
-    return docs.join(small_side(own, own.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("__own")), "left_semi").select(docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = document_evidence(docs, whole)
+    shares = text_likelihoods(evidence(rows.drop("whole", "doc_id"), names).select("host", "suffix", "text"), model)
+    priors = smoothed_priors(stage(shares.select("host", "suffix", "share", "worded"), "shares"), len(names))
+    judged = judge(text_likelihoods(evidence(rows, names), model), names, *priors)
+    return judged.where("accepted").select("whole.*")

@@ -2,8 +2,10 @@
 
 A text's lines are its paragraphs. Units are lines, and stretches of ``RUN`` words of the whole text, whatever its line
 ends. The least hash of the shingles of ``RUN // 2`` words in a stretch is its anchor (winnowing): equal stretches have equal
-anchors wherever they stand, so all that two texts share lies at anchors that both have. First the anchors are compared,
-about one for every five words; then each stretch at a shared anchor, word by word, with a hash of all its words. A word is
+anchors wherever they stand, so all that two texts share lies at anchors that both have. Neighbouring stretches of one anchor
+make a segment, about one for every five words, with a hash of all its words. Segments are compared as wholes first: one that a
+smaller id has too is marked. Only where an anchor has segments that differ, at the ends of what is shared, the stretches of
+one holder of each (the smallest id) are compared word by word. A word is
 marked if and only if a stretch around it is in a text of a smaller id (or its line is such a text's near copy).
 
 Lines of five or more words get MinHash bands of their five-word shingles (``ROWS`` values in each of ``BANDS``: 99.7 % of pairs at a
@@ -14,12 +16,14 @@ their shingles decides inside the join, each pair taken once, in the least band
 leave it, and the texts' exact Jaccard similarity confirms them. Shorter lines are told by a hash of the whole line.
 Links make components of lines; in each, the lines of the smallest id stay and those of other ids are marked.
 Marked stretches of ``RUN`` words or more are removals, so short phrases
-stay. Equal lines are collapsed before banding. Stretches at shared anchors are range-partitioned once by (hash, id), which
-spreads a frequent one over tasks; each task marks what a smaller id of its own range has, and the hash at a range's edge is
-settled with the least id that the edges name.
-
-Null texts are empty. Rows with a null id neither mark nor are marked. Repeated rows with one id count as one text's
-occurrences: passages that one id repeats stay. An empty table gives no rows.
+stay. Equal lines are collapsed before banding. Segments are range-partitioned once by (anchor, segment, id), which
+spreads a frequent one over tasks; each task marks what a smaller id of its own range has, and hands what it can't tell, the
+anchors at a range's edge, to the comparison word by word. Stretches are range-partitioned by (hash, id) in the same way; the hash
+at a range's edge is settled with the least id that the edges name.
+
+Null texts are empty. Rows with a null id neither mark nor are marked. A row is known by its id and its text: where an id has
+several texts, each has its own removals (``twin``, a hash of the text, tells them apart and is 0 for all other ids), and
+they do not mark each other: passages that one id repeats stay. Repeated rows lose the same. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +42,11 @@ BANDS, ROWS, RUN = 8, 3, 16
 #: Minima in a sketch, the first of which make the bands, and places in which the sketches of a candidate pair may differ.
 MINIMA, APART = 64, 24
 SHINGLE, SIMILAR = 5, 0.8
-_LINES = "id long, line long, word int, words int, begin int, end int, bands array<long>"
-_RUNS = "id long, pairs array<long>, pair_words array<long>, pair_bytes array<long>"
+_ROW = ["id", "twin"]
+_LINES = "id long, twin long, line long, word int, words int, begin int, end int, bands array<long>"
+_SEGMENTS = "id long, twin long, anchor long, segment long, words long, bytes long"
+_HELD = "id long, twin long, words long, bytes long, open boolean"
+_RUNS = "id long, twin long, pairs array<long>, pair_words array<long>, pair_bytes array<long>"
 _FACTORS = mix(np.arange(1, MINIMA + 1, dtype=np.uint64) + np.uint64(977)) | np.uint64(1)
 
 
@@ -83,6 +90,11 @@ def _sketches(least: np.ndarray) -> np.ndarray:
     return (bits << (4 * np.arange(16, dtype=np.uint64))[:, None]).sum(axis=1, dtype=np.uint64).T
 
 
+def _taken(batch: pa.RecordBatch, doc: np.ndarray) -> list[pa.Array]:
+    """What names the rows ``doc`` of a batch."""
+    return [batch.column(c).take(pa.array(doc)) for c in _ROW]
+
+
 def _units(batches):
     for batch in slices(batches, "text"):
         data, at = text_buffer(batch.column("text"))
@@ -114,13 +126,12 @@ def _units(batches):
         else:
             bands = _lists(np.zeros(0, np.int64), np.zeros(len(line) + 1, np.int64), pa.int64())
         word = lambda w: (w - first[doc[np.minimum(w, n - 1)]]).astype(np.int32)  # noqa: B023, E731
-        ids = batch.column("id").take(pa.array(doc[line]))
         yield pa.RecordBatch.from_arrays(
             [
-                ids, pa.array(_sequences(hashes, line, stop).view(np.int64)), pa.array(word(line)), pa.array(width.astype(np.int32)),
+                *_taken(batch, doc[line]), pa.array(_sequences(hashes, line, stop).view(np.int64)), pa.array(word(line)), pa.array(width.astype(np.int32)),
                 pa.array((starts[line] - base).astype(np.int32)), pa.array((ends[stop - 1] - base).astype(np.int32)), bands,
             ],
-            ["id", "line", "word", "words", "begin", "end", "bands"],
+            [*_ROW, "line", "word", "words", "begin", "end", "bands"],
         )
 
 
@@ -140,52 +151,88 @@ def _stretches(hashes: np.ndarray, first: np.ndarray, run: int) -> tuple[np.ndar
     return doc, begin, least[begin]
 
 
-def _anchors(run: int):
-    """(id, anchor) of every text, neighbouring repeats once."""
+def _segments(run: int):
+    """A row for each segment of each text: its anchor, a hash of all its words, and its place in words and bytes."""
 
-    def anchors(batches):
+    def segments(batches):
         for batch in slices(batches, "text"):
             data, at = text_buffer(batch.column("text"))
             starts, ends, first = word_spans(data, at)
-            doc, _, anchor = _stretches(word_hashes(data, starts, ends), first, run)
-            fresh = np.ones(len(doc), bool)
-            fresh[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-            ids = batch.column("id").take(pa.array(doc[fresh]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(anchor[fresh].view(np.int64))], ["id", "anchor"])
+            hashes = word_hashes(data, starts, ends)
+            doc, begin, anchor = _stretches(hashes, first, run)
+            if not len(doc):
+                continue
+            head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])]))
+            tail = np.concatenate([head[1:], [len(doc)]]) - 1
+            low, high, mine = begin[head], begin[tail] + run, doc[head]
+            words = _packed(low - first[mine], high - low)
+            spans = _packed(starts[low] - at[mine], ends[high - 1] - starts[low])
+            hashed = [anchor[head].view(np.int64), _sequences(hashes, low, high).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([*_taken(batch, mine), *map(pa.array, (*hashed, words, spans))], [*_ROW, "anchor", "segment", "words", "bytes"])
 
-    return anchors
+    return segments
+
+
+def _holders(batches):
+    """Of segments in order of (anchor, segment, id): those that a smaller id has, and those still ``open``.
+
+    Open are the segments' first holders at anchors that have several segments and ids, or that reach beyond this batch.
+    """
+    last = least = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor, segment, own = (np.asarray(batch.column(c)) for c in ("anchor", "segment", "id"))
+        fresh_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+        fresh = fresh_anchor | np.concatenate([[True], segment[1:] != segment[:-1]])
+        heads = np.flatnonzero(fresh)
+        firsts = own[heads]
+        if last == (anchor[0], segment[0]):
+            firsts[0] = least  # the segment goes on from the batch before
+        leasts = firsts[np.cumsum(fresh) - 1]
+        last, least = (anchor[-1], segment[-1]), leasts[-1]
+        at = np.flatnonzero(fresh_anchor)
+        several = (np.add.reduceat(fresh.astype(np.int64), at) > 1) & (np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at))
+        several[[0, -1]] = True
+        settled = own > leasts
+        open_ = ~settled & several[np.cumsum(fresh_anchor) - 1]
+        out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*_ROW, "words", "bytes")), pa.array(open_)], [*_ROW, "words", "bytes", "open"])
+        yield out.filter(pa.array(settled | open_))
 
 
 def _runs(run: int):
-    """The stretches of each text that have one of ``anchors``: a hash of all their words, and their places."""
+    """The stretches of the segments at ``open`` of each text: a hash of all their words, and their places."""
 
     def runs(batches):
         for batch in slices(batches, "text"):
             data, at = text_buffer(batch.column("text"))
             starts, ends, first = word_spans(data, at)
             hashes = word_hashes(data, starts, ends)
-            doc, begin, anchor = _stretches(hashes, first, run)
-            # An anchor of another text here is shared too, and this text has it: one list serves for all.
-            kept = np.isin(anchor.view(np.int64), np.asarray(batch.column("anchors").flatten()))
-            doc, begin = doc[kept], begin[kept]
+            doc = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("open").value_lengths()))
+            opened = np.asarray(batch.column("open").flatten())
+            count = (opened & 0xFFFFFFFF) - run + 1
+            low = (opened >> 32) + first[doc]
+            begin = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            order = np.unique(begin)  # segments of one text may overlap in a repeated row
+            doc, begin = np.searchsorted(first, order, side="right") - 1, order
             ahead = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             places = _packed(begin - first[doc], np.full(len(doc), run))
             spans = _packed(starts[begin] - at[doc], ends[begin + run - 1] - starts[begin])
             lists = [_lists(x, ahead, pa.int64()) for x in (_sequences(hashes, begin, begin + run).view(np.int64), places, spans)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], ["id", "pairs", "pair_words", "pair_bytes"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, _ROW), *lists], [*_ROW, "pairs", "pair_words", "pair_bytes"])
 
     return runs
 
 
 def shared_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """The stretches of ``run`` words of all texts whose anchor texts of several ids have, in lists for ``repeated_pairs``."""
-    anchors = docs.mapInArrow(_anchors(run), "id long, anchor long")
-    ends = anchors.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    shared = stage(ends.where("least < most").select("anchor"), "shared")
-    own = anchors.join(small_side(shared, shared.count()), "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    own = stage(own, "anchors")
-    size = own.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    return docs.join(small_side(own, size, 2_000_000), "id").select("id", "text", "anchors").mapInArrow(_runs(run), _RUNS)
+    """(id, twin, words, bytes) of what texts of a smaller id have too, in stretches of ``run`` words or more."""
+    segments = docs.mapInArrow(_segments(run), _SEGMENTS).repartitionByRange("anchor", "segment", "id")
+    held = stage(segments.sortWithinPartitions("anchor", "segment", "id").mapInArrow(_holders, _HELD), "segments")
+    opened = stage(held.where("open").groupBy(*_ROW).agg(F.collect_set("words").alias("open")), "open")
+    size = opened.agg(F.sum(F.size("open"))).first()[0] or 0
+    runs = docs.join(small_side(opened, size, 1_000_000), _ROW).select(*_ROW, "text", "open").mapInArrow(_runs(run), _RUNS)
+    marked = held.where("not open").select(*_ROW, "words", "bytes")
+    return marked.union(repeated_pairs(stage(runs, "runs")))
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -236,7 +283,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """Links (a, b) between hashes of different lines whose similarity reaches the threshold."""
     wide = lines.where(F.size("bands") > 0)
     distinct = wide.groupBy("line").agg(
-        F.count("*").alias("n"), F.min_by(F.struct("id", "begin", "end", "bands"), "id").alias("at")
+        F.count("*").alias("n"), F.min_by(F.struct(*_ROW, "begin", "end", "bands"), F.struct(*_ROW)).alias("at")
     )
     distinct = stage(distinct.select("line", "n", "at.*"), "lines")
     banded = distinct.select("line", "n", F.explode("bands").alias("band"))
@@ -244,9 +291,9 @@ def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     stars = banded.select("band", "line", most.alias("star")).where(F.col("star") != F.col("line"))
     stars = stage(stars, "stars")  # the members of bands that hold several lines, but for the star
     members = stars.select("band", "line").union(stars.select("band", F.col("star").alias("line"))).distinct()
-    where = distinct.select("line", "id", "begin", "end").join(members.select("line").distinct(), "line", "left_semi")
+    where = distinct.select("line", *_ROW, "begin", "end").join(members.select("line").distinct(), "line", "left_semi")
     where = stage(where, "where")
-    texts = docs.join(small_side(where, where.count(), 200_000), "id").select(
+    texts = docs.join(small_side(where, where.count(), 200_000), _ROW).select(
         "line", F.substring(F.col("text"), F.col("begin") + 1, F.col("end") - F.col("begin")).alias("text")
     )
     kinds = "line long, text binary, shingles array<int>, bands array<long>, sketch array<long>"
@@ -290,7 +337,7 @@ def _later_holders(batches):
     ``pair`` is null where a row of this task tells. The first pair's least id may follow on an earlier task's: its rows
     keep their ``pair``. Rows without ``words`` name the first and last pair and the least id that this task saw of them.
     """
-    names = ["id", "pair", "words", "bytes"]
+    names = [*_ROW, "pair", "words", "bytes"]
     first = last = None
     low = least = 0
     for batch in batches:
@@ -304,22 +351,22 @@ def _later_holders(batches):
         settled = own > leasts
         keep = settled | ((pair == first) & (own == low))
         last, least = pair[-1], leasts[-1]
-        arrays = [batch.column("id"), pa.array(pair, mask=settled), batch.column("words"), batch.column("bytes")]
+        arrays = [*map(batch.column, _ROW), pa.array(pair, mask=settled), batch.column("words"), batch.column("bytes")]
         yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(keep))
     if first is not None:
         none = pa.nulls(2, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([low, least]), pa.array([first, last]), none, none], names)
+        yield pa.RecordBatch.from_arrays([pa.array([low, least]), pa.array([0, 0]), pa.array([first, last]), none, none], names)
 
 
 def repeated_pairs(lines: DataFrame) -> DataFrame:
-    """(id, words, bytes) of the stretches that a smaller id has too."""
+    """(id, twin, words, bytes) of the stretches that a smaller id has too."""
     zipped = F.arrays_zip(F.col("pairs").alias("pair"), F.col("pair_words").alias("words"), F.col("pair_bytes").alias("bytes"))
-    ranges = lines.select("id", F.inline(zipped)).repartitionByRange("pair", "id").sortWithinPartitions("pair", "id")
-    later = ranges.select("id", "pair", "words", "bytes").mapInArrow(_later_holders, "id long, pair long, words long, bytes long")
-    later = stage(later, "later")
+    ranges = lines.select(*_ROW, F.inline(zipped)).repartitionByRange("pair", "id").sortWithinPartitions("pair", "id")
+    kinds = "id long, twin long, pair long, words long, bytes long"
+    later = stage(ranges.select(*_ROW, "pair", "words", "bytes").mapInArrow(_later_holders, kinds), "later")
     edges = stage(later.where("words is null").groupBy("pair").agg(F.min("id").alias("least")), "edges")
     edge = later.where("words is not null").join(small_side(edges, edges.count()), "pair").where(F.col("id") > F.col("least"))
-    return later.where("pair is null").select("id", "words", "bytes").union(edge.select("id", "words", "bytes"))
+    return later.where("pair is null").select(*_ROW, "words", "bytes").union(edge.select(*_ROW, "words", "bytes"))
 
 
 def _merge(run: int):
@@ -346,20 +393,33 @@ def _merge(run: int):
             fields = [pa.array(x.astype(np.int32)) for x in (high(places[heads]), end)]
             spans = _lists_of(pa.StructArray.from_arrays(fields, ["start", "end"]), at)
             n = np.add.reduceat(length, first) if len(first) else length
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(texts)), spans, pa.array(n)], ["id", "spans", "n_words"])
+            yield pa.RecordBatch.from_arrays([*_taken(batch, texts), spans, pa.array(n)], [*_ROW, "spans", "n_words"])
 
     return merge
 
 
+def known_rows(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(id, twin, text) of the rows with an id; ``twin`` tells the texts of one id apart and is 0 where there is one."""
+    rows = df.where(F.col(key).isNotNull()).select(*more, F.col(key).cast("long").alias("id"), text_column(df, text).alias("text"))
+    marks = rows.select("id", F.xxhash64("text").alias("mark")).groupBy("id").agg(F.min("mark").alias("low"), F.max("mark").alias("high"))
+    several = stage(marks.where("low < high").select("id", F.lit(True).alias("several")), "several")
+    twin = F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    kept = rows.columns[: len(more)]
+    return rows.join(small_side(several, several.count()), "id", "left").select(*kept, "id", twin.alias("twin"), "text")
+
+
 def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """A row for each text that loses something: id, spans (byte offsets in UTF-8, end exclusive), n_words."""
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), text_column(df, text).alias("text"))
+    """A row for each text that loses something: id, spans (byte offsets in UTF-8, end exclusive), n_words, twin."""
+    return _spans(known_rows(df, key, text), run).select("id", "spans", "n_words", "twin")
+
+
+def _spans(docs: DataFrame, run: int) -> DataFrame:
     lines = stage(docs.mapInArrow(_units, _LINES), "units")
-    short = repeated_pairs(stage(shared_runs(docs, run), "runs"))
+    short = shared_runs(docs, run)
 
     packed = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
     whole = lines.select(
-        "id", "line", packed(F.col("word"), F.col("words")).alias("words"), packed(F.col("begin"), F.col("end") - F.col("begin")).alias("bytes")
+        *_ROW, "line", packed(F.col("word"), F.col("words")).alias("words"), packed(F.col("begin"), F.col("end") - F.col("begin")).alias("bytes")
     )
     linked = components(similar_lines(docs, lines), "lines")
     holders = whole.groupBy("line").agg(F.min("id").alias("least"), F.max("id").alias("most"))
@@ -369,24 +429,26 @@ def repeated_spans(df: DataFrame, key: str = "doc_id", text: str = "text", run:
     classes = stage(classes, "classes")
     firsts = classes.groupBy("class").agg(F.min("least").alias("first"), F.max("most").alias("most")).where("first < most")
     named = stage(classes.join(firsts.select("class", "first"), "class").select("line", "first"), "firsts")
-    long = whole.join(small_side(named, named.count()), "line").where(F.col("id") > F.col("first")).select("id", "words", "bytes")
-    marks = short.union(long).groupBy("id").agg(F.collect_list(F.struct("words", "bytes")).alias("marks"))
-    return marks.mapInArrow(_merge(run), "id long, spans array<struct<start:int,end:int>>, n_words long")
+    long = whole.join(small_side(named, named.count()), "line").where(F.col("id") > F.col("first")).select(*_ROW, "words", "bytes")
+    marks = short.union(long).groupBy(*_ROW).agg(F.collect_set(F.struct("words", "bytes")).alias("marks"))
+    return marks.mapInArrow(_merge(run), "id long, twin long, spans array<struct<start:int,end:int>>, n_words long")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their own columns, texts without repeated passages; untouched texts stay as they are."""
-    spans = stage(repeated_spans(docs, key, text).select(F.col("id").alias("__own"), F.col("spans").alias("__spans")), "spans")
-    size = spans.agg(F.count("*"), F.sum(F.size("__spans"))).first()
-    joined = docs.join(small_side(spans, max(size[0], size[1] or 0)), F.col(key).cast("long") == F.col("__own"), "left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = known_rows(docs, key, text, whole)
+    spans = stage(_spans(rows.drop("whole"), RUN).select(*_ROW, "spans"), "spans")
+    size = spans.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    joined = rows.join(small_side(spans, max(size[0], size[1] or 0)), _ROW, "left")
     removed = F.aggregate(
-        "__spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit(b"").alias("kept")),
         lambda acc, s: F.struct(
-            s["end"].alias("at"),
-            F.concat(acc["kept"], F.substring(F.col(text).cast("binary"), acc["at"] + 1, s["start"] - acc["at"])).alias("kept"),
+            s["end"].alias("at"), F.concat(acc["kept"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])).alias("kept")
         ),
-        lambda acc: F.concat(acc["kept"], F.substring(F.col(text).cast("binary"), acc["at"] + 1, 1 << 30)),
+        lambda acc: F.concat(acc["kept"], F.substring(F.col("text"), acc["at"] + 1, 1 << 30)),
     )
-    cleaned = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(removed.cast("string"))
-    return joined.select(*[cleaned.alias(c) if c == text else docs[c] for c in docs.columns])
+    cleaned = F.when(F.col("spans").isNull(), F.col("whole")[text]).otherwise(removed.cast("string"))
+    cleaned = joined.select(*[(cleaned if c == text else F.col("whole")[c]).alias(c) for c in docs.columns])
+    return cleaned.union(docs.where(F.col(key).isNull()))

@@ -127,7 +127,7 @@ def op8_chat_windows(spark, sf):
 
 @_query
 def op9_simhash_ball(spark, sf):
-    found = simhash.near_duplicates(table(spark, sf, "documents"), shingle=3)
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )

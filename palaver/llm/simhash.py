@@ -23,7 +23,8 @@ from palaver.llm.common import slices, text_buffer, text_column, word_spans
 from palaver.llm.components import components
 from palaver.session import stage
 
-RADIUS = 2
+#: Words of a shingle, and bits that linked fingerprints may differ in.
+SHINGLE, RADIUS = 3, 2
 
 
 def fingerprint(data: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int, seed: int = 42) -> int:
@@ -44,8 +45,8 @@ def fingerprint(data: bytes, starts: np.ndarray, ends: np.ndarray, shingle: int,
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(id, fingerprint as a signed long) of every row."""
+def fingerprints(df: DataFrame, key: str, text: str, shingle: int, *more: str) -> DataFrame:
+    """(id, fingerprint as a signed long) of every row, and ``more`` columns of type long."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -56,11 +57,11 @@ def fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                 some = slice(first[d], first[d + 1])
                 row = data[at[d] : at[d + 1]].tobytes().lower()
                 found.append(fingerprint(row, starts[some] - at[d], ends[some] - at[d], shingle))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.int64())], ["id", "fingerprint"])
+            kept = ["id", *more]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(found, pa.int64())], [*kept, "fingerprint"])
 
-    return df.select(F.col(key).cast("long").alias("id"), text_column(df, text).alias("text")).mapInArrow(
-        run, "id long, fingerprint long"
-    )
+    rows = df.select(F.col(key).cast("long").alias("id"), *more, text_column(df, text).alias("text"))
+    return rows.mapInArrow(run, "id long, " + "".join(f"{c} long, " for c in more) + "fingerprint long")
 
 
 def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -86,9 +87,8 @@ def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """(id, fingerprint, component_id) of every row; component_id is the smallest id reachable by links."""
-    prints = stage(fingerprints(df, key, text, shingle), "prints")
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """(fingerprint, component, component_id) of the distinct fingerprints of stored rows (id, fingerprint)."""
     linked = components(stage(ball_links(prints, radius), "balls"), "simhash")
     least = prints.groupBy("fingerprint").agg(F.min("id").alias("least"))
     classes = least.join(linked.withColumnRenamed("v", "fingerprint"), "fingerprint", "left").select(
@@ -96,16 +96,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     )
     classes = stage(classes, "classes")
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stage(classes.join(smallest, "component").select("fingerprint", "component_id"), "classes")
-    return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    return stage(classes.join(smallest, "component").select("fingerprint", "component", "component_id"), "classes")
+
 
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(id, fingerprint, component_id) of every row; component_id is the smallest id reachable by links."""
+    prints = stage(fingerprints(df, key, text, shingle), "prints")
+    return prints.join(_classes(prints, radius), "fingerprint").select("id", "fingerprint", "component_id")
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The documents that come first in their class, with their own columns; of repeated rows one stays.
 
-    Rows with a null id can't be named as anyone's copy; they stay as they are.
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One document of each class, with its own columns: a row of the smallest id.
+
+    A row is known by its id and its text: rows of one id whose texts are no near copies all stay. Where several rows of a
+    class have its smallest id, the text of the least hash stays, and of rows equal in id and text one. Rows with a null id
+    can't be named as anyone's copy; they stay as they are.
     """
-    found = near_duplicates(docs.where(F.col(key).isNotNull()), key, text, shingle, radius)
-    first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias(key)).distinct()
-    kept = docs.join(first, key, "left_semi").dropDuplicates([key]).select(docs.columns)
-    return kept.union(docs.where(F.col(key).isNull()).select(docs.columns))
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.where(F.col(key).isNotNull()).select(
+        columns, F.col(key).cast("long").alias("id"), F.xxhash64(text_column(docs, text)).alias("mark"), text_column(docs, text).alias("text")
+    )
+    prints = stage(fingerprints(rows.select("id", "text", "mark"), "id", "text", shingle, "mark"), "prints")
+    first = prints.join(_classes(prints, radius), "fingerprint").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("first"))
+    first = stage(first.select("first.id", "first.mark"), "first")
+    kept = rows.select("whole", "id", "mark").join(first, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+    return kept.select("whole.*").union(docs.where(F.col(key).isNull()))

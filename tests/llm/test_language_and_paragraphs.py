@@ -183,7 +183,7 @@ def test_similar_lines_equal_brute_force(spark):
             for at in rng.choice(len(other), v % 4, replace=False):
                 other[at] = f"new{v}x{at}"
             rows.append((len(rows), " ".join(other)))
-    df = spark.createDataFrame(rows, "id long, text string").withColumn("text", F.col("text").cast("binary")).cache()
+    df = spark.createDataFrame(rows, "id long, text string").select("id", F.lit(0).cast("long").alias("twin"), F.col("text").cast("binary").alias("text")).cache()
     lines = df.mapInArrow(paragraphs._units, paragraphs._LINES)
     names = {r.id: r.line for r in lines.collect()}
     wanted = {
@@ -212,8 +212,8 @@ def test_repeated_pairs_equal_brute_force(spark):
         for p in pairs:
             least[p] = min(i, least.get(p, i))
     for i, pairs in rows:
-        wanted.update((i, p, 2 * p) for p in pairs if i > least[p])
-    df = spark.createDataFrame([(i, p, p, [2 * x for x in p]) for i, p in rows], "id long, pairs array<long>, pair_words array<long>, pair_bytes array<long>")
+        wanted.update((i, 0, p, 2 * p) for p in pairs if i > least[p])
+    df = spark.createDataFrame([(i, 0, p, p, [2 * x for x in p]) for i, p in rows], "id long, twin long, pairs array<long>, pair_words array<long>, pair_bytes array<long>")
     held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
     try:
         for parts in ("1", "13", "97"):  # with many ranges, one pair fills several
@@ -276,6 +276,33 @@ def test_pipeline_odd_rows(spark, odd, empty):
             rows.collect()
 
 
+def test_the_plan_grows_in_proportion_to_the_languages(spark, docs):
+    def size(n):
+        names = [f"l{i:03d}" for i in range(n)] + [language.UNKNOWN]
+        rows = spark.createDataFrame([], "doc_id long, host string, suffix string, declared string, country string, likelihood array<double>, share array<double>, text_place int, worded boolean")
+        judged = language.judge(rows, names, *language.smoothed_priors(rows, len(names)))
+        return len(judged._jdf.queryExecution().optimizedPlan().toString())
+
+    few, many = size(4), size(48)
+    assert many < 14 * few and many < 60_000
+
+
+def test_the_sample_is_drawn_by_share(spark, docs):
+    """Above 2^20 times the sample's rows as below: a share, not a number of lots."""
+    names, model = language.fit_text_model(docs, labelled_rows=10**11)
+    assert len(names) > 2 and np.allclose(model[:-1], -np.log(language.CELLS), atol=0.02)  # next to no row is drawn of this table
+    half = language.fit_text_model(docs, rows=10**11 // 2, labelled_rows=10**11)[1]
+    whole = language.fit_text_model(docs, rows=10**11, labelled_rows=10**11)[1]
+    assert not np.allclose(half, whole)  # some rows, not all
+
+
+def test_only_the_most_frequent_labels_are_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    rows = [(i, "some text of words", "abc"[min(2, i % 5)]) for i in range(50)]
+    names, _ = language.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert names == ["a", "c", language.UNKNOWN]
+
+
 def test_every_operator_has_a_query():
     names = set(queries.queries())
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
