@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palaver.llm import language, near_copies, packing, paragraphs, queries
+from palaver.llm import language, packing, paragraphs, queries, simhash
 from palaver.session import ship_package, stage
 
 
@@ -15,9 +15,9 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """The first document of each group of near copies: fingerprints of three-word shingles that differ in two bits or fewer."""
     ship_package(spark)
-    return near_copies.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", identified),
-    ("minhash_near_dedup", distinct_documents),
+    ("simhash_near_dedup", distinct_documents),
     ("substring_dedup", distinct_passages),
     ("packing", packed),
 ]
