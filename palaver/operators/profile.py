@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palaver.functions.text import utc_text
-from palaver.operators.quantiles import exact_quantiles
+from palaver.operators.quantiles import one_row, quantiles_of_counts, value_counts
 from palaver.operators.segments import fresh_key
+from palaver.session import stage
 
 
 def general_metadata(submissions: DataFrame) -> DataFrame:
@@ -58,25 +59,42 @@ def stored_thread_sizes(threads: DataFrame) -> DataFrame:
 
 
 def comment_count_distribution(sizes: DataFrame) -> DataFrame:
-    """Mean, sample deviation, 1st / 50th / 99th percentile and maximum of thread sizes."""
-    moments = sizes.agg(
-        F.avg("n_comments").alias("count_mean"),
-        F.stddev_samp("n_comments").alias("count_std"),
-        F.max("n_comments").alias("count_max"),
-    )
-    ranks = exact_quantiles(
-        sizes, "n_comments", {"p01": (0.01, "nearest"), "p50": (0.5, "linear"), "p99": (0.99, "nearest")}
+    """Mean, sample deviation, 1st / 50th / 99th percentile and maximum of thread sizes.
+
+    Sizes are read once, into a table of distinct sizes and their counts; everything follows from that.
+    """
+    return _distribution(value_counts(sizes, "n_comments"))
+
+
+def _distribution(counts: DataFrame) -> DataFrame:
+    """The same from a table of distinct sizes (value, n)."""
+    total, rows = F.sum(F.col("value").cast("double") * F.col("n")), F.sum("n")
+    mean = counts.agg(F.try_divide(total, rows)).first()[0]
+    apart = F.sum(F.pow(F.col("value") - F.lit(mean), F.lit(2)) * F.col("n"))
+    moments = counts.agg(
+        F.lit(mean).cast("double").alias("count_mean"),
+        F.when(rows > 1, F.sqrt(apart / F.nullif(rows - 1, F.lit(0)))).alias("count_std"),
+        F.max("value").alias("count_max"),
     )
-    return side_by_side(moments, ranks)
+    ranks = {"p01": (0.01, "nearest"), "p50": (0.5, "linear"), "p99": (0.99, "nearest")}
+    return side_by_side(moments, one_row(counts, quantiles_of_counts(counts, ranks)))
 
 
 def submission_content_stats(submissions: DataFrame) -> DataFrame:
-    """Mean title length and mean and median score."""
-    means = submissions.agg(
-        F.avg(F.char_length("title")).alias("title_len_mean"),
-        F.avg("score").alias("score_mean"),
+    """Mean title length and mean and median score; submissions are read once, into a table of distinct scores."""
+    length = F.char_length("title").cast("double")
+    return _content(value_counts(submissions, "score", F.sum(length).alias("length"), F.count("title").alias("titles")))
+
+
+def _content(counts: DataFrame) -> DataFrame:
+    """The same from distinct scores (value, n, length, titles)."""
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    means = counts.agg(
+        F.try_divide(F.sum("length"), F.sum("titles")).alias("title_len_mean"),
+        F.try_divide(F.sum(F.col("value").cast("double") * F.col("n")), F.sum(known)).alias("score_mean"),
     )
-    return side_by_side(means, exact_quantiles(submissions, "score", {"score_median": (0.5, "linear")}))
+    ranks = quantiles_of_counts(counts, {"score_median": (0.5, "linear")})
+    return side_by_side(means, one_row(counts, ranks))
 
 
 def comment_content_stats(comments: DataFrame) -> DataFrame:
@@ -107,8 +125,13 @@ def author_flags(submissions: DataFrame, comments: DataFrame) -> DataFrame:
 
 def author_overlap(submissions: DataFrame, comments: DataFrame) -> DataFrame:
     """Distinct authors on either side, in all, and on both, counted in one pass."""
+    return _overlap(author_flags(submissions, comments))
+
+
+def _overlap(names: DataFrame) -> DataFrame:
+    """The same from one row for each author (asked, answered)."""
     both = F.col("asked") & F.col("answered")
-    return author_flags(submissions, comments).agg(
+    return names.agg(
         F.count_if("asked").alias("n_submission_authors"),
         F.count_if("answered").alias("n_comment_authors"),
         F.count(F.lit(1)).alias("n_union"),
@@ -167,24 +190,73 @@ def _lines(stats: DataFrame, start: int, section: str, rows: list[tuple[str, Col
     return stats.select(F.inline(F.array(*entries)))
 
 
-def thread_report(
-    submissions: DataFrame,
-    comments: DataFrame,
-    sizes: DataFrame | None = None,
-    comment_authors: DataFrame | None = None,
-) -> DataFrame:
+#: Kinds of rows in a profile's table of facts.
+_THREAD, _SCORE, _AUTHOR, _WHOLE = range(4)
+_TOTALS = ["flagged", "body_len", "bodies", "ups", "ups_n", "downs", "downs_n"]
+
+
+def profile_facts(submissions: DataFrame, comments: DataFrame) -> DataFrame:
+    """Everything that a report is derived from, in one stored table made by one pass over each input.
+
+    A submission counts for its thread, its score, its author and the whole, a comment for its thread, its author and the
+    whole; these counts are added up before they are shuffled, so a crowded thread or author is one row of each task.
+    """
+    nothing = {"text": None, "value": None, "n": 0, "present": False, "asked": False, "answered": False, "length": None, "titles": 0,
+               "low": None, "high": None} | {c: 0 for c in _TOTALS}
+    kinds = {"text": "string", "value": "bigint", "n": "bigint", "titles": "bigint", "length": "double", "low": "bigint", "high": "bigint"}
+    kinds |= {c: "double" if c in ("body_len", "ups", "downs") else "bigint" for c in _TOTALS}
+
+    def fact(kind: int, **given: Column | bool | int) -> Column:
+        values = {k: v if isinstance(v, Column) else F.lit(v) for k, v in (nothing | given).items()}
+        typed = [(values[k].cast(kinds[k]) if k in kinds else values[k]).alias(k) for k in nothing]
+        return F.struct(F.lit(kind).alias("kind"), *typed)
+
+    def measured(col: str, value: Column) -> dict[str, Column]:
+        return {col: F.coalesce(value.cast("double"), F.lit(0.0)), f"{'bodies' if col == 'body_len' else col + '_n'}": value.isNotNull().cast("bigint")}
+
+    by_submission = F.array(
+        fact(_THREAD, text=F.col("id"), present=True),
+        fact(_SCORE, value=F.col("score"), n=1, length=F.char_length("title"), titles=F.col("title").isNotNull()),
+        fact(_AUTHOR, text=F.col("author"), asked=F.col("author").isNotNull()),
+        fact(_WHOLE, n=1, low=F.col("created_utc"), high=F.col("created_utc"), flagged=F.coalesce("over_18", F.lit(False))),
+    )
+    of_body = {**measured("body_len", F.char_length("body")), **measured("ups", F.col("ups")), **measured("downs", F.col("downs"))}
+    by_comment = F.array(
+        fact(_THREAD, text=F.col("question_id"), n=1),
+        fact(_AUTHOR, text=F.col("author"), answered=F.col("author").isNotNull()),
+        fact(_WHOLE, **of_body),
+    )
+    rows = submissions.select(F.inline(by_submission)).unionByName(comments.select(F.inline(by_comment)))
+    added = rows.groupBy("kind", "text", "value").agg(
+        F.sum("n").alias("n"), F.bool_or("present").alias("present"), F.bool_or("asked").alias("asked"), F.bool_or("answered").alias("answered"),
+        F.sum("length").alias("length"), F.sum("titles").alias("titles"), F.min("low").alias("low"), F.max("high").alias("high"),
+        *[F.sum(c).alias(c) for c in _TOTALS],
+    )
+    return stage(added, "facts")
+
+
+def thread_report(submissions: DataFrame, comments: DataFrame) -> DataFrame:
     """The whole profile in long form: (line_no, section, label, value).
 
-    ``sizes`` (comments per submission) and ``comment_authors`` (a column ``author``) may be
-    given where they are to be had more cheaply than from ``comments``.
+    Each input is read once, into :func:`profile_facts`; the sections are derived from that table.
     """
-    if sizes is None:
-        sizes = thread_sizes(submissions, comments)
-    if comment_authors is None:
-        comment_authors = comments.select("author")
+    facts = profile_facts(submissions, comments)
+    kind = lambda k: facts.where(F.col("kind") == k)
+    whole = kind(_WHOLE)
+    general = whole.select(
+        F.col("n").alias("n_submissions"), F.col("flagged").alias("n_nsfw"), utc_text(F.col("low")).alias("date_start"),
+        utc_text(F.col("high")).alias("date_end"), F.try_divide("flagged", "n").alias("nsfw_share"),
+    )
+    sizes = kind(_THREAD).where("present").select(F.col("n").alias("n_comments"))
+    scores = kind(_SCORE).select("value", "n", "length", "titles")
+    content = whole.select(
+        F.try_divide("body_len", "bodies").alias("body_len_mean"), F.try_divide("ups", "ups_n").alias("ups_mean"),
+        F.try_divide("downs", "downs_n").alias("downs_mean"),
+    )
+    names = kind(_AUTHOR).where(F.col("text").isNotNull())
     parts = [
         _lines(
-            general_metadata(submissions),
+            general,
             0,
             GENERAL,
             [
@@ -208,7 +280,7 @@ def thread_report(
             ],
         ),
         _lines(
-            submission_content_stats(submissions),
+            _content(scores),
             200,
             CONTENT,
             [
@@ -218,7 +290,7 @@ def thread_report(
             ],
         ),
         _lines(
-            comment_content_stats(comments),
+            content,
             210,
             CONTENT,
             [
@@ -228,7 +300,7 @@ def thread_report(
             ],
         ),
         _lines(
-            author_overlap(submissions, comment_authors),
+            _overlap(names),
             300,
             AUTHORS,
             [
@@ -243,18 +315,21 @@ def thread_report(
     return reduce(DataFrame.unionByName, parts)
 
 
-def render_report(stats: DataFrame) -> DataFrame:
-    """Report text, one row per line: a rule with the title ahead of each section, then its values."""
+#: The first line of each section, and the report's own first line.
+_SECTION_LINES = {GENERAL: 0, COUNTS: 100, CONTENT: 200, AUTHORS: 300}
+TITLE = "Statistics Report for"
+
+
+def render_report(stats: DataFrame, source: str | None = None) -> DataFrame:
+    """Report text, one row per line: a rule with the title ahead of each section, then its values.
+
+    ``source`` names the input in a line ahead of all others.
+    """
     body = stats.select(
         "line_no", F.lit(1).alias("part"), F.format_string(LINE_FORMAT, "label", "value").alias("line")
     )
-    heads = stats.groupBy("section").agg(F.min("line_no").alias("line_no")).select(
-        "line_no",
-        F.explode(
-            F.array(
-                F.struct(F.lit(-1).alias("part"), F.lit("").alias("line")),
-                F.struct(F.lit(0).alias("part"), F.concat_ws(" ", F.lit(RULE), "section", F.lit(RULE)).alias("line")),
-            )
-        ).alias("h"),
-    ).select("line_no", "h.part", "h.line")
-    return heads.unionByName(body)
+    heads = [(no, -1, "") for no in _SECTION_LINES.values()]
+    heads += [(no, 0, f"{RULE} {name} {RULE}") for name, no in _SECTION_LINES.items()]
+    if source is not None:
+        heads.append((-1, 0, f"{TITLE} {source}"))
+    return stats.sparkSession.createDataFrame(heads, "line_no int, part int, line string").unionByName(body)

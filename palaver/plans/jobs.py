@@ -75,14 +75,9 @@ def export_arrow(spark: SparkSession, threads_path: str, out: str) -> None:
 def profile_threads(spark: SparkSession, threads_path: str, out: str) -> DataFrame:
     """Write the text report of a thread store; returns its long form."""
     stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
-    report = profile.thread_report(
-        threads.thread_heads(stored),
-        threads.explode_comments(stored, fields=("body", "ups", "downs")),
-        profile.stored_thread_sizes(stored),
-        threads.explode_comments(stored, fields=("author",)),
-    )
-    stats = stage(report, "report")
-    tables.write_report(profile.render_report(stats), out)
+    comments = threads.explode_comments(stored, fields=("body", "ups", "downs", "author"))
+    stats = stage(profile.thread_report(threads.thread_heads(stored), comments), "report")
+    tables.write_report(profile.render_report(stats, threads_path), out)
     return stats
 
 

@@ -43,7 +43,7 @@ def test_jobs_from_dumps_to_statistics(spark, sf, tmp_path):
     stats = jobs.profile_threads(spark, store, str(tmp_path / "report"))
     values = {r["label"]: r["value"] for r in stats.collect()}
     assert values["Total Submissions"] == f"{expected:,}"
-    assert spark.read.text(str(tmp_path / "report")).count() == 29
+    assert spark.read.text(str(tmp_path / "report")).count() == 30
 
     labels, styles, answers = (str(tmp_path / n) for n in ("labels", "styles", "answers"))
     jobs.classify_questions(spark, store, keyword_generator, labels, n=60)

@@ -8,8 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palaver.operators import profile, threads
-from palaver.operators.quantiles import RANGE_WIDTH, exact_quantiles
+from palaver.operators import quantiles
+from palaver.operators.quantiles import exact_quantiles
 from palaver.operators.running import running_total
+from palaver.session import stage
 from palaver.sources.tables import write_report
 
 SUBS = "id string, title string, author string, created_utc bigint, over_18 boolean, score bigint, num_comments bigint"
@@ -61,8 +63,33 @@ def test_quantiles_of_nothing(spark):
     assert row["m"] is None
 
 
-def test_value_ranges_are_ordered():
-    assert math.floor(-1 / RANGE_WIDTH) < math.floor(0 / RANGE_WIDTH) <= math.floor(RANGE_WIDTH / RANGE_WIDTH)
+def test_quantiles_over_the_whole_range(spark, monkeypatch):
+    """Wide integers take four passes, and no pass returns more than the radix's rows for each rank."""
+    rng = random.Random(4)
+    values = [rng.randrange(-(2**63), 2**63) for _ in range(900)] + [-(2**63), 2**63 - 1, 0, 0, -1]
+    df = spark.createDataFrame([(v,) for v in values], "v bigint")
+    counts = quantiles.value_counts(df, "v")
+    ordered = sorted(values)
+    ranks = {0, 1, 452, 453, len(values) - 1}
+    assert quantiles.select_ranks(counts, ranks) == {r: ordered[r] for r in ranks}
+    monkeypatch.setattr(quantiles, "DIGIT_BITS", 8)
+    for low in (-(2**62), -5, 2**61):
+        some = [low + rng.randrange(0, 2**40) for _ in range(300)]
+        counts = quantiles.value_counts(spark.createDataFrame([(v,) for v in some], "v bigint"), "v")
+        assert quantiles.select_ranks(counts, {0, 7, 299}) == {r: sorted(some)[r] for r in (0, 7, 299)}
+
+
+def test_quantiles_of_floats(spark):
+    rng = random.Random(5)
+    values = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(400)] + [0.0, -0.0, 1e-320, math.inf, -math.inf, 1.5, 1.5]
+    df = spark.createDataFrame([(v,) for v in values] + [(math.nan,), (None,)], "v double")
+    ordered = sorted(values)
+    wanted = {f"q{i}": (i / 40, "nearest") for i in range(41)}
+    row = exact_quantiles(df, "v", wanted).first()
+    assert all(row[f"q{i}"] == ordered[math.floor((len(values) - 1) * i / 40 + 0.5)] for i in range(41))
+    near = [1.0 + k * 2**-52 for k in range(200)]
+    row = exact_quantiles(spark.createDataFrame([(v,) for v in near], "v double"), "v", {"m": (0.5, "linear")}).first()
+    assert row["m"] == (near[99] + near[100]) / 2
 
 
 def test_running_total_equals_plain_window(spark):
@@ -116,6 +143,23 @@ def test_report_text(spark, tmp_path):
     # 3.5 is printed to the even neighbour, as the usual formatters do.
     assert "Median Submission Score".ljust(40) + " : 4" in lines
     assert sum(line.startswith("=") for line in lines) == 4 and len(lines) == 29
+    named = sorted(profile.render_report(stats, "dump/threads").collect())
+    assert named[0]["line"] == "Statistics Report for dump/threads" and len(named) == 30
+
+
+def test_report_of_nothing(spark):
+    subs, coms = _tables(spark)
+    lines = {r["label"]: r["value"] for r in profile.thread_report(subs.limit(0), coms.limit(0)).collect()}
+    assert lines.get("Unique Submission Authors") == "0" and lines["Median Submission Score"] is None
+
+
+def test_report_reads_each_input_once(spark, monkeypatch):
+    subs, coms = _tables(spark)
+    kept = []
+    monkeypatch.setattr(profile, "stage", lambda df, label: kept.append(df) or stage(df, label))
+    profile.thread_report(subs, coms).collect()
+    plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(kept) == 1 and plan.count("Aggregate") == 1 and plan.count("LogicalRDD") + plan.count("LocalRelation") == 2
 
 
 def test_profile_reads_only_what_it_needs(spark, tmp_path):
