@@ -4,10 +4,15 @@
 For every unordered pair of answers, x is the cosine of their embeddings and y the cosine of
 their authors' style vectors. Pairs never become rows. Two exact routes lead to the results:
 
-* sums (for the correlation, the fit and the ellipse): a question larger than one block is
-  reduced to sums of outer products, block by block, in time linear in its answers;
+* sums (for the correlation, the fit and the ellipse): a question with more answers than its
+  vectors are wide is reduced to sums of outer products, in time linear in its answers. A question of one
+  block gives its sums in one task; of larger ones, tasks send on the matrices in bands of rows, of
+  a bounded size each, which are added up band by band and reduced to a number each;
 * tiles (for extremes, histograms and hexagons): answers are cut into blocks, each pair of
-  blocks is one matrix product, and a task sends on only its counts and extremes.
+  blocks is one matrix product, and a task sends on only its counts and extremes. A plan makes one pass
+  for the extremes and sums, and one more that fills the grids of all layers.
+
+Question ids may be of any type, null counts as a question. Layers of fewer than ``MIN_PAIRS`` pairs are empty.
 """
 
 from __future__ import annotations
@@ -38,10 +43,9 @@ GRID_POINTS = 100
 BLOCK_ROWS = 4096
 #: Rows of a tile that are multiplied at once, which bounds the memory of a task.
 CHUNK_ROWS = 512
-#: Questions with more answers than this give their sums by outer products.
-PRODUCTS_UP_TO = 1024
-#: Answers per block when only sums of outer products are kept.
+#: Answers per block when only sums of outer products are kept, and numbers of a band of rows of their matrices.
 SUM_BLOCK_ROWS = 16_384
+BAND_NUMBERS = 1 << 16
 
 
 # --- which questions ------------------------------------------------------------------------
@@ -117,6 +121,7 @@ class PairPlan:
     row_key: tuple[str, ...]
     left_out: dict[str, int] = field(default_factory=lambda: {"questions": 0, "pairs": 0})
     _stored: DataFrame | None = field(default=None, repr=False)
+    _extents: dict[int, DataFrame] = field(default_factory=dict, repr=False)
 
     def rows(self) -> DataFrame:
         """Answers of kept questions with both vectors and the size of their question.
@@ -140,6 +145,16 @@ class PairPlan:
             self._stored = stage(self.rows(), "pair-rows")
         return self._stored
 
+    def extent(self, block_rows: int | None = None) -> DataFrame:
+        """:func:`pair_extent`, found by one pass over the pairs and stored, whichever layers ask for it."""
+        size = block_rows or BLOCK_ROWS
+        if size not in self._extents:
+            self._extents[size] = stage(pair_extent(self, size, stored=True), "extent")
+        return self._extents[size]
+
+    def id_type(self) -> str:
+        return self.answers.schema["question_id"].dataType.simpleString()
+
 
 def plan_pairs(
     answers: DataFrame, styles: DataFrame, max_pairs: int | None = None, row_key: tuple[str, ...] = ("author",)
@@ -204,7 +219,8 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        # Numbers stand for the values, so that nulls are equal and every type of key will do.
+        columns = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in keys]
         changed = np.zeros(batch.num_rows - 1, dtype=bool)
         for values in columns:
             changed |= values[1:] != values[:-1]
@@ -250,14 +266,19 @@ def tile_cosines(key: tuple, table: pa.Table, chunk: int = CHUNK_ROWS) -> Iterat
 _TILE_KEYS = ["question_id", "tile_i", "tile_j"]
 _SUMS = ["sum_x", "sum_y", "sum_xx", "sum_yy", "sum_xy"]
 _SUMMARY_FIELDS = ["pairs", *_SUMS, "min_x", "max_x", "min_y", "max_y"]
-_SUMMARY_DDL = ", ".join(["question_id string", "pairs bigint", *(f"{c} double" for c in _SUMMARY_FIELDS[1:])])
+
+
+def _summaries(plan: PairPlan, rows: DataFrame, block_rows: int) -> DataFrame:
+    """The summary of each tile, some rows at a time."""
+    schema = ", ".join([f"question_id {plan.id_type()}", "pairs bigint", *(f"{c} double" for c in _SUMMARY_FIELDS[1:])])
+    return _tiled(rows, plan.row_key, block_rows).mapInArrow(_summarize_tiles, schema)
 
 
 def _summarize_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
+    rows, kind = [], None
 
     def flush():
-        data = {"question_id": pa.array([r[0] for r in rows], pa.string())}
+        data = {"question_id": pa.array([r[0] for r in rows], kind)}
         data["pairs"] = pa.array([r[1] for r in rows], pa.int64())
         for at, name in enumerate(_SUMMARY_FIELDS[1:], start=2):
             data[name] = pa.array([r[at] for r in rows], pa.float64())
@@ -265,6 +286,7 @@ def _summarize_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_pydict(data)
 
     for key, table in _runs(batches, _TILE_KEYS):
+        kind = table.schema.field("question_id").type
         for x, y in tile_cosines(key, table):
             if len(x):
                 sums = (x.sum(), y.sum(), x @ x, y @ y, x @ y)
@@ -289,37 +311,62 @@ def _merge_summaries(parts: DataFrame, *keys: str) -> DataFrame:
 def pair_similarity(plan: PairPlan, block_rows: int = BLOCK_ROWS, stored: bool = False) -> DataFrame:
     """Per question: finite pairs, sums, products and extremes of both similarities, over all pairs."""
     rows = plan.stored_rows() if stored else plan.rows()
-    parts = _tiled(rows, plan.row_key, block_rows).mapInArrow(_summarize_tiles, _SUMMARY_DDL)
-    return _merge_summaries(parts, "question_id")
+    return _merge_summaries(_summaries(plan, rows, block_rows), "question_id")
 
 
 def pair_extent(plan: PairPlan, block_rows: int = BLOCK_ROWS, stored: bool = False) -> DataFrame:
     """The same for all questions together: one row."""
     rows = plan.stored_rows() if stored else plan.rows()
-    return _merge_summaries(_tiled(rows, plan.row_key, block_rows).mapInArrow(_summarize_tiles, _SUMMARY_DDL))
+    return _merge_summaries(_summaries(plan, rows, block_rows))
 
 
 # --- sums without pairs ---------------------------------------------------------------------
 
 
-def _outer_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: sizes, vector sums and outer products, laid end to end in one list."""
-    for key, table in _runs(batches, ["question_id", "block"]):
-        s, t = _unit_rows(table, "embedding"), _unit_rows(table, "style")
-        ss, tt = (s * s).sum(axis=1), (t * t).sum(axis=1)
-        scalars = [len(s), ss.sum(), tt.sum(), ss @ ss, tt @ tt, ss @ tt]
-        flat = np.concatenate([scalars, s.sum(axis=0), t.sum(axis=0), (s.T @ s).ravel(), (t.T @ t).ravel(), (s.T @ t).ravel()])
-        yield pa.RecordBatch.from_pydict(
-            {
-                "question_id": pa.array([key[0]], pa.string()),
-                "d": pa.array([s.shape[1]], pa.int32()),
-                "e": pa.array([t.shape[1]], pa.int32()),
-                "sums": pa.array([flat], pa.list_(pa.float64())),
-            }
-        )
+#: What a row of partial sums holds: sizes, the vectors' sums, bands of the matrices s's, t't and s't, or a question's own pair sums.
+_SIZES, _SUM_S, _SUM_T, _SS, _TT, _ST, _DONE = range(7)
+
 
+def _bands(left: np.ndarray, right: np.ndarray, numbers: int) -> Iterator[np.ndarray]:
+    """The product of two blocks' transposed and plain vectors, in bands of rows."""
+    rows = max(1, numbers // right.shape[1])
+    for at in range(0, left.shape[1], rows):
+        yield left[:, at : at + rows].T @ right
 
-def _large_question_sums(plan: PairPlan, rows: DataFrame, block_rows: int) -> DataFrame:
+
+def _outer_sums(numbers: int):
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block: sizes, vector sums and outer products, in rows of a bounded size; of a question's only block, its pair sums."""
+        for key, table in _runs(batches, ["question_id", "block"]):
+            s, t = _unit_rows(table, "embedding"), _unit_rows(table, "style")
+            ss, tt = (s * s).sum(axis=1), (t * t).sum(axis=1)
+            sizes = [len(s), ss.sum(), tt.sum(), ss @ ss, tt @ tt, ss @ tt]
+            products = ((_SS, s, s), (_TT, t, t), (_ST, s, t))
+            kind = table.schema.field("question_id").type
+
+            def row(what: int, band: int, values: np.ndarray) -> pa.RecordBatch:
+                lists = pa.array([np.asarray(values, dtype=np.float64).ravel()], pa.list_(pa.float64()))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([key[0]], kind), pa.array([what], pa.int32()), pa.array([band], pa.int32()), lists],  # noqa: B023
+                    ["question_id", "what", "band", "sums"],
+                )
+
+            if table.column("blocks")[0].as_py() == 1:
+                whole = [(v.sum(axis=0) ** 2).sum() for v in (s, t)]
+                whole += [sum((band * band).sum() for band in _bands(x, y, numbers)) for _, x, y in products]
+                yield row(_DONE, 0, [len(s) * (len(s) - 1) // 2, *((w - z) / 2 for w, z in zip(whole, sizes[1:]))])
+                continue
+            yield row(_SIZES, 0, sizes)
+            yield row(_SUM_S, 0, s.sum(axis=0))
+            yield row(_SUM_T, 0, t.sum(axis=0))
+            for what, x, y in products:
+                for at, band in enumerate(_bands(x, y, numbers)):
+                    yield row(what, at, band)
+
+    return sums
+
+
+def _large_question_sums(plan: PairPlan, rows: DataFrame, block_rows: int, numbers: int) -> DataFrame:
     """Pair sums of large questions from their vectors' sums and outer products.
 
     Over all ordered pairs the sum of s_i.s_j is |sum s|^2, that of its square is the squared
@@ -329,50 +376,54 @@ def _large_question_sums(plan: PairPlan, rows: DataFrame, block_rows: int) -> Da
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     finite = rows.where(~_has_infinity(F.col("embedding")) & ~_has_infinity(F.col("style")))
     parts = (
-        finite.withColumn("block", F.pmod(F.xxhash64(*plan.row_key), blocks.cast("bigint")).cast("int"))
-        .select("question_id", "block", "embedding", "style")
+        finite.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64(*plan.row_key), F.col("blocks").cast("bigint")).cast("int"))
+        .select("question_id", "block", "blocks", "embedding", "style")
         .repartition("question_id", "block")
         .sortWithinPartitions("question_id", "block")
-        .mapInArrow(_outer_sums, "question_id string, d int, e int, sums array<double>")
-    )
-    added = (
-        parts.groupBy("question_id", "d", "e")
-        .agg(Summarizer.sum(array_to_vector("sums")).alias("_v"))
-        .select("d", "e", vector_to_array("_v").alias("v"))
-    )
-    d, e, v = F.col("d"), F.col("e"), F.col("v")
-
-    def squared(start: Column, length: Column) -> Column:
-        return F.aggregate(F.slice(v, start, length), F.lit(0.0), lambda acc, x: acc + x * x)
-
-    start = F.lit(7)
-    n = v[0]
-    return added.select(
-        (n * (n - 1) / 2).cast("bigint").alias("pairs"),
-        ((squared(start, d) - v[1]) / 2).alias("sum_x"),
-        ((squared(start + d, e) - v[2]) / 2).alias("sum_y"),
-        ((squared(start + d + e, d * d) - v[3]) / 2).alias("sum_xx"),
-        ((squared(start + d + e + d * d, e * e) - v[4]) / 2).alias("sum_yy"),
-        ((squared(start + d + e + d * d + e * e, d * e) - v[5]) / 2).alias("sum_xy"),
+        .mapInArrow(_outer_sums(numbers), f"question_id {plan.id_type()}, what int, band int, sums array<double>")
     )
+    keys = ["question_id", "what", "band"]
+    added = parts.groupBy(*keys).agg(Summarizer.sum(array_to_vector("sums")).alias("_v")).select(*keys, vector_to_array("_v").alias("v"))
+    squared = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
+    plain = F.col("what").isin(_SIZES, _DONE)
+    one = added.select("question_id", "what", F.when(plain, F.col("v")).alias("v"), F.when(~plain, squared).alias("square"))
+
+    def size(at: int) -> Column:
+        return F.max(F.when(F.col("what") == _SIZES, F.col("v")[at]))
+
+    def done(at: int) -> Column:
+        return F.max(F.when(F.col("what") == _DONE, F.col("v")[at]))
+
+    def total(what: int) -> Column:
+        return F.sum(F.when(F.col("what") == what, F.col("square")))
+
+    kinds = (_SUM_S, _SUM_T, _SS, _TT, _ST)
+    sums = [F.coalesce(done(i + 1), (total(what) - size(i + 1)) / 2).alias(c) for i, (what, c) in enumerate(zip(kinds, _SUMS))]
+    pairs = F.coalesce(done(0), size(0) * (size(0) - 1) / 2).cast("bigint").alias("pairs")
+    return one.groupBy("question_id").agg(pairs, *sums).drop("question_id")
+
+
+def _width(plan: PairPlan) -> int:
+    """The width of the wider of both kinds of vectors; it decides the route, not the result."""
+    rows = [df.select(F.size("embedding").alias("w")).first() for df in (plan.answers, plan.styles)]
+    return max((r["w"] for r in rows if r is not None), default=1)
 
 
 def pair_sums(
-    plan: PairPlan, large: int = PRODUCTS_UP_TO, sum_block_rows: int = SUM_BLOCK_ROWS
+    plan: PairPlan, large: int | None = None, sum_block_rows: int = SUM_BLOCK_ROWS, band_numbers: int = BAND_NUMBERS
 ) -> DataFrame:
     """One row: finite pairs and the sums and products of x and y over them.
 
     Work is linear in the answers: a question above ``large`` answers goes by outer products,
-    the others take one small matrix product each.
+    the others take one small matrix product each. Unless it is named, ``large`` is the width of the vectors, where
+    both routes cost the same.
     """
     rows = plan.rows()
-    parts = (
-        _tiled(rows.where(F.col("n") <= large), plan.row_key, large)
-        .mapInArrow(_summarize_tiles, _SUMMARY_DDL)
-        .select("pairs", *_SUMS)
-    )
-    if plan.largest > large:
-        parts = parts.unionByName(_large_question_sums(plan, rows.where(F.col("n") > large), sum_block_rows))
+    limit = max(1, _width(plan) if large is None else large)
+    parts = _summaries(plan, rows.where(F.col("n") <= limit), limit).select("pairs", *_SUMS)
+    if plan.largest > limit:
+        parts = parts.unionByName(_large_question_sums(plan, rows.where(F.col("n") > limit), sum_block_rows, band_numbers))
     return parts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), *(F.sum(c).alias(c) for c in _SUMS))
 
 
@@ -424,9 +475,11 @@ def similarity_correlation(sums: DataFrame, min_pairs: int = MIN_PAIRS) -> DataF
     return head.join(fitted, "_one", "left").drop("_one")
 
 
-def confidence_ellipse(sums: DataFrame, n_stds: tuple[float, ...] = (1.0, 2.0, 3.0)) -> DataFrame:
-    """Covariance ellipse per number of deviations: centre, radii, scales, angle in degrees."""
-    fit = _fit(_moments(sums)).withColumn("n_std", F.explode(F.array(*(F.lit(float(s)) for s in n_stds))))
+def confidence_ellipse(
+    sums: DataFrame, n_stds: tuple[float, ...] = (1.0, 2.0, 3.0), min_pairs: int = MIN_PAIRS
+) -> DataFrame:
+    """Covariance ellipse per number of deviations: centre, radii, scales, angle in degrees; none below ``min_pairs`` pairs."""
+    fit = _fit(_moments(sums.where(F.col("pairs") >= min_pairs))).withColumn("n_std", F.explode(F.array(*(F.lit(float(s)) for s in n_stds))))
     return fit.select(
         "n_std",
         "mean_x",
@@ -439,9 +492,9 @@ def confidence_ellipse(sums: DataFrame, n_stds: tuple[float, ...] = (1.0, 2.0, 3
     )
 
 
-def regression_grid(extent: DataFrame, points: int = GRID_POINTS) -> DataFrame:
-    """The fitted line at evenly spaced x from the least to the greatest: (k, x, y_hat)."""
-    fit = _fit(_moments(extent)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+def regression_grid(extent: DataFrame, points: int = GRID_POINTS, min_pairs: int = MIN_PAIRS) -> DataFrame:
+    """The fitted line at evenly spaced x from the least to the greatest: (k, x, y_hat); none below ``min_pairs`` pairs."""
+    fit = _fit(_moments(extent.where(F.col("pairs") >= min_pairs))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("min_x") + (F.col("max_x") - F.col("min_x")) * F.col("k") / (points - 1)
     return fit.withColumn("x", x).select("k", "x", (F.col("intercept") + F.col("slope") * F.col("x")).alias("y_hat"))
 
@@ -491,86 +544,85 @@ class HexGrid:
         j = np.clip(np.where(near, j1, j2), 0, self.ny).astype(np.int64)
         return (np.where(near, 0, 1) * (self.nx + 1) + i) * (self.ny + 1) + j
 
-    def split(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lattice position of flat cell numbers, in halves for the second lattice."""
-        lattice, rest = np.divmod(cell, (self.nx + 1) * (self.ny + 1))
-        i, j = np.divmod(rest, self.ny + 1)
-        return i + lattice * 0.5, j + lattice * 0.5
-
-
-def _one_extent(plan: PairPlan, block_rows: int) -> Row | None:
-    row = pair_extent(plan, block_rows, stored=True).first()
-    return row if row["pairs"] else None
-
-
-def _empty(plan: PairPlan, schema: str) -> DataFrame:
-    return plan.answers.sparkSession.createDataFrame([], schema)
 
+def _one_extent(plan: PairPlan, block_rows: int, min_pairs: int) -> Row | None:
+    row = plan.extent(block_rows).first()
+    return row if row["pairs"] >= max(1, min_pairs) else None
 
-def marginal_histograms(plan: PairPlan, bins: int = HISTOGRAM_BINS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Equal-width counts of x and of y: (axis, bin, lo, hi, n), empty bins included.
 
-    A first pass finds the ranges (one row); in the second a task sends only its bin counts.
-    """
-    schema = "axis string, bin int, lo double, hi double, n bigint"
-    extent = _one_extent(plan, block_rows)
-    if extent is None:
-        return _empty(plan, schema)
-    ranges = {a: _histogram_range(extent[f"min_{a}"], extent[f"max_{a}"]) for a in ("x", "y")}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {axis: np.zeros(bins, dtype=np.int64) for axis in ranges}
-        for key, table in _runs(batches, _TILE_KEYS):
-            for pairs in tile_cosines(key, table):
-                for (axis, (lo, hi)), values in zip(ranges.items(), pairs):
-                    at = np.clip(np.floor((values - lo) / (hi - lo) * bins), 0, bins - 1).astype(np.int64)
-                    totals[axis] += np.bincount(at, minlength=bins)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "axis": pa.array([a for a in ranges for _ in range(bins)], pa.string()),
-                "bin": pa.array([b for _ in ranges for b in range(bins)], pa.int32()),
-                "n": pa.array(np.concatenate(list(totals.values())), pa.int64()),
-            }
-        )
-
-    counted = _tiled(plan.stored_rows(), plan.row_key, block_rows).mapInArrow(count, "axis string, bin int, n bigint")
+_AXES = ("x", "y")
 
-    def edge(k: Column) -> Column:
-        def on(axis: str) -> Column:
-            lo, hi = ranges[axis]
-            return F.lit(lo) + F.lit(hi - lo) * k / bins
 
-        return F.when(F.col("axis") == "x", on("x")).otherwise(on("y"))
-
-    return counted.groupBy("axis", "bin").agg(F.sum("n").alias("n")).select(
-        "axis", "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"), "n"
-    )
-
-
-def hexbin_density(plan: PairPlan, columns: int = HEX_COLUMNS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Hexagonal density of (x, y): (cell_i, cell_j, x, y, n, log10_n) for cells that hold a pair."""
-    extent = _one_extent(plan, block_rows)
-    if extent is None:
-        return _empty(plan, "cell_i double, cell_j double, x double, y double, n bigint, log10_n double")
-    grid = HexGrid.over(extent, columns)
+def _grid_counts(
+    plan: PairPlan, block_rows: int, ranges: dict[str, tuple[float, float]] | None, bins: int, grid: HexGrid | None
+) -> DataFrame:
+    """(layer, cell, n) of the layers that are asked for, from one pass over the tiles: a bin of an axis, or a hexagon."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(2 * (grid.nx + 1) * (grid.ny + 1), dtype=np.int64)
+        totals = {axis: np.zeros(bins, dtype=np.int64) for axis in ranges or ()}
+        if grid is not None:
+            totals["hex"] = np.zeros(2 * (grid.nx + 1) * (grid.ny + 1), dtype=np.int64)
         for key, table in _runs(batches, _TILE_KEYS):
             for x, y in tile_cosines(key, table):
-                totals += np.bincount(grid.cells(x, y), minlength=len(totals))
-        filled = np.flatnonzero(totals)
-        i, j = grid.split(filled)
-        yield pa.RecordBatch.from_pydict(
-            {"cell_i": pa.array(i, pa.float64()), "cell_j": pa.array(j, pa.float64()), "n": pa.array(totals[filled], pa.int64())}
+                for axis, values in zip(_AXES, (x, y)):
+                    if ranges:
+                        lo, hi = ranges[axis]
+                        at = np.clip(np.floor((values - lo) / (hi - lo) * bins), 0, bins - 1).astype(np.int64)
+                        totals[axis] += np.bincount(at, minlength=bins)
+                if grid is not None:
+                    totals["hex"] += np.bincount(grid.cells(x, y), minlength=len(totals["hex"]))
+        for layer, counted in totals.items():
+            cells = np.flatnonzero(counted) if layer == "hex" else np.arange(bins)
+            yield pa.RecordBatch.from_pydict(
+                {"layer": pa.array([layer] * len(cells), pa.string()), "cell": pa.array(cells, pa.int64()), "n": pa.array(counted[cells], pa.int64())}
+            )
+
+    tiles = _tiled(plan.stored_rows(), plan.row_key, block_rows)
+    counted = tiles.mapInArrow(count, "layer string, cell bigint, n bigint")
+    return counted.groupBy("layer", "cell").agg(F.sum("n").alias("n"))
+
+
+_HISTOGRAM_DDL = "axis string, bin int, lo double, hi double, n bigint"
+_HEXAGON_DDL = "cell_i double, cell_j double, x double, y double, n bigint, log10_n double"
+
+
+def pair_density(
+    plan: PairPlan,
+    bins: int | None = HISTOGRAM_BINS,
+    columns: int | None = HEX_COLUMNS,
+    block_rows: int = BLOCK_ROWS,
+    min_pairs: int = MIN_PAIRS,
+) -> tuple[DataFrame, DataFrame]:
+    """Histograms and hexagons of the pairs; a layer whose size is None is left empty.
+
+    The plan's first pass finds the ranges (one row); a second one fills the grids of both layers, and a task sends only
+    its counts.
+    """
+    spark = plan.answers.sparkSession
+    histograms, hexagons = (spark.createDataFrame([], x) for x in (_HISTOGRAM_DDL, _HEXAGON_DDL))
+    extent = _one_extent(plan, block_rows, min_pairs)
+    if extent is None:
+        return histograms, hexagons
+    ranges = {a: _histogram_range(extent[f"min_{a}"], extent[f"max_{a}"]) for a in _AXES} if bins else None
+    grid = HexGrid.over(extent, columns) if columns else None
+    counted = _grid_counts(plan, block_rows, ranges, bins or 0, grid)
+    if ranges and grid:
+        counted = stage(counted, "density")
+    if ranges:
+
+        def edge(k: Column) -> Column:
+            on = {axis: F.lit(lo) + F.lit(hi - lo) * k / bins for axis, (lo, hi) in ranges.items()}
+            return F.when(F.col("layer") == "x", on["x"]).otherwise(on["y"])
+
+        histograms = counted.where(F.col("layer").isin(*_AXES)).select(
+            F.col("layer").alias("axis"), F.col("cell").cast("int").alias("bin"), edge(F.col("cell")).alias("lo"), edge(F.col("cell") + 1).alias("hi"), "n"
         )
-
-    return (
-        _tiled(plan.stored_rows(), plan.row_key, block_rows)
-        .mapInArrow(count, "cell_i double, cell_j double, n bigint")
-        .groupBy("cell_i", "cell_j")
-        .agg(F.sum("n").alias("n"))
-        .select(
+    if grid:
+        lattice, rest = F.floor(F.col("cell") / ((grid.nx + 1) * (grid.ny + 1))), F.col("cell") % ((grid.nx + 1) * (grid.ny + 1))
+        centres = counted.where("layer = 'hex'").select(
+            (F.floor(rest / (grid.ny + 1)) + lattice * 0.5).cast("double").alias("cell_i"), (rest % (grid.ny + 1) + lattice * 0.5).cast("double").alias("cell_j"), "n"
+        )
+        hexagons = centres.select(
             "cell_i",
             "cell_j",
             (F.col("cell_i") * grid.sx + grid.x0).alias("x"),
@@ -578,4 +630,18 @@ def hexbin_density(plan: PairPlan, columns: int = HEX_COLUMNS, block_rows: int =
             "n",
             F.log10(F.col("n").cast("double")).alias("log10_n"),
         )
-    )
+    return histograms, hexagons
+
+
+def marginal_histograms(
+    plan: PairPlan, bins: int = HISTOGRAM_BINS, block_rows: int = BLOCK_ROWS, min_pairs: int = MIN_PAIRS
+) -> DataFrame:
+    """Equal-width counts of x and of y: (axis, bin, lo, hi, n), empty bins included."""
+    return pair_density(plan, bins, None, block_rows, min_pairs)[0]
+
+
+def hexbin_density(
+    plan: PairPlan, columns: int = HEX_COLUMNS, block_rows: int = BLOCK_ROWS, min_pairs: int = MIN_PAIRS
+) -> DataFrame:
+    """Hexagonal density of (x, y): (cell_i, cell_j, x, y, n, log10_n) for cells that hold a pair."""
+    return pair_density(plan, None, columns, block_rows, min_pairs)[1]

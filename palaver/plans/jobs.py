@@ -141,22 +141,24 @@ def correlate(
 ) -> dict[str, DataFrame]:
     """Correlation of semantic and style similarity, and the data behind each layer of its plot.
 
-    All pairs count unless ``max_pairs`` names a budget; ``left_out`` then holds what it cut off.
+    All pairs count unless ``max_pairs`` names a budget; ``left_out`` then holds what it cut off. Pairs are formed twice:
+    for their sums and extremes, from which all fits follow, and for the counts of both densities.
     """
     ship_package(spark)
     answers = spark.read.schema(tables.ANSWER_SCHEMA).parquet(answers_path)
     styles = spark.read.schema(tables.STYLE_SCHEMA).parquet(styles_path).select("author", "embedding")
     plan = similarity.plan_pairs(answers, styles, max_pairs)
-    sums = similarity.pair_sums(plan)
+    extent = plan.extent()
+    histograms, hexagons = similarity.pair_density(plan)
     left_out = [(plan.left_out["questions"], plan.left_out["pairs"])]
     return {
         "left_out": spark.createDataFrame(left_out, "n_questions bigint, n_pairs bigint"),
         "quality": similarity.pair_quality(plan.questions),
-        "correlation": similarity.similarity_correlation(sums),
-        "ellipse": similarity.confidence_ellipse(sums),
-        "regression": similarity.regression_grid(similarity.pair_extent(plan)),
-        "histograms": similarity.marginal_histograms(plan),
-        "hexagons": similarity.hexbin_density(plan),
+        "correlation": similarity.similarity_correlation(extent),
+        "ellipse": similarity.confidence_ellipse(extent),
+        "regression": similarity.regression_grid(extent),
+        "histograms": histograms,
+        "hexagons": hexagons,
     }
 
 

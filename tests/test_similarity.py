@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palaver.functions.significance import incomplete_beta, p_value
 from palaver.operators import similarity as sim
@@ -92,6 +93,59 @@ def test_sums_need_no_pairs(spark, large, block):
     assert np.allclose([row[c] for c in sim._SUMS], expected, atol=1e-8)
 
 
+def test_sums_at_real_widths(spark):
+    """Vectors of 1,024 and 768 numbers: questions of one block, of several, and small ones; bands of a stated size."""
+    rng = np.random.default_rng(17)
+    sizes = {"one block": 1300, "several": 2600, "small": 90}
+    rows = [(f"a{i % 700}", q, i, rng.normal(size=1024).astype(np.float32).tolist()) for q, n in sizes.items() for i in range(n)]
+    styles = [(f"a{i}", rng.normal(size=768).astype(np.float32).tolist()) for i in range(700)]
+    answers = spark.createDataFrame(rows, "author string, question_id string, vec_id int, embedding array<float>").repartition(6)
+    plan = sim.plan_pairs(answers.cache(), spark.createDataFrame(styles, "author string, embedding array<float>"), None, ("author", "vec_id"))
+    assert sim._width(plan) == 1024
+    tiles = sim.pair_sums(plan, large=10**6).first()
+    bands = sim.pair_sums(plan, sum_block_rows=1500).first()
+    assert bands["pairs"] == tiles["pairs"] == sum(n * (n - 1) // 2 for n in sizes.values())
+    assert np.allclose([bands[c] for c in sim._SUMS], [tiles[c] for c in sim._SUMS], rtol=1e-9, atol=1e-6)
+
+
+def test_no_long_list_leaves_a_task(spark):
+    rng = np.random.default_rng(18)
+    s, t = rng.normal(size=(50, 40)), rng.normal(size=(50, 30))
+
+    def sent(blocks):
+        columns = {"question_id": pa.array([7] * 50), "block": [0] * 50, "blocks": [blocks] * 50, "embedding": s.tolist(), "style": t.tolist()}
+        return pa.Table.from_batches(list(sim._outer_sums(100)(iter([pa.RecordBatch.from_pydict(columns)]))))
+
+    sums = sent(3)
+    assert max(len(x) for x in sums.column("sums").to_pylist()) <= 100 and sums.num_rows > 40
+    assert [len(x) for x in sent(1).column("sums").to_pylist()] == [6] and sums.schema.field("question_id").type == pa.int64()
+
+
+@pytest.mark.parametrize("large,block", [(1024, 1024), (5, 3)])
+def test_question_ids_may_be_numbers_or_null(spark, large, block):
+    rows, styles = _data(2)
+    named, numbered = _plan(spark, rows, styles), _plan(spark, rows, styles)
+    numbered = sim.plan_pairs(named.answers.withColumn("question_id", F.substring("question_id", 2, 9).cast("bigint")), named.styles, None, ("author", "vec_id"))
+    assert numbered.id_type() == "bigint"
+    a, b = (sim.pair_sums(p, large, block).first() for p in (named, numbered))
+    assert a["pairs"] == b["pairs"] and np.allclose(list(a)[1:], list(b)[1:])
+
+
+def test_a_plan_passes_over_the_pairs_twice(spark, monkeypatch):
+    rows, styles = _data(8, sizes=(25, 20))
+    plan = _plan(spark, rows, styles)
+    passes = []
+    tiled = sim._tiled
+    monkeypatch.setattr(sim, "_tiled", lambda *a: passes.append(a) or tiled(*a))
+    sums = plan.extent()
+    sim.similarity_correlation(sums).collect(), sim.confidence_ellipse(sums).collect(), sim.regression_grid(sums).collect()
+    histograms, hexagons = sim.pair_density(plan)
+    assert len(passes) == 2
+    pairs = sums.first()["pairs"]
+    assert hexagons.agg(F.sum("n")).first()[0] == pairs and histograms.agg(F.sum("n")).first()[0] == 2 * pairs
+    assert hexagons.exceptAll(sim.hexbin_density(plan)).count() == 0 and histograms.exceptAll(sim.marginal_histograms(plan)).count() == 0
+
+
 def test_counts_without_pairs(spark):
     rows, styles = _data(3)
     brute = _brute(rows, styles)
@@ -139,6 +193,12 @@ def test_too_few_pairs(spark):
     row = sim.similarity_correlation(sim.pair_sums(_plan(spark, rows, styles))).first()
     assert row["n_pairs"] == 16 and row["sufficient"] is False
     assert row["r"] is None and row["p_value"] is None and row["slope"] is None
+    plan = _plan(spark, rows, styles)
+    for few in (99, 17):
+        assert sim.confidence_ellipse(sim.pair_sums(plan), min_pairs=few).count() == 0
+        assert sim.regression_grid(plan.extent(), min_pairs=few).count() == 0
+        assert sim.marginal_histograms(plan, min_pairs=few).count() == 0 and sim.hexbin_density(plan, min_pairs=few).count() == 0
+    assert sim.hexbin_density(plan, min_pairs=16).agg(F.sum("n")).first()[0] == 16 and sim.regression_grid(plan.extent(), min_pairs=0).count() == 100
 
 
 def test_no_pairs_at_all(spark):
