@@ -48,9 +48,10 @@ def prolific_comments(
     tasks and leaves rows where the next step groups them.
     """
     counts = stage(prolific_authors(comments, min_comments, min_len), "prolific")
-    segments = segments_of_counts(counts, "author", "n_comments", max_rows)
+    long = long_comments(comments, min_len)
+    segments = segments_of_counts(counts, "author", "n_comments", long, ("comment_id",), max_rows)
     names = segments.expand(counts, "author").select(F.col("author").alias("_name"), F.col("segment").alias("_seg"))
-    labelled = segments.label(long_comments(comments, min_len), "author", F.col("comment_id"))
+    labelled = segments.label(long, "author")
     return labelled.join(
         small_side(names, names.count()),
         (F.col("author") == F.col("_name")) & (F.col("segment") == F.col("_seg")),
@@ -64,7 +65,9 @@ def author_bodies(
     min_len: int = STYLE_MIN_CHARS,
     max_bodies_per_row: int = SEGMENT_ROWS,
 ) -> DataFrame:
-    """Bodies per prolific author as lists of bounded length: (author, segment, bodies).
+    """Bodies per prolific author as lists of bounded length, in order of comment id: (author, segment, bodies).
+
+    An author's segments laid end to end are the ordered list.
 
     Style vectors do not need it: they are summed up as the bodies are embedded.
     """

@@ -14,19 +14,21 @@ def assemble_threads(submissions: DataFrame, comments: DataFrame, max_comments_p
     """Submissions left-joined to the list of their comments, oldest first.
 
     A thread is one row with ``segment`` 0 unless it has more than ``max_comments_per_row``
-    comments; then its comments are spread over several rows, each list ordered on its own.
+    comments; then its ordered list is cut into several rows, which laid end to end are the list.
+    Comments are ordered by time, unknown times first, then id.
     Threads without comments hold NULL. Pass ``comments`` as a stored table where it can be
     had: it is read once for counting (key column only) and once for nesting.
 
     The semi join, the nesting and the outer join all use (submission, segment), so comment
     bodies are shuffled once and a crowded thread is spread over as many tasks as segments.
     """
-    segments = plan_segments(comments, "link_id_clean", max_comments_per_row)
+    named = comments.where(F.col("link_id").startswith("t3_"))
+    segments = plan_segments(named, "link_id_clean", ("created_utc", "id"), max_comments_per_row)
     heads = segments.expand(submissions, "id")
-    labelled = segments.label(comments, "link_id_clean", F.col("id"))
+    labelled = segments.label(named, "link_id_clean")
 
     keys = heads.select(F.col("id").alias("_sid"), F.col("segment").alias("_seg"))
-    kept = labelled.where(F.col("link_id").startswith("t3_")).join(
+    kept = labelled.join(
         keys, (F.col("link_id_clean") == F.col("_sid")) & (F.col("segment") == F.col("_seg")), "left_semi"
     )
     nested = kept.groupBy(F.col("link_id_clean").alias("_sid"), F.col("segment").alias("_seg")).agg(
@@ -37,7 +39,7 @@ def assemble_threads(submissions: DataFrame, comments: DataFrame, max_comments_p
     return (
         heads.join(nested, (F.col("id") == F.col("_sid")) & (F.col("segment") == F.col("_seg")), "left")
         .withColumn("top_level_comments", F.transform("_list", lambda c: c["comment"]))
-        # A crowded thread may have an empty segment; its first row alone stands for "none".
+        # Where equal comments fill several segments, one may be empty; a thread's first row alone stands for "none".
         .where((F.col("segment") == 0) | F.col("_list").isNotNull())
         .select(*submissions.columns, "segment", "top_level_comments")
     )

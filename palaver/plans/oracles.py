@@ -35,8 +35,9 @@ def _long(col: str) -> str:
     )
 
 
-def _bucket(text: str, n: str) -> str:
-    return f"cast(('0x' || substr(md5({text}), 1, 8))::bigint % ({n}) as int)"
+def _cut(key: str, order: str, rows: int) -> str:
+    """Which part of its key's ordered rows a row is in, parts being ``rows`` long."""
+    return f"cast((row_number() over (partition by {key} order by {order}) - 1) // {rows} as int)"
 
 
 _AUTHOR_OK = f"author <> '[deleted]' and author not in ({_names(BOT_ACCOUNTS)})"
@@ -69,19 +70,15 @@ _BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         ("matched",),
         "select link_id_clean as question_id, id as comment_id, body, ups, downs, created_utc, author from matched",
     ),
-    "segments": (
-        ("coms",),
-        f"""select link_id_clean as sid, cast(ceil(count(*) / {PARAMS['comments_per_row']}) as int) as n_segments
-          from coms group by 1""",
-    ),
     "threads": (
-        ("subs", "matched", "segments"),
+        ("subs", "matched"),
         f"""select s.*, coalesce(m.segment, 0) as segment, coalesce(m.n_comments, 0) as n_comments, m.comments, m.n_chars
           from subs s left join (
-            select link_id_clean, {_bucket('id', 'n_segments')} as segment, count(*) as n_comments, cast(sum(length(body)) as bigint) as n_chars,
+            select link_id_clean, segment, count(*) as n_comments, cast(sum(length(body)) as bigint) as n_chars,
               string_agg(concat(id, '|', coalesce(ups::varchar, '-'), '|', coalesce(downs::varchar, '-'), '|',
                 coalesce(created_utc::varchar, '-'), '|', author, '|', md5(body)), ',' order by created_utc nulls first, id) as comments
-            from matched join segments on sid = link_id_clean group by 1, 2) m on m.link_id_clean = s.id""",
+            from (select *, {_cut('link_id_clean', 'created_utc nulls first, id', PARAMS['comments_per_row'])} as segment from matched)
+            group by 1, 2) m on m.link_id_clean = s.id""",
     ),
     "sizes": (
         ("subs", "matched"),
@@ -262,9 +259,7 @@ _SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
     "author_bodies": (
         ("prolific_coms",),
         f"""select author, segment, count(*) as n_bodies, string_agg(md5(body), ',' order by comment_id) as bodies from (
-            select c.*, {_bucket('comment_id', 'n_segments')} as segment from prolific_coms c join (
-              select author, cast(ceil(count(*) / {PARAMS['bodies_per_row']}) as int) as n_segments from prolific_coms group by 1)
-            using (author)) group by 1, 2""",
+            select *, {_cut('author', 'comment_id', PARAMS['bodies_per_row'])} as segment from prolific_coms) group by 1, 2""",
     ),
     "valid_questions": (("classified",), "select distinct id from classified where label = 'Valid'"),
     "answer_candidates": (("candidates",), "select * from candidates"),

@@ -43,8 +43,9 @@ def test_author_bodies_are_bounded_and_whole(spark, per_row):
     lists = authors.author_bodies(_flat(spark, rows), 20, 10, per_row).collect()
     kept = {r["author"] for r in lists}
     for name in kept:
-        mine = [x for r in lists if r["author"] == name for x in r["bodies"]]
-        assert sorted(mine) == sorted(r[2] for r in rows if r[4] == name and len(r[2]) >= 10)
+        mine = [x for r in sorted(lists, key=lambda r: r["segment"]) if r["author"] == name for x in r["bodies"]]
+        assert mine == [r[2] for r in sorted(rows, key=lambda r: r[1]) if r[4] == name and len(r[2]) >= 10]
+    assert max(len(r["bodies"]) for r in lists) <= per_row
     segments = [r for r in lists if r["author"] == "hot"]
     assert len(segments) > 5 if per_row == 7 else len(segments) == 1
 
