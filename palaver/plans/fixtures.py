@@ -100,7 +100,7 @@ select page_id, concat(html, '<A class="x" HREF=" https://host.example/', case w
   '<!-- <a href="/Hidden_comments.zst">y</a> --><a href=/Plain', cast(page_id as string), '.zst>z</a>') as html
 from {pages}""",
     ),
-    # Lines of JSON: whole document texts, missing keys, null values, and lines that are not objects.
+    # Lines of JSON: whole document texts, missing and repeated keys, null values, and lines that are not objects.
     "json_lines": (
         ("documents",),
         """
@@ -108,6 +108,7 @@ select doc_id, case
   when mod(doc_id, 17) = 3 then concat('{{bad ', cast(doc_id as string))
   when mod(doc_id, 17) = 5 then concat('[', cast(doc_id as string), ']')
   when mod(doc_id, 17) = 7 then concat('{{"author":null,"extra":{{"k":1}},"id":"c', cast(doc_id as string), '"}}')
+  when mod(doc_id, 17) = 9 then concat('{{"ups":1,"id":"early","body":"late","id":"c', cast(doc_id as string), '","ups":null}}')
   else concat('{{"zzz":true,"body":"', replace(replace(text, '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')), '","ups":', cast(n_chars as string),
     ',"score":', cast(doc_id as string), '.5,"id":"c', cast(doc_id as string), '"}}') end as value
 from {documents}""",

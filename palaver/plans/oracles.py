@@ -50,6 +50,12 @@ _BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
         ("json_lines",),
         "select * from json_lines where case when json_valid(value) then json_type(value) = 'OBJECT' else false end",
     ),
+    # Of a repeated key the last value counts.
+    "json_members": (
+        ("json_objects",),
+        """select doc_id, e.key as k, arg_max(coalesce(e.value::varchar, 'null'), e.id) as v
+          from json_objects, json_each(value) e group by all""",
+    ),
     "subs": (
         ("raw_submissions",),
         f"""select id, title, author, {_long('created_utc')} as created_utc, coalesce(over_18 = 'true', false) as over_18,
@@ -394,15 +400,14 @@ _SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
           group by ci, cj, sx, sy, xa, y0""",
     ),
     "jsonl_scan": (
-        ("json_objects",),
-        """select json_extract_string(value, '$.id') as id, json_extract_string(value, '$.body') as body,
-          json_extract_string(value, '$.author') as author, json_extract_string(value, '$.ups') as ups,
-          json_extract_string(value, '$.score') as score from json_objects""",
+        ("json_members",),
+        """select max(case when k = 'id' then json_extract_string(v, '$') end) as id, max(case when k = 'body' then json_extract_string(v, '$') end) as body,
+          max(case when k = 'author' then json_extract_string(v, '$') end) as author, max(case when k = 'ups' then json_extract_string(v, '$') end) as ups,
+          max(case when k = 'score' then json_extract_string(v, '$') end) as score from json_members group by doc_id""",
     ),
     "json_key_projection": (
-        ("json_objects",),
-        """select doc_id, concat('{', string_agg(concat('"', k, '":', json_extract(value, '$.' || k)), ',' order by k), '}') as value
-          from (select doc_id, value, unnest(json_keys(value)) as k from json_objects)
+        ("json_members",),
+        """select doc_id, concat('{', string_agg(concat('"', k, '":', v), ',' order by k), '}') as value from json_members
           where k in ('id', 'body', 'ups', 'score', 'author', 'missing') group by doc_id""",
     ),
     "link_manifest": (

@@ -20,28 +20,28 @@ def read_jsonl(
 ) -> DataFrame:
     """Scan JSON lines with a fixed schema; missing keys are NULL and blank lines are skipped.
 
-    A field declared as string takes whatever scalar the file holds. Lines that are not JSON
-    objects are dropped (``drop``), kept in a ``_bad_line`` column (``keep``), or end the
+    A field declared as string takes whatever scalar the file holds; of a repeated key the last value counts. Lines that are
+    not JSON objects are dropped (``drop``), kept in a ``_bad_line`` column (``keep``), or end the
     job (``fail``). An ``observation`` receives ``n_lines`` and ``n_bad`` once the rows have
     been read, without a pass of its own.
+
+    Files are read as lines and each line is parsed once, as a list of one element that is unnested, so that whatever is
+    asked of the rows, a count or a constant too, sees the same ones.
     """
-    if on_error == "fail":
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if on_error not in ("drop", "keep", "fail"):
+        raise ValueError(f"on_error must be drop, keep or fail, not {on_error!r}")
     with_bad = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    lines = (
-        spark.read.schema(with_bad)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BAD)
-        .json(path)
-    )
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    lines = read_lines(spark, path).where(F.trim("value") != "")
+    rows = lines.select(F.inline(F.array(F.from_json("value", with_bad, options))))
+    if on_error == "fail":
+        message = F.concat(F.lit("not a JSON object: "), F.substring(_BAD, 1, 200))
+        checked = rows.withColumn(_BAD, F.when(F.col(_BAD).isNotNull(), F.raise_error(message)))
+        rows, on_error = checked, "drop"
     if observation is not None:
         bad = F.count_if(F.col(_BAD).isNotNull())
-        lines = lines.observe(observation, F.count(F.lit(1)).alias("n_lines"), bad.alias("n_bad"))
-    if on_error == "keep":
-        return lines
-    if on_error == "drop":
-        return lines.where(F.col(_BAD).isNull()).drop(_BAD)
-    raise ValueError(f"on_error must be drop, keep or fail, not {on_error!r}")
+        rows = rows.observe(observation, F.count(F.lit(1)).alias("n_lines"), bad.alias("n_bad"))
+    return rows if on_error == "keep" else rows.where(F.col(_BAD).isNull()).drop(_BAD)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -49,13 +49,29 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
+def _members(line: Column) -> Column:
+    """The members of a JSON object as a map; NULL if the line is none.
+
+    The strict parser refuses an object that repeats a key. Such lines are parsed again as a list of members, of which the
+    last of each key stays, in order of the keys; a repeated key inside a member's own value is still refused.
+    """
+    strict = F.try_variant_get(F.try_parse_json(line), "$", "map<string,variant>")
+    every = F.map_entries(F.from_json(line, "map<string,variant>", {"allowNonNumericNumbers": "false"}))
+
+    def is_last(entry: Column, at: Column) -> Column:
+        return ~F.exists(F.slice(every, at + 2, F.size(every)), lambda later: later["key"] == entry["key"])
+
+    last = F.map_from_entries(F.filter(every, is_last))
+    keys = F.array_sort(F.map_keys(last))
+    return F.coalesce(strict, F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(last, k))))
+
+
 def projected_json(line: Column, keys: list[str] | tuple[str, ...]) -> Column:
     """The listed keys of a JSON object as JSON text; NULL if the line is not an object.
 
-    A key that the object lacks stays out; a key whose value is null stays in.
+    A key that the object lacks stays out; a key whose value is null stays in; of a repeated key the last value counts.
     """
-    members = F.try_variant_get(F.try_parse_json(line), "$", "map<string,variant>")
-    return F.to_json(F.map_filter(members, lambda k, _: k.isin(*keys)), {"ignoreNullFields": "false"})
+    return F.to_json(F.map_filter(_members(line), lambda k, _: k.isin(*keys)), {"ignoreNullFields": "false"})
 
 
 def project_json_keys(df: DataFrame, keys: list[str] | tuple[str, ...], col: str = "value") -> DataFrame:
@@ -70,7 +86,7 @@ def project_json_keys(df: DataFrame, keys: list[str] | tuple[str, ...], col: str
 
 def count_bad_lines(df: DataFrame, col: str = "value") -> DataFrame:
     """Lines read, and lines that are not JSON objects."""
-    parsed = F.try_variant_get(F.try_parse_json(F.col(col)), "$", "map<string,variant>")
+    parsed = _members(F.col(col))
     return df.where(F.trim(F.col(col)) != "").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(parsed.isNull()).alias("n_bad")
     )

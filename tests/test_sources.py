@@ -4,6 +4,7 @@ import os
 import pyarrow as pa
 import pyarrow.ipc as ipc
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +56,33 @@ def test_json_projection_keeps_nulls_and_omits_absent_keys(spark, tmp_path):
     assert (row["n_lines"], row["n_bad"]) == (5, 2)
 
 
+def test_scans_can_be_counted(spark, tmp_path):
+    path = _write(tmp_path / "s.jsonl", LINES)
+    for mode, n in (("drop", 3), ("keep", 5)):
+        rows = jsonl.read_jsonl(spark, path, clean.RAW_SUBMISSION_SCHEMA, mode)
+        assert rows.count() == n and rows.select(F.lit(1)).count() == n and len(rows.select(F.lit(1)).collect()) == n
+    seen = Observation("seen")
+    assert jsonl.read_jsonl(spark, path, clean.RAW_SUBMISSION_SCHEMA, observation=seen).count() == 3
+    assert seen.get == {"n_lines": 5, "n_bad": 2}
+    with pytest.raises(Exception, match="not a JSON object"):
+        jsonl.read_jsonl(spark, path, clean.RAW_SUBMISSION_SCHEMA, "fail").collect()
+
+
+def test_repeated_keys_keep_the_last_value(spark, tmp_path):
+    lines = ['{"id":"b","n":1,"id":"c","n":null}', '{"x":{"k":[1,null]},"x":{"k":"v"},"id":null}', '{"n":2,"n":3}', '{"id":1,"id":NaN}', '{"id":{"a":1,"a":2}}']
+    path = _write(tmp_path / "s.jsonl", lines)
+    held = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    try:
+        for policy in ("EXCEPTION", "LAST_WIN"):
+            spark.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+            got = [r["value"] for r in jsonl.project_json_keys(jsonl.read_lines(spark, path), ("id", "n", "x")).collect()]
+            assert got[:3] == ['{"id":"c","n":null}', '{"id":null,"x":{"k":"v"}}', '{"n":3}'] and len(got) == 3
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", held)
+    assert [r["id"] for r in jsonl.read_jsonl(spark, path, clean.RAW_SUBMISSION_SCHEMA).collect()][:2] == ["c", None]
+    assert jsonl.count_bad_lines(jsonl.read_lines(spark, path)).first()["n_bad"] == 2
+
+
 def test_suffixed_path():
     assert jsonl.suffixed_path("/d/x.json") == "/d/x_filtered.json"
     assert jsonl.suffixed_path("/d.e/x", "_s") == "/d.e/x_s"
