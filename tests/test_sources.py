@@ -124,7 +124,7 @@ def test_arrow_ipc_roundtrip(spark, tmp_path):
     back = spark.read.format("arrow_ipc").load(path)
     assert back.schema.simpleString() == df.schema.simpleString()
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
-    assert not [f for f in os.listdir(path) if f.startswith("_")]
+    assert len([f for f in os.listdir(path) if not f.endswith(".arrow")]) == 1  # the manifest
     files = [os.path.join(path, f) for f in os.listdir(path)]
     assert sum(ipc.open_file(f).read_all().num_rows for f in files) == 60
 
@@ -169,7 +169,53 @@ def test_arrow_ipc_failed_write_leaves_nothing(spark, tmp_path):
     bad = spark.range(20).select(F.when(F.col("id") == 13, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("bigint").alias("k"))
     with pytest.raises(Exception):
         bad.write.format("arrow_ipc").mode("append").save(path)
-    assert os.listdir(path) == []
+    assert not [f for f in os.listdir(path) if f.endswith(".json")]
+    with pytest.raises(Exception, match="no Arrow IPC files"):
+        spark.read.format("arrow_ipc").load(path)
+    spark.range(5).withColumnRenamed("id", "k").write.format("arrow_ipc").mode("append").save(path)
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception):
+            bad.write.format("arrow_ipc").mode(mode).save(path)
+        assert spark.read.format("arrow_ipc").load(path).count() == 5
+
+
+def test_arrow_ipc_reads_only_what_a_manifest_names(spark, tmp_path):
+    register_arrow_ipc(spark)
+    path = str(tmp_path / "a")
+    os.makedirs(path)
+
+    def foreign(name, n):
+        with ipc.new_file(os.path.join(path, name), pa.schema([("k", pa.int64())])) as writer:
+            writer.write_table(pa.table({"k": list(range(n))}))
+
+    count = lambda: spark.read.format("arrow_ipc").load(path).count()
+    rows = lambda n: spark.range(n).withColumnRenamed("id", "k").write.format("arrow_ipc")
+    foreign("other.arrow", 3)
+    assert count() == 3
+    rows(4).mode("append").save(path)
+    assert count() == 7
+    foreign("part-of-a-killed-job.arrow", 50)  # written by a task whose job never came to its manifest
+    assert count() == 7
+    rows(6).mode("append").save(path)
+    assert count() == 13
+    held = {f: open(os.path.join(path, f), "rb").read() for f in os.listdir(path)}
+    rows(2).mode("overwrite").save(path)
+    assert count() == 2
+    for name, data in held.items():  # as if the job had ended before it cleared up
+        with open(os.path.join(path, name), "wb") as out:
+            out.write(data)
+    assert count() == 2
+    rows(0).mode("overwrite").save(path)
+    assert count() == 0
+
+
+def test_arrow_ipc_writes_a_thousand_files(spark, tmp_path):
+    register_arrow_ipc(spark)
+    path = str(tmp_path / "many")
+    spark.range(0, 3000, 1, 1000).withColumnRenamed("id", "k").write.format("arrow_ipc").mode("append").save(path)
+    names = os.listdir(path)
+    assert len([n for n in names if n.endswith(".arrow")]) == 1000 and len([n for n in names if n.endswith(".json")]) == 1
+    assert sorted(r["k"] for r in spark.read.format("arrow_ipc").load(path).collect()) == list(range(3000))
 
 
 PAGE = """
