@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from palaver.llm import ngram, packing, pieces, queries, shards, simhash
 from palaver.llm.components import components
+from palaver.session import stage
 
 MODEL = P.path("piece_bpe_32k.model")
 BYTES = queries.byte_vocabulary()
@@ -242,6 +243,28 @@ def test_shards_write(spark, docs, tmp_path):
     assert again.count() == docs.count() and {r.shard for r in again.select("shard").distinct().collect()} == {0, 1, 2, 3}
 
 
+def test_shards_write_every_record_once(spark, odd, tmp_path):
+    shards.write_shards(odd, str(tmp_path / "out"), 3)
+    again = spark.read.parquet(str(tmp_path / "out"))
+    pairs = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    assert pairs(again) == pairs(odd) and again.where("slot is null").count() == 0
+
+
+def test_shards_split_rows_that_are_equal_throughout(spark):
+    """A third of the rows has one id and one text, another part null ids."""
+    n = F.col("id")
+    df = spark.range(0, 12_000, 1, 9).select(
+        F.when(n % 3 == 0, 7).when(n % 3 == 1, n).cast("long").alias("doc_id"), F.when(n % 3 == 0, "same text").when(n % 3 == 1, F.concat(F.lit("t"), n)).otherwise("nameless").alias("text")
+    )
+    got = check_shards(df, shards.assign_shards(df))
+    bytes_ = got.groupby("shard")["size"].sum()
+    assert len(bytes_) == 16 and bytes_.max() <= 1.02 * bytes_.mean()
+    rows = stage(shards._records(df, "doc_id", "text"), "records")
+    cuts = shards.sample_splitters(rows, 64, 100_000, 32, seed=0)
+    sizes = shards.with_range(rows, cuts).groupBy("range").count().collect()
+    assert max(r["count"] for r in sizes) < 12_000 / 8
+
+
 # --- packing --------------------------------------------------------------------------------
 
 
