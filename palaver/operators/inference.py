@@ -31,8 +31,12 @@ Generator = Callable[[list[list[dict]]], list[str]]
 STYLE_BATCH = 32
 ANSWER_BATCH = 8
 
-#: Rows that one task gives to a model.
+#: Rows that one task gives to a model, and segments of authors.
 ROWS_PER_TASK = 1024
+SEGMENTS_PER_TASK = 4
+#: Characters up to which a text counts, as models cut longer ones (four to a token), and texts of that length whose padded size closes a batch.
+COUNTED_CHARS = 2048
+FULL_TEXTS = 16
 
 #: Models of this worker by what their factory pickles to.
 _MODELS: dict[str, Callable] = {}
@@ -59,9 +63,32 @@ def spread(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     return stored.repartition(max(1, -(-stored.count() // rows_per_task)))
 
 
-def _in_batches(embedder: Embedder, texts: list[str], batch_size: int) -> Iterator[np.ndarray]:
-    for at in range(0, len(texts), batch_size):
-        yield np.asarray(embedder(texts[at : at + batch_size]), dtype=np.float64)
+def length_batches(lengths: list[int], batch_size: int, budget: int = FULL_TEXTS * COUNTED_CHARS) -> Iterator[list[int]]:
+    """Places of texts in batches of like length, shortest first.
+
+    A model pads a batch to its longest text, so a batch is closed before its padded size passes ``budget`` characters, or when it
+    has ``batch_size`` texts. A text longer than ``COUNTED_CHARS`` counts as that long.
+    """
+    batch: list[int] = []
+    for at in sorted(range(len(lengths)), key=lengths.__getitem__):
+        longest = min(lengths[at], COUNTED_CHARS)
+        if batch and (len(batch) == batch_size or longest * (len(batch) + 1) > budget):
+            yield batch
+            batch = []
+        batch.append(at)
+    if batch:
+        yield batch
+
+
+def _embedded(embedder: Embedder, texts: list[str | None], batch_size: int) -> np.ndarray:
+    """A vector for each text, in the order of the texts; models see them in batches of like length."""
+    out = None
+    for batch in length_batches([len(t or "") for t in texts], batch_size):
+        vectors = np.asarray(embedder([texts[i] for i in batch]), dtype=np.float64)
+        if out is None:
+            out = np.empty((len(texts), vectors.shape[1]))
+        out[batch] = vectors
+    return out
 
 
 def embed_texts(
@@ -77,7 +104,7 @@ def embed_texts(
 ) -> DataFrame:
     """Replace ``text_col`` by a float vector; ``keep`` names the columns carried along.
 
-    Rows cross to Python once, in Arrow batches, and are embedded ``batch_size`` at a time.
+    Rows cross to Python once, in Arrow batches, and are embedded in batches of like length, ``batch_size`` at most.
     ``profile`` asks for resources, such as one GPU per task, for this stage alone.
     """
     source = spread(df.select(*keep, text_col), rows_per_task)
@@ -90,7 +117,7 @@ def embed_texts(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vectors = np.vstack(list(_in_batches(embedder, batch.column(text_col).to_pylist(), batch_size)))
+            vectors = _embedded(embedder, batch.column(text_col).to_pylist(), batch_size)
             if normalize:
                 lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                 vectors = vectors / np.maximum(lengths, ANSWER_EPS)
@@ -121,7 +148,7 @@ def embed_authors(
     model = _loader(factory)
 
     def row(author: str, texts: list[str]) -> pa.RecordBatch:
-        total = sum(block.sum(axis=0) for block in _in_batches(model(), texts, batch_size))
+        total = _embedded(model(), texts, batch_size).sum(axis=0)
         return pa.RecordBatch.from_pydict(
             {
                 "author": pa.array([author], pa.string()),
@@ -195,9 +222,11 @@ def classify_texts(
         generate = model()
         for batch in batches:
             chats = batch.column("_chat").to_pylist()
-            replies: list[str] = []
-            for at in range(0, len(chats), batch_size):
-                replies.extend(generate(chats[at : at + batch_size]))
+            replies: list[str | None] = [None] * len(chats)
+            lengths = [sum(len(m["content"] or "") for m in chat) for chat in chats]
+            for some in length_batches(lengths, batch_size):
+                for at, reply in zip(some, generate([chats[i] for i in some])):
+                    replies[at] = reply
             arrays = [batch.column(id_col), batch.column(text_col), pa.array(replies, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, text_col, "_reply"])
 

@@ -112,7 +112,8 @@ def style_vectors(
     stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
     comments = threads.explode_comments(stored, fields=("id", "body", "author"))
     chosen = auth.prolific_comments(comments, min_comments, min_chars)
-    tables.write_table(inference.embed_authors(chosen, factory, profile=profile_), out, tables.STYLE_SCHEMA)
+    vectors = inference.embed_authors(chosen, factory, profile=profile_, segments_per_task=inference.SEGMENTS_PER_TASK)
+    tables.write_table(vectors, out, tables.STYLE_SCHEMA)
 
 
 def answer_vectors(

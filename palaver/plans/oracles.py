@@ -441,4 +441,8 @@ def oracle_sql() -> dict[str, str]:
           union all select min(line_no), -1, '' from vals group by section
           union all select min(line_no), 0, concat(repeat('=', 20), ' ', section, ' ', repeat('=', 20)) from vals group by section"""
     )
+    needs, links = _SELECTS["link_manifest"]
+    out["manifest_anti_join"] = _compose(
+        needs, f"select * from ({links}) where name not in (select name from ({links}) where mod(page_id, 5) = 0)"
+    )
     return out
