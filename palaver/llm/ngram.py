@@ -1,16 +1,18 @@
 """Language-model scores by a weighted backoff automaton of word n-grams.
 
-Model: words (A-Z in lower case) and an end after each text. The root state has an arc for every word, weighted by the
-add-one estimate p0. Every training word is a state; it has an arc for each word that followed it in training, with
-p = w * c(h, x) / c(h) + (1 - w) * p0(x), and a failure arc to the root worth 1 - w. The weight w depends on the class
-of c(h) and is fitted by leave-one-out on all training tokens. A text is walked once from left to right: the state is
-the word before (the end, at the start), and log-probabilities add up; a word unknown as a state leaves the root.
+Model: words (A-Z in lower case) and an end after each text. A state is the empty history (the root) or a history of up
+to ``order - 1`` words that occurs in training; histories begin with the end of the text before. A state h has an arc
+for each word x that followed it in training, with p(x | h) = w * c(h, x) / c(h) + (1 - w) * p(x | h'), and a failure
+arc worth 1 - w to h', which is h without its first word; the root has an arc for every word, weighted by the add-one
+estimate. The weight w depends on the size of the n-gram and the class of c(h). It is fitted by leave-one-out on all
+training tokens, shorter n-grams first. A text is read once from left to right: the state is carried, a word without
+an arc takes failure arcs until it finds one, and log-probabilities add up.
 
 The automaton is never whole in one place. Documents become chunks of token numbers with their own vocabulary, written
 once. A chunk sends its distinct n-grams, counted, to the buckets their hashes name, as sorted arrays; a bucket adds up
-and sends each chunk the totals of just its n-grams, which are the arcs the chunk can use. So only distinct n-grams of a
-chunk are moved, a frequent n-gram is one number for each chunk, and no task holds more than a bucket or a chunk.
-N-grams are told apart by 64-bit hashes.
+and sends each chunk the totals of just its n-grams, which are the states and arcs the chunk can use. So only distinct
+n-grams of a chunk are moved, a frequent n-gram is one number for each chunk, and no task holds more than a bucket or a
+chunk. Words are told apart by 64-bit hashes, longer n-grams by their bucket and ``KEY_BITS`` more bits of a hash.
 
 Null texts are empty: one token, the end. A null id counts as empty text when it is drawn to be held out. Repeated rows
 are counted and scored as often as they occur. An empty table gives no rows.
@@ -28,15 +30,20 @@ from palaver.session import stage
 
 #: Tokens of a chunk, and distinct n-grams aimed at in a bucket.
 CHUNK_TOKENS, BUCKET_KEYS = 1_000_000, 1_000_000
-#: Classes of c(h) by powers of eight, and the weights tried for each.
+#: Classes of c(h) by powers of eight, and the weights tried for each class and size.
 CLASSES = 8
 WEIGHTS = (0.0, 0.01, 0.04, 0.1, 0.2, 0.35, 0.55, 0.75, 0.9, 0.97)
 END = np.uint64(0xE0D0C0B0A0908070)
 
+#: Words of the longest n-grams, and bits of a hash that tell n-grams of one bucket apart.
+ORDER, KEY_BITS = 3, 40
+#: Tokens that a lane of the walk reads.
+LANE = 512
+
 _CHUNK = "chunk long, n long, ids binary, held binary, lengths binary, vocabulary binary, tokens binary"
-_COUNTS = "bucket int, chunk long, kind int, keys binary, counts binary"
-_ANSWER = "chunk long, bucket int, kind int, totals binary, known long, total long"
-_SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, parts array<double>, fit array<double>"
+_COUNTS = "bucket int, chunk long, size int, keys binary, counts binary"
+_ANSWER = "chunk long, bucket int, size int, totals binary, known long, total long"
+_SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def held_out(key: Column) -> Column:
@@ -58,6 +65,27 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, lengths
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte place by byte place, compressed: the leading places of small ones take almost nothing."""
+    places = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(places.tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes, kind=np.uint64) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    places = pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(places, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _ascending(numbers: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as their differences."""
+    return _planes(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def _sorted_numbers(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data), dtype=np.uint64)
+
+
 def _chunks(limit: int):
     def chunks(batches):
         from pyspark import TaskContext
@@ -75,7 +103,7 @@ def _chunks(limit: int):
                 "chunk": [number], "n": [len(hashes)],
                 "ids": [pa.concat_arrays([x[2] for x in held])], "held": [np.concatenate([x[3] for x in held]).tobytes()],
                 "lengths": [np.concatenate([x[1] for x in held]).astype(np.int32).tobytes()],
-                "vocabulary": [vocabulary.tobytes()], "tokens": [tokens.astype(np.uint32).tobytes()],
+                "vocabulary": [_ascending(vocabulary)], "tokens": [_planes(tokens.astype(np.uint32))],
             }
             row["ids"] = [pa.record_batch([row["ids"][0]], ["id"]).serialize().to_pybytes()]
             held.clear()
@@ -97,61 +125,63 @@ def _chunks(limit: int):
 _ID = pa.schema([("id", pa.int64())])
 
 
+class Grams:
+    """A chunk's distinct n-grams of one size: key, history, last word, shorter n-gram at the same place, training count."""
+
+    def __init__(self, keys, history, word, shorter, own):
+        self.keys, self.history, self.word, self.shorter, self.own = keys, history, word, shorter, own
+
+
 class Chunk:
-    """A chunk's tokens, and its distinct words and word pairs with their training counts."""
+    """A chunk's tokens as one stream, in which each text follows an end, and its distinct n-grams of each size."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int, bits: int):
         self.ids = pa.ipc.read_record_batch(pa.py_buffer(row["ids"]), _ID).column(0)
         self.held = np.frombuffer(row["held"], bool)
         self.lengths = np.frombuffer(row["lengths"], np.int32)
-        self.words = np.frombuffer(row["vocabulary"], np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], np.uint32).astype(np.int64)
+        words = _sorted_numbers(row["vocabulary"])
+        self.tokens = _numbers(row["tokens"], np.uint32).astype(np.int64)
         self.document = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.end = int(np.searchsorted(self.words, END))
-        before = np.concatenate([[self.end], self.tokens[:-1]])
-        keys = follow(self.words[before], self.words[self.tokens])
-        self.pairs, at, self.pair = np.unique(keys, return_index=True, return_inverse=True)
-        self.context, self.word = before[at], self.tokens[at]
-        self.training = ~self.held[self.document]
-
-    def counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(keys in order, training counts) of the words and of the pairs."""
-        w = self.training.astype(float)
-        return [
-            (self.words, np.bincount(self.tokens, w, len(self.words)).astype(np.uint32)),
-            (self.pairs, np.bincount(self.pair, w, len(self.pairs)).astype(np.uint32)),
-        ]
-
-
-def _bucket_ends(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket, named by the leading bits, begins in the sorted keys."""
+        self.end = int(np.searchsorted(words, END))
+        training = ~self.held[self.document]
+        place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        own = np.bincount(self.tokens, training, len(words)).astype(np.uint64)
+        self.grams = [Grams(words, None, np.arange(len(words)), None, own)]
+        hashes, drop = words[self.tokens], np.uint64(max(0, 64 - bits - KEY_BITS))
+        keys, number, before, known_before = hashes, self.tokens, END, self.end
+        for size in range(2, order + 1):
+            keys = follow(np.concatenate([[before], keys[:-1]]), hashes)
+            earlier = np.concatenate([[known_before], number[:-1]])
+            at = np.flatnonzero(place >= size - 2)  # the n-gram lies in the text and the end before it
+            distinct, first, which = np.unique(keys[at] >> drop, return_index=True, return_inverse=True)
+            first = at[first]
+            own = np.bincount(which, training[at], len(distinct)).astype(np.uint64)
+            self.grams.append(Grams(distinct, earlier[first], self.tokens[first], number[first], own))
+            number = np.full(len(self.tokens), -1)
+            number[at] = which
+            before, known_before = np.uint64(0), -1
+
+
+def _bucket_ends(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Where each bucket, named by the leading bits, begins in the sorted keys of so many bits."""
     if not bits:
         return np.array([0, len(keys)])
-    cuts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    cuts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)
     return np.concatenate([np.searchsorted(keys, cuts), [len(keys)]])
 
 
-def _columns(keys: np.ndarray) -> bytes:
-    """Sorted keys byte column by byte column: their leading columns compress to almost nothing."""
-    return np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _keys(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
-
-
-def _send(bits: int):
+def _send(order: int, bits: int):
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                for kind, (keys, counts) in enumerate(Chunk(row).counts()):
-                    ends = _bucket_ends(keys, bits)
+                for size, grams in enumerate(Chunk(row, order, bits).grams, 1):
+                    ends = _bucket_ends(grams.keys, bits, 64 if size == 1 else min(64, bits + KEY_BITS))
                     some = np.flatnonzero(np.diff(ends))
                     parts = [slice(ends[b], ends[b + 1]) for b in some]
                     yield pa.RecordBatch.from_pydict(
                         {"bucket": pa.array(some, pa.int32()), "chunk": pa.array([row["chunk"]] * len(some), pa.int64()),
-                         "kind": pa.array([kind] * len(some), pa.int32()), "keys": [_columns(keys[p]) for p in parts],
-                         "counts": [counts[p].tobytes() for p in parts]}
+                         "size": pa.array([size] * len(some), pa.int32()), "keys": pa.array([_ascending(grams.keys[p]) for p in parts], pa.binary()),
+                         "counts": pa.array([_planes(grams.own[p]) for p in parts], pa.binary())}
                     )
 
     return send
@@ -160,96 +190,175 @@ def _send(bits: int):
 def _add_up(key, rows):
     """Totals of a bucket's n-grams, as an answer to every chunk that sent some."""
     bucket = key[0].as_py()
-    kinds = np.asarray(rows.column("kind"))
+    sizes = np.asarray(rows.column("size"))
     answers = []
-    for kind in (0, 1):
-        at = np.flatnonzero(kinds == kind)
-        if not len(at):
-            continue
-        own = rows.take(at)
-        sent = [_keys(k) for k in own.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in own.column("counts").to_pylist()])
+    for size in np.unique(sizes):
+        own = rows.take(np.flatnonzero(sizes == size))
+        n = own.num_rows
+        sent = [_sorted_numbers(k) for k in own.column("keys").to_pylist()]
+        counts = np.concatenate([_numbers(c) for c in own.column("counts").to_pylist()])
         distinct, place = np.unique(np.concatenate(sent), return_inverse=True)
-        totals = np.bincount(place, counts, len(distinct)).astype(np.int64)
+        totals = np.bincount(place, counts, len(distinct)).astype(np.uint64)
         ends = np.cumsum([len(k) for k in sent])
-        known = [int((totals > 0).sum())] + [0] * (len(at) - 1)
-        total = [int(totals.sum())] + [0] * (len(at) - 1)
-        back = [totals[p].tobytes() for p in np.split(place, ends[:-1])]
+        back = [_planes(totals[p]) for p in np.split(place, ends[:-1])]
         answers.append(
             pa.table(
-                {"chunk": own.column("chunk"), "bucket": pa.array([bucket] * len(at), pa.int32()),
-                 "kind": pa.array([kind] * len(at), pa.int32()), "totals": pa.array(back, pa.binary()),
-                 "known": pa.array(known, pa.int64()), "total": pa.array(total, pa.int64())}
+                {"chunk": own.column("chunk"), "bucket": pa.array([bucket] * n, pa.int32()),
+                 "size": pa.array([size] * n, pa.int32()), "totals": pa.array(back, pa.binary()),
+                 "known": pa.array([int((totals > 0).sum())] + [0] * (n - 1), pa.int64()),
+                 "total": pa.array([int(totals.sum())] + [0] * (n - 1), pa.int64())}
             )
         )
     return pa.concat_tables(answers)
 
 
+def _join(order: int):
+    """A chunk beside the totals of its n-grams, one list for each size."""
+
+    def join(key, chunks, answers):
+        by_bucket = answers.sort_by([("size", "ascending"), ("bucket", "ascending")])
+        sizes = np.asarray(by_bucket.column("size"))
+        parts = [_numbers(x) for x in by_bucket.column("totals").to_pylist()]
+        lists = [np.concatenate([np.zeros(0, np.uint64), *(p for p, k in zip(parts, sizes) if k == size)]) for size in range(1, order + 1)]
+        return chunks.append_column("totals", pa.array([[_planes(x) for x in lists]], pa.list_(pa.binary())))
+
+    return join
+
+
 def _class(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64) // 3, CLASSES - 1)
 
 
-def arc(follows: np.ndarray, state: np.ndarray, base: np.ndarray, weight: float) -> np.ndarray:
-    """Log-probability of leaving a state: by its arc, else by failure to the root; an unknown state is the root."""
-    inner = np.where(state > 0, weight, 0.0)
-    return np.log10(inner * follows / np.maximum(state, 1) + (1 - inner) * base)
-
-
-def _walk(known: int, total: int):
-    def walk(key, chunks, answers):
-        chunk = Chunk(chunks.to_pylist()[0])
-        order = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        kinds = np.asarray(order.column("kind"))
-        totals = [np.frombuffer(x, np.int64) for x in order.column("totals").to_pylist()]
-        words = np.concatenate([t for t, k in zip(totals, kinds) if k == 0])
-        pairs = np.concatenate([t for t, k in zip(totals, kinds) if k == 1])
-        own = chunk.counts()[1][1].astype(float)
-        n, docs = len(chunk.lengths), chunk.document
-        base = (words + 1) / (total + known + 1)
-        state, first = words[chunk.context], base[chunk.word]
-        kept_base = np.maximum(words[chunk.word], 1) / max(1, total + known)  # without the token itself
-        kept_state, kept_pair = np.maximum(state - 1, 0), np.maximum(pairs - 1, 0)
-        bins = docs * CLASSES + _class(state)[chunk.pair]
-        parts = np.empty((n, CLASSES, len(WEIGHTS)))
-        fit = np.empty((CLASSES, len(WEIGHTS)))
-        for g, weight in enumerate(WEIGHTS):
-            arcs = arc(pairs, state, first, weight)
-            parts[:, :, g] = np.bincount(bins, arcs[chunk.pair], n * CLASSES).reshape(n, CLASSES)
-            fit[:, g] = np.bincount(_class(kept_state), own * arc(kept_pair, kept_state, kept_base, weight), CLASSES)
-        lists = pa.list_(pa.float64())
-        rows = parts.reshape(n, -1)
-        width = rows.shape[1]
-        texts = pa.table(
-            {"id": chunk.ids, "held_out": pa.array(chunk.held), "n_tokens": chunk.lengths.astype(np.int64),
-             "n_known": np.bincount(docs, words[chunk.tokens] > 0, n).astype(np.int64),
-             "base_score": np.bincount(docs, np.log10(base)[chunk.tokens], n),
-             "parts": pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, width), pa.int32()), pa.array(rows.ravel())),
-             "fit": pa.nulls(n, lists)}
-        )
-        summary = pa.table({c: pa.nulls(1, texts.schema.field(c).type) for c in texts.column_names[:-1]} | {"fit": pa.array([fit.ravel()], lists)})
-        return pa.concat_tables([texts, summary])
+def _mixed(count, history, weight, lower):
+    """p(x | h) from c(h, x), c(h), the weight and p(x | h'); a history that does not occur adds nothing."""
+    weight = np.where(history > 0, weight, 0.0)
+    return weight * count / np.maximum(history, 1) + (1 - weight) * lower
+
+
+class Automaton:
+    """The states and arcs that a chunk can use.
+
+    States: 0 is the root, the others are n-grams shorter than the order, size by size. ``codes`` holds each arc as
+    state * words + word in order, ``logs`` what it is worth and ``goes`` where it leads.
+    """
+
+    def __init__(self, chunk: Chunk, totals: list[np.ndarray], weights: list[np.ndarray], known: int, total: int):
+        order, self.words = len(totals), len(totals[0])
+        first = np.cumsum([0, 1] + [len(t) for t in totals[: order - 1]])  # of the n-grams of each size, as states
+        self.failure = np.zeros(first[-1], np.int64)
+        self.fails = np.zeros(first[-1])
+        chance = (totals[0] + 1) / (total + known + 1)
+        words = np.arange(self.words)
+        codes, logs = [words], [np.log10(chance)]
+        goes = [np.where(totals[0] > 0, first[1] + words, 0)]
+        for size in range(2, order + 1):
+            grams, weight = chunk.grams[size - 1], weights[size - 2]
+            count, history = totals[size - 1], totals[size - 2]
+            here = slice(first[size - 1], first[size - 1] + len(history))
+            self.fails[here] = np.log10(1 - weight[_class(history)])
+            if size > 2:
+                self.failure[here] = first[size - 2] + chunk.grams[size - 2].shorter
+            before = history[grams.history]
+            chance = _mixed(count, before, weight[_class(before)], chance[grams.shorter])
+            arcs = np.flatnonzero(count > 0)
+            word = grams.word[arcs]
+            to = first[size] + arcs if size < order else first[size - 1] + grams.shorter[arcs]
+            codes.append((first[size - 1] + grams.history[arcs]) * self.words + word)
+            logs.append(np.log10(chance[arcs]))
+            goes.append(np.where(word == chunk.end, first[1] + chunk.end, to))
+        rank = np.argsort(codes := np.concatenate(codes))
+        self.codes, self.logs, self.goes = codes[rank], np.concatenate(logs)[rank], np.concatenate(goes)[rank]
+
+    def walk(self, tokens: np.ndarray, end: int, warm: int, lane: int = LANE) -> np.ndarray:
+        """What each token of the stream adds, read from left to right.
+
+        The stream is cut into lanes that are read side by side, each carrying its state. A lane reads the ``warm`` tokens
+        before its first one too, as many as a state remembers, so it begins in the state the whole stream would be in.
+        """
+        lanes = -(-len(tokens) // lane)
+        ends = np.full(warm, end)
+        stream = np.concatenate([ends, tokens, np.full(lanes * lane - len(tokens), end)])
+        begins = np.arange(lanes) * lane
+        state = np.zeros(lanes, np.int64)
+        added = np.empty((lane, lanes))
+        for step in range(warm + lane):
+            word = stream[begins + step]
+            value = np.zeros(lanes)
+            left = np.arange(lanes)
+            while len(left):
+                at = state[left]
+                code = at * self.words + word[left]
+                arc = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+                hit = self.codes[arc] == code
+                found, arc = left[hit], arc[hit]
+                value[found] += self.logs[arc]
+                state[found] = self.goes[arc]
+                left, at = left[~hit], at[~hit]
+                value[left] += self.fails[at]
+                state[left] = self.failure[at]
+            if step >= warm:
+                added[step - warm] = value
+        return added.T.ravel()[: len(tokens)]
+
+
+def _fit(order: int, bits: int, weights: list[np.ndarray], known: int, total: int):
+    """Log-probability of all training tokens for each class and weight of the next size, each token left out of its counts."""
+
+    def fit(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                size = len(weights) + 2
+                chunk, totals = Chunk(row, size, bits), [_numbers(x).astype(np.int64) for x in row["totals"]]
+                chance = np.maximum(totals[0], 1) / max(1, total + known)
+                for grams, count, history, weight in zip(chunk.grams[1:], totals[1:], totals, [*weights, None]):
+                    before, count = np.maximum(history[grams.history] - 1, 0), np.maximum(count - 1, 0)
+                    place, lower = _class(before), chance[grams.shorter]
+                    if weight is not None:
+                        chance = _mixed(count, before, weight[place], lower)
+                tried = [np.bincount(place, grams.own * np.log10(_mixed(count, before, w, lower)), CLASSES) for w in WEIGHTS]
+                yield pa.RecordBatch.from_pydict({"fit": pa.array([np.array(tried).T.ravel()], pa.list_(pa.float64()))})
+
+    return fit
+
+
+def _score(order: int, bits: int, weights: list[np.ndarray], known: int, total: int):
+    def score(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk, totals = Chunk(row, order, bits), [_numbers(x).astype(np.int64) for x in row["totals"]]
+                n, base = len(chunk.lengths), np.log10((totals[0] + 1) / (total + known + 1))
+                added = Automaton(chunk, totals, weights, known, total).walk(chunk.tokens, chunk.end, order - 1)
+                yield pa.RecordBatch.from_pydict(
+                    {"id": chunk.ids, "held_out": pa.array(chunk.held), "n_tokens": chunk.lengths.astype(np.int64),
+                     "n_known": np.bincount(chunk.document, totals[0][chunk.tokens] > 0, n).astype(np.int64),
+                     "base_score": np.bincount(chunk.document, base[chunk.tokens], n),
+                     "score": np.bincount(chunk.document, added, n)}
+                )
 
-    return walk
+    return score
 
 
-def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Each text's log10 probability: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if order < 2:
+        raise ValueError("an automaton with failure arcs needs an order of two or more")
     rows = df.select(F.col(key).cast("long").alias("id"), held_out(F.col(key)).alias("held"), text_column(df, text).alias("text"))
     chunks = stage(rows.mapInArrow(_chunks(chunk_tokens), _CHUNK), "chunks")
     n = chunks.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (n // BUCKET_KEYS).bit_length())
-    sent = chunks.mapInArrow(_send(bits), _COUNTS)
+    sent = chunks.mapInArrow(_send(order, bits), _COUNTS)
     answers = stage(sent.groupBy("bucket").applyInArrow(_add_up, _ANSWER), "totals")
-    sizes = answers.where("kind = 0").agg(F.sum("known"), F.sum("total")).first()
+    sizes = answers.where("size = 1").agg(F.sum("known"), F.sum("total")).first()
     known, total = (x or 0 for x in sizes)
-    parts = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_walk(known, total), _SCORED)
-    parts = stage(parts, "scores")
-    sums = parts.where(F.col("fit").isNotNull()).select(F.posexplode("fit").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"))
-    fit = np.zeros(CLASSES * len(WEIGHTS))
-    for r in sums.collect():  # one number for each class and weight
-        fit[r["at"]] = r["value"]
-    best = fit.reshape(CLASSES, -1).argmax(axis=1)
-    score = sum((F.col("parts")[c * len(WEIGHTS) + int(g)] for c, g in enumerate(best)), F.lit(0.0))
-    return parts.where(F.col("fit").isNull()).select(
-        "id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", score.alias("score")
-    )
+    joined = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join(order), f"{_CHUNK}, totals array<binary>")
+    joined = stage(joined, "automata")
+    weights: list[np.ndarray] = []
+    for _ in range(2, order + 1):
+        tried = joined.mapInArrow(_fit(order, bits, weights, known, total), "fit array<double>")
+        sums = tried.select(F.posexplode("fit").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value"))
+        fit = np.zeros(CLASSES * len(WEIGHTS))
+        for r in sums.collect():  # one number for each class and weight
+            fit[r["at"]] = r["value"]
+        weights = [*weights, np.array(WEIGHTS)[fit.reshape(CLASSES, -1).argmax(axis=1)]]
+    scored = joined.mapInArrow(_score(order, bits, weights, known, total), _SCORED)
+    return scored.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

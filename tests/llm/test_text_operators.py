@@ -157,32 +157,73 @@ def test_scores(docs, chunk):
     assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
-def test_scores_are_the_automatons(docs):
-    """Scores of whole texts by a plain walk with dictionaries, at the weights that the fit chose."""
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    wanted = plain_base(texts)
+def dictionary_automaton(texts, held, order):
+    """Scores of whole texts by dictionaries of n-grams, and held-out texts' sum; weights by leave-one-out, size by size."""
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in texts.items()}
-    uni, bi = Counter(), Counter()
+    counts = Counter()
     for i, w in tokens.items():
-        if not wanted[i][0]:
-            uni.update(w)
-            bi.update(zip([None, *w], w))
-    n, v = sum(uni.values()), len(uni)
+        if not held[i]:
+            counts.update((x,) for x in w)
+            for size in range(2, order + 1):
+                line = (None, *w)
+                counts.update(line[k : k + size] for k in range(len(line) - size + 1))
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
     place = lambda c: min(int(math.log2(max(c, 1))) // 3, ngram.CLASSES - 1)
-    fit = np.zeros((ngram.CLASSES, len(ngram.WEIGHTS)))
-    for (h, w), c in bi.items():
-        kept = uni[h] - 1
-        for g, x in enumerate(ngram.WEIGHTS):
-            x = x if kept else 0
-            fit[place(kept), g] += c * math.log10(x * (c - 1) / max(kept, 1) + (1 - x) * max(uni[w], 1) / (n + v))
-    weights = [ngram.WEIGHTS[g] for g in fit.argmax(axis=1)]
-    got = {r.id: r.score for r in ngram.score_texts(docs).collect()}
-    for i, t in tokens.items():
-        total = 0.0
-        for h, w in zip([None, *t], t):
-            x = weights[place(uni[h])] if uni[h] else 0.0
-            total += math.log10(x * bi[h, w] / max(uni[h], 1) + (1 - x) * (uni[w] + 1) / (n + v + 1))
-        assert math.isclose(got[i], total, rel_tol=1e-9)
+    weights: dict[int, list[float]] = {}
+
+    def kept(gram):
+        if len(gram) == 1:
+            return max(counts[gram], 1) / (n + v)
+        before = counts[gram[:-1]] - 1
+        x = weights[len(gram)][place(before)] if before else 0
+        return x * (counts[gram] - 1) / max(before, 1) + (1 - x) * kept(gram[1:])
+
+    for size in range(2, order + 1):
+        fit = np.zeros((ngram.CLASSES, len(ngram.WEIGHTS)))
+        for gram, c in counts.items():
+            if len(gram) == size:
+                before, lower = counts[gram[:-1]] - 1, kept(gram[1:])
+                for g, x in enumerate(ngram.WEIGHTS):
+                    x = x if before else 0
+                    fit[place(before), g] += c * math.log10(x * (counts[gram] - 1) / max(before, 1) + (1 - x) * lower)
+        weights[size] = [ngram.WEIGHTS[g] for g in fit.argmax(axis=1)]
+
+    def p(history, word):
+        if not history:
+            return (counts[word,] + 1) / (n + v + 1)
+        x = weights[len(history) + 1][place(counts[history])] if counts[history] else 0
+        return x * counts[*history, word] / max(counts[history], 1) + (1 - x) * p(history[1:], word)
+
+    scores = {}
+    for i, w in tokens.items():
+        line = (None, *w)
+        scores[i] = sum(math.log10(p(line[max(0, k - order + 1) : k], line[k])) for k in range(1, len(line)))
+    return scores
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_are_the_automatons(docs, order):
+    """Scores of whole texts by plain dictionaries; chunks of many lanes and, for the default order, of few texts."""
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    wanted = dictionary_automaton(texts, held, order)
+    got = {r.id: r.score for r in ngram.score_texts(docs, order=order, chunk_tokens=3_000 if order == 3 else ngram.CHUNK_TOKENS).collect()}
+    assert set(got) == set(wanted)
+    for i, score in wanted.items():
+        assert math.isclose(got[i], score, rel_tol=1e-9)
+
+
+def test_scores_in_many_buckets(docs, monkeypatch):
+    """The same scores whether n-grams meet in one bucket or in many."""
+    one = {r.id: r.score for r in ngram.score_texts(docs).collect()}
+    monkeypatch.setattr(ngram, "BUCKET_KEYS", 1_000)
+    many = {r.id: r.score for r in ngram.score_texts(docs, chunk_tokens=5_000).collect()}
+    assert set(one) == set(many) and all(math.isclose(one[i], many[i], rel_tol=1e-9) for i in one)
+
+
+def test_third_order_scores_held_out_texts_higher(docs):
+    kept = lambda order: ngram.score_texts(docs, order=order).where("held_out").agg({"score": "sum"}).first()[0]
+    assert kept(3) > kept(2)
 
 
 def test_scores_odd_rows(odd, empty):
