@@ -259,6 +259,13 @@ _SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
             select author, bool_or(s) as a, bool_or(not s) as b from (
               select author, true as s from subs union all select author, false from flat) where author is not null group by author)""",
     ),
+    "author_overlap_sketch": (
+        ("subs", "flat"),
+        """select unnest(['n_submission_authors', 'n_comment_authors', 'n_union', 'n_both']) as measure,
+          unnest([a, b, u, a + b - u]) as n, true as within from (
+            select (select count(distinct author) from subs) as a, (select count(distinct author) from flat) as b,
+              (select count(*) from (select author from subs union select author from flat) where author is not null) as u)""",
+    ),
     "author_union": (("subs", "flat"), "select author from subs union select author from flat"),
     "author_intersection": (("subs", "flat"), "select author from subs intersect select author from flat"),
     "prolific_authors": (("prolific",), "select author, n_comments from prolific"),

@@ -14,7 +14,7 @@ from palaver.functions.standins import HashingEmbedder, keyword_generator
 from palaver.functions.vectors import l2_normalize, mean_vectors, nan_to_zero
 from palaver.operators import answers as ans
 from palaver.operators import authors as auth
-from palaver.operators import clean, inference, profile, sampling, similarity, threads
+from palaver.operators import clean, inference, profile, sampling, similarity, sketches, threads
 from palaver.plans.fixtures import table, view
 from palaver.plans.oracles import PARAMS
 from palaver.session import key_table, scratch_path, ship_package, stage
@@ -188,6 +188,15 @@ def author_overlap(spark, sf):
     return _rounded(profile.author_overlap(_subs(spark, sf), _flat(spark, sf)), "share_both")
 
 
+@_query
+def author_overlap_sketch(spark, sf):
+    subs, coms = _subs(spark, sf), _flat(spark, sf)
+    month = F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM")
+    parts = sketches.author_sketches(subs.withColumn("month", month), coms.withColumn("month", month), "month")
+    estimate = sketches.author_overlap_estimate(stage(parts, "author-sketches"))
+    return sketches.estimate_beside_count(estimate, profile.author_overlap(subs, coms))
+
+
 @_query
 def author_union(spark, sf):
     return profile.author_union(_subs(spark, sf), _flat(spark, sf))

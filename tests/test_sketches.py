@@ -1,0 +1,49 @@
+"""Author sketches: merged parts against exact counts, parts added later, nulls and empty inputs."""
+
+from pyspark.sql import functions as F
+
+from palaver.operators import profile, sketches
+from palaver.sources.tables import read_parquet
+
+
+def _sides(spark, n=60_000):
+    ids = spark.range(n).withColumn("month", (F.col("id") % 5).cast("int"))
+    subs = ids.select("month", F.when(F.col("id") % 11 != 0, F.concat(F.lit("u"), F.col("id") % 40_000)).alias("author"))
+    coms = ids.select("month", F.concat(F.lit("u"), F.col("id") % 30_000 + 25_000).alias("author"))
+    return subs, coms
+
+
+def test_bounds_hold(spark):
+    subs, coms = _sides(spark)
+    estimate = sketches.author_overlap_estimate(sketches.author_sketches(subs, coms, "month"))
+    rows = sketches.estimate_beside_count(estimate, profile.author_overlap(subs, coms)).collect()
+    assert len(rows) == 4 and all(r["within"] for r in rows)
+    row = estimate.first()
+    assert row["n_union_bound"] < 0.03 * row["n_union"]
+
+
+def test_later_parts_are_added_without_the_older_rows(spark, tmp_path):
+    subs, coms = _sides(spark)
+    old, new, path = F.col("month") < 3, F.col("month") >= 3, str(tmp_path / "sketches")
+    for some in (old, new):
+        part = sketches.author_sketches(subs.where(some), coms.where(some), "month")
+        part.write.mode("append").parquet(path)
+    stored = read_parquet(spark, path)
+    assert stored.count() == 10
+    whole = sketches.author_overlap_estimate(sketches.author_sketches(subs, coms, "month")).first()
+    assert sketches.author_overlap_estimate(stored).first() == whole
+
+
+def test_small_sides_are_exact(spark):
+    subs = spark.createDataFrame([("a", 1), ("b", None), (None, 1), ("a", 2)], "author string, month int")
+    coms = spark.createDataFrame([("b", 1), ("c", 1)], "author string, month int")
+    row = sketches.author_overlap_estimate(sketches.author_sketches(subs, coms, "month")).first()
+    assert (row["n_submission_authors"], row["n_comment_authors"], row["n_union"], row["n_both"]) == (2, 2, 3, 1)
+
+
+def test_nothing(spark):
+    subs = spark.createDataFrame([], "author string, month int")
+    row = sketches.author_overlap_estimate(sketches.author_sketches(subs, subs, "month")).first()
+    assert set(row.asDict().values()) == {0, 0.0}
+    nulls = spark.createDataFrame([(None, 1)], "author string, month int")
+    assert sketches.author_overlap_estimate(sketches.author_sketches(nulls, subs, "month")).first()["n_union"] == 0
