@@ -1,7 +1,8 @@
 """End-to-end jobs: dumps to threads, threads to a report, vectors, labels and correlations.
 
 Each job reads stored tables, chains operators into one plan and writes a stored table, so
-that a later job starts from columns on disk and not from the raw dumps.
+that a later job starts from columns on disk and not from the raw dumps. What it stages on the
+way is removed when it ends.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from palaver.operators import answers as ans
 from palaver.operators import authors as auth
 from palaver.operators import clean, inference, profile, sampling, similarity, threads
 from palaver.operators.segments import MAX_ROWS
-from palaver.session import key_table, ship_package, stage
+from palaver.session import key_table, scratch_tables, ship_package, stage
 from palaver.sources import jsonl, tables
 from palaver.sources.arrow_ipc import register_arrow_ipc
 
@@ -42,10 +43,11 @@ def build_threads(
     subs_seen, coms_seen = Observation("submissions"), Observation("comments")
     raw_subs = jsonl.read_jsonl(spark, submissions_path, clean.RAW_SUBMISSION_SCHEMA, observation=subs_seen)
     raw_coms = jsonl.read_jsonl(spark, comments_path, clean.RAW_COMMENT_SCHEMA, observation=coms_seen)
-    submissions = stage(clean.clean_submissions(raw_subs), "submissions")
-    comments = stage(clean.clean_comments(raw_coms), "comments")
-    nested = threads.assemble_threads(submissions, comments, max_comments_per_row)
-    tables.write_table(nested, out, tables.THREAD_SCHEMA)
+    with scratch_tables(spark):
+        submissions = stage(clean.clean_submissions(raw_subs), "submissions")
+        comments = stage(clean.clean_comments(raw_coms), "comments")
+        nested = threads.assemble_threads(submissions, comments, max_comments_per_row)
+        tables.write_table(nested, out, tables.THREAD_SCHEMA)
     return {
         "submission_lines": subs_seen.get["n_lines"],
         "bad_submission_lines": subs_seen.get["n_bad"],
@@ -76,7 +78,8 @@ def profile_threads(spark: SparkSession, threads_path: str, out: str) -> DataFra
     """Write the text report of a thread store; returns its long form."""
     stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
     comments = threads.explode_comments(stored, fields=("body", "ups", "downs", "author"))
-    stats = stage(profile.thread_report(threads.thread_heads(stored), comments), "report")
+    with scratch_tables(spark):
+        stats = stage(profile.thread_report(threads.thread_heads(stored), comments), "report", keep=True)
     tables.write_report(profile.render_report(stats, threads_path), out)
     return stats
 
@@ -94,8 +97,9 @@ def classify_questions(
     heads = threads.thread_heads(spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path))
     titled = heads.where(F.col("title").isNotNull()).select("id", "title")
     chosen = titled if n is None else sampling.sample_titles(heads, n)
-    labelled = inference.classify_texts(chosen, factory, profile=profile_)
-    tables.write_table(labelled, out, tables.CLASSIFIED_SCHEMA)
+    with scratch_tables(spark):
+        labelled = inference.classify_texts(chosen, factory, profile=profile_)
+        tables.write_table(labelled, out, tables.CLASSIFIED_SCHEMA)
 
 
 def style_vectors(
@@ -111,9 +115,10 @@ def style_vectors(
     ship_package(spark)
     stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
     comments = threads.explode_comments(stored, fields=("id", "body", "author"))
-    chosen = auth.prolific_comments(comments, min_comments, min_chars)
-    vectors = inference.embed_authors(chosen, factory, profile=profile_, segments_per_task=inference.SEGMENTS_PER_TASK)
-    tables.write_table(vectors, out, tables.STYLE_SCHEMA)
+    with scratch_tables(spark):
+        chosen = auth.prolific_comments(comments, min_comments, min_chars)
+        vectors = inference.embed_authors(chosen, factory, profile=profile_, segments_per_task=inference.SEGMENTS_PER_TASK)
+        tables.write_table(vectors, out, tables.STYLE_SCHEMA)
 
 
 def answer_vectors(
@@ -131,10 +136,11 @@ def answer_vectors(
     stored = spark.read.schema(tables.THREAD_SCHEMA).parquet(threads_path)
     comments = threads.explode_comments(stored, fields=("id", "body", "created_utc", "author"))
     classified = spark.read.schema(tables.CLASSIFIED_SCHEMA).parquet(classified_path)
-    questions = key_table(ans.valid_questions(classified), "questions")
-    authors = tables.read_parquet(spark, styles_path, ["author"])
-    oldest = ans.oldest_answer(ans.answer_candidates(comments, questions, authors, min_chars))
-    tables.write_table(inference.embed_answers(oldest, factory, profile=profile_), out, tables.ANSWER_SCHEMA)
+    with scratch_tables(spark):
+        questions = key_table(ans.valid_questions(classified), "questions")
+        authors = tables.read_parquet(spark, styles_path, ["author"])
+        oldest = ans.oldest_answer(ans.answer_candidates(comments, questions, authors, min_chars))
+        tables.write_table(inference.embed_answers(oldest, factory, profile=profile_), out, tables.ANSWER_SCHEMA)
 
 
 def correlate(
@@ -143,24 +149,27 @@ def correlate(
     """Correlation of semantic and style similarity, and the data behind each layer of its plot.
 
     All pairs count unless ``max_pairs`` names a budget; ``left_out`` then holds what it cut off. Pairs are formed twice:
-    for their sums and extremes, from which all fits follow, and for the counts of both densities.
+    for their sums and extremes, from which all fits follow, and for the counts of both densities. The layers, a few hundred
+    rows each, are stored; tables with a row for each answer are removed.
     """
     ship_package(spark)
     answers = spark.read.schema(tables.ANSWER_SCHEMA).parquet(answers_path)
     styles = spark.read.schema(tables.STYLE_SCHEMA).parquet(styles_path).select("author", "embedding")
-    plan = similarity.plan_pairs(answers, styles, max_pairs)
-    extent = plan.extent()
-    histograms, hexagons = similarity.pair_density(plan)
-    left_out = [(plan.left_out["questions"], plan.left_out["pairs"])]
-    return {
-        "left_out": spark.createDataFrame(left_out, "n_questions bigint, n_pairs bigint"),
-        "quality": similarity.pair_quality(plan.questions),
-        "correlation": similarity.similarity_correlation(extent),
-        "ellipse": similarity.confidence_ellipse(extent),
-        "regression": similarity.regression_grid(extent),
-        "histograms": histograms,
-        "hexagons": hexagons,
-    }
+    with scratch_tables(spark):
+        plan = similarity.plan_pairs(answers, styles, max_pairs)
+        extent = plan.extent()
+        histograms, hexagons = similarity.pair_density(plan)
+        left_out = [(plan.left_out["questions"], plan.left_out["pairs"])]
+        layers = {
+            "left_out": spark.createDataFrame(left_out, "n_questions bigint, n_pairs bigint"),
+            "quality": similarity.pair_quality(plan.questions),
+            "correlation": similarity.similarity_correlation(extent),
+            "ellipse": similarity.confidence_ellipse(extent),
+            "regression": similarity.regression_grid(extent),
+            "histograms": histograms,
+            "hexagons": hexagons,
+        }
+        return {name: stage(layer, f"layer-{name}", keep=True) for name, layer in layers.items()}
 
 
 def inspect_labels(spark: SparkSession, classified_path: str, n: int = sampling.EXAMPLES_PER_LABEL) -> dict[str, DataFrame]:

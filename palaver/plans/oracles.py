@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from palaver.functions.labels import SYSTEM_PROMPT
-from palaver.functions.text import NUMBER_PATTERN
 from palaver.operators.clean import BOT_ACCOUNTS
 from palaver.plans.fixtures import VIEWS, view_sql
-from palaver.sources.manifest import EXCLUDED_NAMES, HREF_PATTERN
+from palaver.sources.manifest import EXCLUDED_NAMES
 
 # Parameters of the registered queries, sized for the shared tables.
 PARAMS = {
@@ -30,8 +29,8 @@ def _names(values) -> str:
 
 def _long(col: str) -> str:
     return (
-        f"case when regexp_matches({col}, '{NUMBER_PATTERN}') "
-        f"then try_cast(trunc(try_cast(trim({col}) as double)) as bigint) end"
+        # A cast reads more than plain decimals (nan, infinity, 1_000), but none of that consists of these characters alone.
+        f"case when regexp_full_match(trim({col}), '[-+.0-9eE]+') then try_cast(trunc(try_cast(trim({col}) as double)) as bigint) end"
     )
 
 
@@ -41,7 +40,10 @@ def _cut(key: str, order: str, rows: int) -> str:
 
 
 _AUTHOR_OK = f"author <> '[deleted]' and author not in ({_names(BOT_ACCOUNTS)})"
-_HREF_SQL = HREF_PATTERN.replace("'", "''")
+# Attributes of an anchor one by one, as (name, value); the first href counts.
+_ATTRIBUTE = r"""([^\s=>"''/]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)"""
+_HREF = f"""list_filter(list_zip(regexp_extract_all(tag, '{_ATTRIBUTE}', 1), regexp_extract_all(tag, '{_ATTRIBUTE}', 2)),
+              lambda a: lower(a[1]) = 'href')[1][2]"""
 
 # Building blocks: name -> (blocks it needs, SQL).
 _BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
@@ -423,8 +425,9 @@ _SELECTS: dict[str, tuple[tuple[str, ...], str]] = {
             regexp_extract(href, '(?i)^.*/([^/]+)_(submissions|comments)\.zst$', 2) as kind from (
           select page_id, trim(replace(replace(replace(replace(replace(
               regexp_replace(raw, '^["'']|["'']$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) as href
-          from (select page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
-              '(?is)<script\b.*?</script\s*>', '', 'g'), '{_HREF_SQL}', 1)) as raw from link_pages))
+          from (select page_id, {_HREF} as raw
+            from (select page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'),
+              '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<a(\s(?:"[^"]*"|''[^'']*''|[^>"''])*)', 1)) as tag from link_pages)))
           where regexp_matches(href, '(?i)^.*/([^/]+)_(submissions|comments)\.zst$')
             and lower(regexp_extract(href, '(?i)^.*/([^/]+)_(submissions|comments)\.zst$', 1)) not in ({_names(n.lower() for n in PARAMS['excluded'])})""",
     ),

@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,18 +70,52 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/palaver-{label}-{uuid.uuid4().hex}"
+#: Paths handed out in the block of :func:`scratch_tables` that is open, if one is.
+_handed_out: ContextVar[list[str] | None] = ContextVar("handed_out", default=None)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def scratch_path(spark: SparkSession, label: str, keep: bool = False) -> str:
+    """A fresh path in the shared folder; unless ``keep`` is set, an open :func:`scratch_tables` block removes it."""
+    path = f"{shared_dir(spark)}/palaver-{label}-{uuid.uuid4().hex}"
+    paths = _handed_out.get()
+    if paths is not None and not keep:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables staged inside the block when it ends, also by an error; those of other blocks and jobs stay.
+
+    What the block returns must be written by then: a lazy result that reads a removed table fails. Blocks may be nested,
+    each removes its own. A path that cannot be removed is left and does not fail the job.
+    """
+    paths: list[str] = []
+    token = _handed_out.set(paths)
+    try:
+        yield
+    finally:
+        _handed_out.reset(token)
+        for path in paths:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception as error:
+        warnings.warn(f"could not remove {path}: {error}", stacklevel=2)
+
+
+def stage(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts lineage, survives lost executors, and gives later plans the true size of the table.
+    Cuts lineage, survives lost executors, and gives later plans the true size of the table. ``keep`` lets the table
+    outlive a block of :func:`scratch_tables`.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = scratch_path(spark, label, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,8 @@
 import json
+import os
 from functools import partial
 
+from palaver import session
 from palaver.functions.standins import HashingEmbedder, keyword_generator
 from palaver.operators import clean
 from palaver.plans import jobs
@@ -16,8 +18,9 @@ def _dump(df, path):
     return str(path)
 
 
-def test_jobs_from_dumps_to_statistics(spark, sf, tmp_path):
-    """The whole chain on the smallest tables."""
+def test_jobs_from_dumps_to_statistics(spark, sf, tmp_path, monkeypatch):
+    """The whole chain on the smallest tables; of what it staged only results are left."""
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path / "shared"))
     subs = _dump(view(spark, sf, "raw_submissions"), tmp_path / "subs.json")
     coms = _dump(view(spark, sf, "raw_comments"), tmp_path / "coms.json")
     subs = jobs.filter_dump(spark, subs, clean.SUBMISSION_COLUMNS)
@@ -61,3 +64,5 @@ def test_jobs_from_dumps_to_statistics(spark, sf, tmp_path):
     pairs = result["quality"].first()["n_finite"]
     assert result["correlation"].first()["n_pairs"] == pairs
     assert sum(r["n"] for r in result["hexagons"].collect()) == pairs
+    left = {name.rsplit("-", 1)[0] for name in os.listdir(tmp_path / "shared")}
+    assert left == {"palaver-report", *(f"palaver-layer-{name}" for name in result)}
