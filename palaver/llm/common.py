@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,17 +153,40 @@ def unpack(ids: bytes, vectors: bytes, width: int) -> tuple[np.ndarray, np.ndarr
     return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, width)
 
 
-def pair_blocks(queries: DataFrame, shards: DataFrame, groups: int) -> DataFrame:
-    """Each shard row beside each query block of its width.
+#: Pairs of a query block and a shard in a task, about; tasks of a search, about, at most; bytes of queries that a task holds.
+TASK_PAIRS, MOST_TASKS, SLICE_BYTES = 256, 50_000, 256 << 20
 
-    Shards are dealt into ``groups`` and moved once; the query blocks, a stated query set, are moved once to each group.
+
+def grid(queries: int, query_rows: int, shards: int, shard_rows: int, width: int, least: int) -> tuple[int, int]:
+    """Groups of shards and slices of query blocks: a task for each group and slice, ``least`` tasks if there is work for them.
+
+    A query block is moved once for each group and a shard once for each slice. Their numbers are chosen to move the fewest
+    rows, so that what is moved grows with the root of the number of tasks, not with the number of shards. ``width`` is that of
+    the widest vectors; it sets how many blocks a slice may hold.
+    """
+    shards, blocks = max(1, shards), max(1, -(-queries // query_rows))
+    pairs = shards * blocks
+    tasks = max(min(pairs, least), min(MOST_TASKS, -(-pairs // TASK_PAIRS)))
+    groups = min(shards, max(1, round(math.sqrt(tasks * shards * shard_rows / max(1, queries)))))
+    held = max(1, SLICE_BYTES // (8 * query_rows * max(1, width)))
+    slices = min(blocks, max(-(-tasks // groups), -(-blocks // held)))
+    return min(groups, -(-tasks // slices)), slices
+
+
+def pair_blocks(queries: DataFrame, shards: DataFrame, groups: int, slices: int = 1) -> DataFrame:
+    """Each shard row beside each query block of its width, once; ``part`` is the shard's group.
+
+    Shards are dealt into ``groups``, the blocks of the queries, a stated query set, into ``slices``.
     """
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     q = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"),
+        every(groups).alias("part"), dealt(slices).alias("slice"),
         "width", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"),
     )
-    s = shards.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    return s.repartition(groups, "part", "width").join(q.repartition(groups, "part", "width"), ["part", "width"])
+    s = shards.withColumn("part", dealt(groups)).withColumn("slice", every(slices))
+    keys = ["part", "slice", "width"]
+    return s.repartition(groups * slices, *keys).join(q.repartition(groups * slices, *keys), keys)
 
 
 def top_mask(scores: np.ndarray, k: int) -> np.ndarray:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import finite_vectors, pack_vectors, pair_blocks, top_mask, unpack
+from palaver.llm.common import finite_vectors, grid, pack_vectors, pair_blocks, top_mask, unpack
 
 #: Rows of a shard's block and of a block of queries: a tile of scores takes 32 MB.
 SHARD_ROWS, QUERY_ROWS = 4096, 1024
@@ -65,7 +65,10 @@ def exact_top_k(
     """Each query's k best candidates: query_id, rank, vec_id, score."""
     q = finite_vectors(queries, key, vector).groupBy("id").agg(F.min("vector").alias("vector"))
     c = finite_vectors(candidates, key, vector)
-    n_queries, n_rows = q.count(), c.count()
+    n_queries = q.count()
+    n_rows, widest = c.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     q_blocks = pack_vectors(q.repartition(max(1, -(-n_queries // query_rows))), query_rows)
-    pairs = pair_blocks(q_blocks, pack_vectors(c, shard_rows), max(1, -(-n_rows // shard_rows)))
+    least = 2 * q.sparkSession.sparkContext.defaultParallelism
+    groups, slices = grid(n_queries, query_rows, -(-n_rows // shard_rows), shard_rows, widest, least)
+    pairs = pair_blocks(q_blocks, pack_vectors(c, shard_rows), groups, slices)
     return merge_top(pairs.mapInArrow(_search(k, scale), _TILE), k)

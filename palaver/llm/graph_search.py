@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in each shard.
 
 Equal vectors are indexed once with their k+1 smallest ids, so that copies neither fill a shard nor hide each other.
-Every distinct vector goes to the shard its hash names. In a shard, vectors enter in growing batches: a greedy search
+Every distinct vector goes to the shard its hash names. Shards grow with the root of the table, up to 16 MB of vectors, and
+the beam with the root of the shard, as each shard is asked about each query. In a shard, vectors enter in growing batches: a greedy search
 on the graph so far proposes neighbours, relaxed distance pruning keeps a diverse few, edges are added both ways.
 A beam search asks each shard; its results are scored in double precision on the original vectors and merged.
 
@@ -13,18 +14,22 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palaver.llm.common import finite_vectors, pack_vectors, pair_blocks, unpack
+from palaver.llm.common import finite_vectors, grid, pack_vectors, pair_blocks, unpack
 from palaver.llm.exact_search import merge_top
 from palaver.session import stage
 
-#: Vectors of a shard, out-edges of a vertex, width of the beam, and how much longer a detour may be than an edge.
+#: Least vectors of a shard, out-edges of a vertex, width of the beam, and how much longer a detour may be than an edge.
 SHARD_ROWS, DEGREE, BEAM, ALPHA = 4096, 24, 64, 1.2
 QUERY_ROWS, BATCH = 512, 256
+#: Shards hold this many times the root of the number of vectors, up to so many bytes of vectors.
+SHARD_GROWTH, SHARD_BYTES = 16, 16 << 20
 _SHARD = "block long, width int, ids binary, counts binary, vectors binary, edges binary, entry int"
 
 
@@ -134,17 +139,27 @@ def _build(key, rows):
     )
 
 
-def graph_shards(candidates: DataFrame, keep: int, key: str, vector: str, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The index: a row for each shard with its distinct vectors, their smallest ids and the graph's edges."""
+def grown_rows(vectors: int, width: int) -> int:
+    """Vectors of a shard in an index of so many distinct ones."""
+    most = SHARD_BYTES // (8 * max(1, width))
+    return max(SHARD_ROWS, min(most, SHARD_GROWTH * math.isqrt(vectors)))
+
+
+def graph_shards(
+    candidates: DataFrame, keep: int, key: str, vector: str, shard_rows: int | None = None
+) -> tuple[DataFrame, int, int]:
+    """The index, a row for each shard with its distinct vectors, their smallest ids and the graph's edges; vectors a shard; widest vector."""
     c = finite_vectors(candidates, key, vector).where(F.exists("vector", lambda v: v != 0))
     smallest = Window.partitionBy("vector").orderBy("id")
     some = c.withColumn("place", F.dense_rank().over(smallest)).where(F.col("place") <= keep)
     distinct = stage(some.groupBy("vector").agg(F.sort_array(F.collect_set("id")).alias("ids")), "vectors")
-    shards = max(1, -(-distinct.count() // shard_rows))
+    n, widest = distinct.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    shard_rows = shard_rows or grown_rows(n, widest)
+    shards = max(1, -(-n // shard_rows))
     dealt = distinct.select(
         F.pmod(F.xxhash64("vector"), F.lit(shards)).alias("block"), F.size("vector").alias("width"), "ids", "vector"
     ).repartition(shards, "block", "width")
-    return dealt.groupBy("block", "width").applyInArrow(_build, _SHARD)
+    return dealt.groupBy("block", "width").applyInArrow(_build, _SHARD), shard_rows, widest
 
 
 def _ask(k: int, beam: int):
@@ -177,12 +192,16 @@ def _ask(k: int, beam: int):
 
 def nearest(
     queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding",
-    shard_rows: int = SHARD_ROWS, beam: int = BEAM,
+    shard_rows: int | None = None, beam: int | None = None,
 ) -> DataFrame:
     """Each query's k nearest found by cosine: query_id, rank, vec_id, score."""
-    shards = stage(graph_shards(candidates, k + 1, key, vector, shard_rows), "graph")
+    index, shard_rows, widest = graph_shards(candidates, k + 1, key, vector, shard_rows)
+    shards = stage(index, "graph")
+    beam = beam or round(BEAM * math.sqrt(max(1.0, shard_rows / SHARD_ROWS)))
     q = finite_vectors(queries, key, vector).where(F.exists("vector", lambda v: v != 0))
     q = q.groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = pack_vectors(q.repartition(max(1, -(-q.count() // QUERY_ROWS))), QUERY_ROWS)
-    pairs = pair_blocks(blocks, shards, max(1, shards.count()))
+    n_queries = q.count()
+    blocks = pack_vectors(q.repartition(max(1, -(-n_queries // QUERY_ROWS))), QUERY_ROWS)
+    least = 2 * q.sparkSession.sparkContext.defaultParallelism
+    pairs = pair_blocks(blocks, shards, *grid(n_queries, QUERY_ROWS, shards.count(), shard_rows, widest, least))
     return merge_top(pairs.mapInArrow(_ask(k, beam), "query_id long, part int, vec_id long, score double"), k)

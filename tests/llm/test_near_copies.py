@@ -1,60 +1,14 @@
-"""The pipeline's second stage on planted near copies."""
+"""Passages and blocks of lines that documents share."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
-import corpus_pipeline
-from palaver.llm import near_copies, paragraphs
-from tests.llm.test_text_operators import plain_classes
-
-STAGE = dict(zip(("language", "copies", "passages", "packing"), (f for _, f in corpus_pipeline.STAGES)))
+from palaver.llm import paragraphs
 
 
 def words(rng, n):
     return ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(n)]
 
 
-def near(text, edits):
-    """The text with so many words replaced, far from each other."""
-    out = list(text)
-    for k in range(edits):
-        out[(2 * k + 1) * len(out) // (2 * edits)] = f"new{k}"
-    return out
-
-
-def test_planted_near_copies_go(spark):
-    rng = np.random.default_rng(8)
-    rows, wanted = [], set()
-    for i in range(300):
-        text = words(rng, 304)
-        copy = near(text, (2, 4, 6)[i % 3])  # similarities of 0.94, 0.88 and 0.82
-        other = near(text, 14)  # 0.62
-        a, b, c = (" ".join(x) for x in (text, copy, other))
-        assert paragraphs.jaccard(a.encode(), b.encode()) >= 0.8 > max(paragraphs.jaccard(x.encode(), c.encode()) for x in (a, b))
-        rows += [(3 * i, a), (3 * i + 1, b), (3 * i + 2, c)]
-        wanted.add(3 * i + 1)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
-    kept = STAGE["copies"](spark, df, "")
-    assert kept.columns == df.columns
-    gone = {i for i, _ in rows} - {r.doc_id for r in kept.collect()}
-    assert gone <= wanted and len(gone) >= 0.98 * len(wanted)
-
-
-def test_short_and_odd_texts(spark, odd, empty):
-    eight = "one two three four five six seven eight"
-    rows = [(5, eight), (6, eight + " nine"), (7, eight.upper()), (8, "a b c"), (9, "A  b c"), (10, "a b c d"), (11, None), (12, ""), (13, " ")]
-    rows += [(14, "x y z x y z x"), (15, "x y z " * 90), (None, eight)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    keys = [r for r in rows if r[0] is not None]
-    links = {(i, j) for i, a in keys for j, b in keys if i < j and paragraphs.jaccard((a or "").encode(), (b or "").encode()) >= 0.8}
-    plain = plain_classes(links, {i for i, _ in keys})
-    assert {r.id: r.component_id for r in near_copies.near_copies(df).collect()} == plain
-    kept = near_copies.keep_first(odd)
-    assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 2
-    assert {r.doc_id for r in kept.collect()} == {0, 2, 4, 5, 6, 7, 8, 9, 10, None}
-    assert near_copies.keep_first(empty).count() == 0
-
-
 def marked_words(texts, run):
     """Words of each text that lie in a stretch of ``run`` words that a smaller id has, by loops."""
     seen, out = set(), {}

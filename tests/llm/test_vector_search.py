@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palaver.llm import exact_search, graph_search
+from palaver.llm import common, exact_search, graph_search
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,53 @@ def test_graph_recall(vectors, rows):
             assert abs(got[q, c].score - s) < 1e-12
 
 
+def test_each_pair_of_blocks_meets_once(vectors, monkeypatch):
+    """Many groups and slices give what one task gives."""
+    monkeypatch.setattr(common, "TASK_PAIRS", 1)
+    queries = vectors.where("vec_id % 100 = 0")
+    assert min(common.grid(20, 3, 40, 64, 64, 1)) > 1
+    got = exact_search.exact_top_k(queries, vectors, shard_rows=64, query_rows=3)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain(vectors, 100, 10, product, True))
+
+
+@pytest.mark.parametrize("queries", [1, 1026, 200_000, 20_000_000])
+@pytest.mark.parametrize("shards", [0, 1, 13, 200, 30_000])
+def test_grid_of_tasks(queries, shards):
+    groups, slices = common.grid(queries, 512, shards, 4096, 64, 12)
+    blocks = -(-queries // 512)
+    assert 1 <= groups <= max(1, shards) and 1 <= slices <= blocks
+    assert min(12, max(1, shards) * blocks) <= groups * slices <= max(12, 2 * common.MOST_TASKS)
+    assert blocks * 512 * 64 * 8 <= slices * common.SLICE_BYTES
+
+
+@pytest.mark.parametrize("vectors, less", [(10**7, 4), (10**8, 7), (10**9, 60)])
+def test_moved_rows_stay_far_below_a_copy_of_the_queries_for_each_shard(vectors, less):
+    """Queries are a fiftieth of the vectors; the comparison is with shards of the least size, each sent every query."""
+    rows = graph_search.grown_rows(vectors, 64)
+    groups, slices = common.grid(vectors // 50, 512, vectors // rows, rows, 64, 12)
+    assert less * (groups * (vectors // 50) + slices * vectors) < (vectors // 4096) * (vectors // 50) + vectors
+
+
+def test_shards_grow_within_a_bound():
+    assert graph_search.grown_rows(0, 0) == graph_search.grown_rows(60_000, 64) == 4096
+    assert graph_search.grown_rows(10**6, 64) == 16_000
+    assert graph_search.grown_rows(10**9, 64) == 32_768 and graph_search.grown_rows(10**9, 1024) == 4096
+
+
+def test_recall_of_a_grown_shard():
+    """Directions without any structure, the hardest case, in a shard of twice the least size, with the beam it gets."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8192, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    edges, entry = graph_search.build_graph(x)
+    at = np.arange(0, 8192, 64)
+    found, _ = graph_search.beam_search(x, edges, entry, x[at], round(graph_search.BEAM * 2**0.5))
+    score = x[at] @ x.T
+    score[np.arange(len(at)), at] = -2
+    best = np.argsort(-score, axis=1)[:, :5]
+    assert np.mean([len(set(f[f != q][:5]) & set(b)) / 5 for f, q, b in zip(found, at, best)]) >= 0.92
+
+
 def test_empty(vectors):
     none = vectors.where("false")
     for search in (exact_search.exact_top_k, graph_search.nearest):
