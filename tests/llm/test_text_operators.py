@@ -48,6 +48,68 @@ def test_pieces_of_random_strings():
         assert encoder.encode(text).tolist() == [*library.encode(text), 2]
 
 
+def test_pieces_of_a_word_are_found_once(monkeypatch):
+    """What stands beside a word doesn't make it new, and no pair of pieces is merged in full to see whether it fits."""
+    encoder, library = pieces.PieceEncoder(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    calls = Counter()
+    for name in ("backtrack", "merge"):
+        plain = getattr(encoder, name)
+        monkeypatch.setattr(encoder, name, lambda *a, name=name, plain=plain: calls.update([name]) or plain(*a))
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abdehinorst"), 9)) for _ in range(200)]
+    for mark in (".", ",", "!", ";\n", "###", "\x00", "漢", "😀"):
+        text = " ".join(w + mark for w in words)
+        assert encoder.encode(text).tolist() == [*library.encode(text), 2]
+    assert calls["backtrack"] < 1.1 * len(words)
+    assert calls["merge"] == 0
+
+
+def test_pieces_fit_as_if_merged_in_full(monkeypatch):
+    encoder = pieces.encoder(MODEL)
+    rng = np.random.default_rng(4)
+    for a, b in rng.choice(sorted(encoder.cut), (3000, 2)):
+        assert encoder.compatible(a, b) == (encoder.merge(a + b) == [a, b])
+
+    class Made:
+        """A vocabulary of made-up pieces; some scores are equal, some better than those of the pieces inside, d alone is none."""
+
+        def __init__(self, model_file):
+            longer = {"".join(rng.choice(list("abcd"), rng.integers(2, 6))) for _ in range(30)}
+            self.held = ["<0x00>", "a", "b", "c", *sorted(longer)]
+            order = rng.permutation(len(self.held)) if rng.random() < 0.5 else np.array([len(p) for p in self.held]) * 40 + rng.permutation(len(self.held))
+            self.scores = -(order // rng.integers(1, 4)).astype(float)
+
+        def __getattr__(self, name):
+            return {
+                "get_piece_size": lambda: len(self.held), "id_to_piece": self.held.__getitem__, "piece_to_id": lambda p: 0,
+                "get_score": lambda i: self.scores[i], "is_byte": lambda i: i == 0, "eos_id": lambda: 0,
+            }.get(name, lambda i: False)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Made)
+    ordered = 0
+    for _ in range(60):
+        encoder = pieces.PieceEncoder("")
+        ordered += len(encoder.ends) - 3
+        for a in encoder.cut:
+            for b in encoder.cut:
+                assert encoder.compatible(a, b) == (encoder.merge(a + b) == [a, b])
+        assert encoder.encode("adb").tolist() == [0, 0, 0, 1, 0, 2, 0]  # as bytes, whatever pieces hold it
+    assert ordered > 100
+
+
+def test_pieces_of_texts_side_by_side(spark):
+    """Texts that end or begin with blanks, are empty or lie across the blocks in which borders are looked up."""
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["a  ", "  a", " ", "", "   ", None, "▁", "▁▁", "x", "\n", "the " * 20_000, "  ", "ab" * 40_000, "", " z"]
+    encoder = pieces.encoder(MODEL)
+    ids, at = encoder.encode_all([t or "" for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [[*library.encode(t or ""), 2] for t in texts]
+    assert [len(x) for x in encoder.encode_all([])] == [0, 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.id: (r.ids, r.decoded) for r in pieces.encode_pieces(df, MODEL, decoded=True).collect()}
+    assert got == {n: ([*library.encode(t or ""), 2], library.decode(library.encode(t or ""))) for n, t in enumerate(texts)}
+
+
 def test_pieces_decode_round_trip(spark, docs, empty):
     coded = pieces.encode_pieces(docs, MODEL)
     decoded = {r.id: r.text for r in pieces.decode_pieces(coded, MODEL).collect()}
